@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendframe.operators import export, jobs, reports
+from spendframe.operators import compare, export, jobs, quality, reports
 from spendframe.sources import star
 
 AS_OF = "2001-08-15"
+QUALITY_AS_OF = "2024-06-30"
 ETA_AS_OF = "2024-02-01 00:00:00"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,5 +178,139 @@ def job_queries() -> dict[str, Query]:
     }
 
 
+def flat(issues: DataFrame) -> DataFrame:
+    return issues.withColumn("fields", F.array_join("fields", ","))
+
+
+def rule(*builders: Callable[[], list]) -> Query:
+    """Issues of some header rules alone."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        columns = [column for build in builders for column in build()]
+        invoices, items = star.flawed_invoices(spark, sf_dir), star.priced_items(spark, sf_dir)
+        return flat(quality.listed(quality.judged(invoices, items, columns)))
+
+    return run
+
+
+def quality_pair(build: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    return lambda s, d: build(star.flawed_invoices(s, d), star.priced_items(s, d))
+
+
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classified_errors(star.failures(spark, sf_dir))
+
+
+def recovery_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    partial = quality.recovery(star.flawed_invoices(spark, sf_dir), star.priced_items(spark, sf_dir))
+    errors = classified(spark, sf_dir).join(partial.select("order_id", "usable", "overall_confidence"), "order_id")
+    actions = quality.recovery_actions(errors.select("order_id", "type", "usable", "overall_confidence"))
+    return actions.select("order_id", "type", "position", "action", "priority")
+
+
+def batch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order is a processed file: failed, or else fully extracted or recovered by the extraction share."""
+    partial = quality.recovery(star.flawed_invoices(spark, sf_dir), star.priced_items(spark, sf_dir))
+    errors = classified(spark, sf_dir).select("order_id", "level")
+    failed = star.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("order_id"), (F.col("o_orderstatus") == "F").alias("failed")
+    )
+    outcome = F.when(F.col("failed"), "failed").when(F.col("found_fields") < 7, "recovered").otherwise("successful")
+    rows = partial.join(errors, "order_id").join(failed, "order_id").withColumn("outcome", outcome)
+    return jobs.batch_outcomes(rows.withColumn("level", F.when(F.col("failed"), F.col("level"))))
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Processed invoices with timing, error and the extraction flags."""
+    metrics = quality.extraction_metrics(star.flawed_invoices(spark, sf_dir), star.priced_items(spark, sf_dir))
+    owners = star.order_owners(spark, sf_dir).select(
+        "order_id",
+        "error",
+        (F.lit(35) + F.col("order_id") % 33).alias("processing_ms"),
+        F.col("region").alias("language"),
+        ((F.col("order_id") % 71 + 30).cast("double") / 100.0).alias("confidence"),
+    )
+    return owners.join(metrics, "order_id")
+
+
+def schema_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item-grain text rows with faults at fixed keys."""
+    key = F.col("order_id") + F.col("part_key")
+    lines = star.priced_items(spark, sf_dir).select(
+        "order_id",
+        "line_number",
+        "part_key",
+        F.when(key % 5 != 0, F.col("quantity").cast("string")).otherwise(F.when(key % 2 == 0, "0").otherwise("many")).alias("quantity"),
+        F.when(key % 7 != 0, F.col("unit_cents").cast("string")).otherwise("-1").alias("unit_price"),
+        "description",
+        F.when(key % 11 == 0, "120").otherwise("19").alias("vat_rate"),
+        F.when(key % 13 == 0, "severe").otherwise("critical").alias("severity"),
+    )
+    numbers = star.flawed_invoices(spark, sf_dir).select("order_id", "order_number")
+    return quality.schema_rejects(lines.join(numbers, "order_id"))
+
+
+def quality_queries() -> dict[str, Query]:
+    return {
+        "dq_math": rule(quality.total_rule),
+        "dq_items_sum": rule(quality.item_sum_rule),
+        "dq_item_subtotal": rule(quality.item_value_rule),
+        "dq_dup_asin": on_items(lambda items: flat(quality.asin_issues(items))),
+        "dq_price": on_items(lambda items: flat(quality.price_issues(items))),
+        "dq_date": rule(lambda: quality.date_rule(QUALITY_AS_OF)),
+        "dq_currency": rule(quality.currency_rule),
+        "dq_complete": rule(quality.completeness_rule),
+        "dq_score": quality_pair(lambda inv, items: quality.score(inv, items, QUALITY_AS_OF)),
+        "dq_parser_score": quality_pair(quality.parser_score),
+        "checklist_a": quality_pair(quality.checklist_a),
+        "checklist_b": quality_pair(lambda inv, items: quality.checklist_b(inv, items, QUALITY_AS_OF)),
+        "recovery_usable": quality_pair(quality.recovery),
+        "error_classes": classified,
+        "recovery_actions": recovery_actions,
+        "extraction_metrics": quality_pair(quality.extraction_metrics),
+        "schema_rejects": schema_rows,
+        "batch_outcomes": batch_outcomes,
+        "perf_report": lambda s, d: reports.performance_report(runs(s, d)),
+        "perf_by_language": lambda s, d: reports.performance_by_language(runs(s, d)),
+        "perf_errors": lambda s, d: reports.performance_errors(runs(s, d)),
+    }
+
+
+COMPARED_JOBS = ["job_1996_1", "job_1997_2", "job_1998_3", "job_1994_0"]
+
+
+def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return star.invoices(spark, sf_dir).select(
+        "job_id", "processed_at", "order_number", F.date_format("order_date", "yyyy-MM-dd").alias("order_date"),
+        "customer_name", "currency", (F.col("total_cents").cast("double") / 100.0).alias("total"),
+    )
+
+
+def compare_queries() -> dict[str, Query]:
+    fields = compare.FIELDS
+    first = lambda s, d: compare.compare_first(compared(s, d), COMPARED_JOBS, fields)
+    return {
+        "compare_values": lambda s, d: compare.field_values(compare.first_invoices(compared(s, d), COMPARED_JOBS), fields),
+        "compare_fields": first,
+        "compare_issues": lambda s, d: compare.issues(first(s, d)),
+        "compare_summary": lambda s, d: compare.summary(first(s, d)),
+        "compare_pivot": lambda s, d: compare.pivot(compared(s, d), COMPARED_JOBS, fields),
+        "compare_all_jobs": lambda s, d: compare.compare_groups(twice(s, d), fields),
+    }
+
+
+def twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over the same orders; the second reads some totals and names differently."""
+    rows = compared(spark, sf_dir)
+    share = F.substring("order_number", 1, 3).cast("int")
+    second = rows.withColumns(
+        {
+            "total": F.when(share % 7 == 0, F.col("total") + 0.005).when(share % 5 == 0, F.col("total") + 1).otherwise(F.col("total")),
+            "customer_name": F.when(share % 3 == 0, F.upper("customer_name")).when(share % 11 != 0, F.col("customer_name")),
+        }
+    )
+    return rows.withColumn("run_id", F.lit("run_1")).unionByName(second.withColumn("run_id", F.lit("run_2")))
+
+
 def all_queries() -> dict[str, Query]:
-    return {**report_queries(), **job_queries()}
+    return {**report_queries(), **job_queries(), **quality_queries(), **compare_queries()}

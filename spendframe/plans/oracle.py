@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from spendframe.plans.catalog import AS_OF, ETA_AS_OF
+from spendframe.operators.compare import FIELDS
+from spendframe.plans.catalog import AS_OF, COMPARED_JOBS, ETA_AS_OF, QUALITY_AS_OF
+from spendframe.rules import quality as rules
 from spendframe.rules.spending import CATEGORY_KEYWORDS, EXCHANGE_RATES
 from spendframe.sources.star import PRODUCT_NAMES, REGION_CURRENCY
 
@@ -357,8 +359,8 @@ def job_sql() -> dict[str, str]:
         "job_eta": f"""WITH files AS (
  SELECT user_id AS job_id, CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'processing'
    WHEN 'purchase' THEN 'completed' ELSE event_type END AS status,
-  CAST((event_id * 7) % 101 AS DOUBLE) / 100 AS p, epoch_ms(ts) AS started,
-  CASE WHEN event_type = 'purchase' THEN epoch_ms(ts) + (event_id % 100 + 1) * 1000 END AS ended FROM events),
+  CAST((event_id * 7) % 101 AS DOUBLE) / 100 AS p, (epoch_us(ts) // 1000) AS started,
+  CASE WHEN event_type = 'purchase' THEN (epoch_us(ts) // 1000) + (event_id % 100 + 1) * 1000 END AS ended FROM events),
  shares AS (SELECT *, CAST(epoch_ms(TIMESTAMP '{ETA_AS_OF}') - started AS DOUBLE) AS e FROM files),
  facts AS (SELECT job_id, CAST(count_if(status = 'processing') AS BIGINT) AS running_files,
   CAST(count_if(status = 'pending') AS BIGINT) AS pending_files, count_if(ended IS NOT NULL) AS timed,
@@ -378,5 +380,368 @@ def job_sql() -> dict[str, str]:
     }
 
 
+def fixed(cents: str) -> str:
+    """Cents as text with two decimals."""
+    return (
+        f"(CASE WHEN {cents} < 0 THEN '-' ELSE '' END || CAST(abs({cents}) // 100 AS VARCHAR) || '.' || "
+        f"lpad(CAST(abs({cents}) % 100 AS VARCHAR), 2, '0'))"
+    )
+
+
+def quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+FLAWED = f"""flawed AS (
+ SELECT order_id, CASE WHEN order_id % 43 = 0 THEN 'unreadable' WHEN order_id % 29 <> 0 THEN order_number END AS order_number,
+  CASE WHEN order_id % 37 = 0 THEN 'undefined' WHEN order_id % 31 <> 0
+   THEN CAST(year(order_date) + order_id % 35 AS VARCHAR) || strftime(order_date, '-%m-%d') END AS order_date,
+  vendor, CASE WHEN order_id % 47 <> 0 THEN CASE WHEN order_id % 53 = 0 THEN 'SEK' ELSE 'USD' END END AS currency,
+  CAST(subtotal_cents + CASE WHEN order_id % 19 = 0 THEN 5000 ELSE 0 END AS BIGINT) AS sub, shipping_cents AS ship,
+  tax_cents AS tax, discount_cents AS disc, total_cents AS tot_all,
+  CASE WHEN order_id % 41 = 0 THEN 0 ELSE total_cents END AS tot, order_id % 41 <> 0 AS has_total FROM invoices),
+priced AS (SELECT * REPLACE (CASE WHEN part_key % 101 <> 0 THEN description END AS description),
+  CASE WHEN part_key % 23 = 0 THEN '€' ELSE '$' END AS symbol FROM items),
+facts AS (SELECT order_id, count(*) AS n, CAST(sum(total_cents) AS BIGINT) AS ps, CAST(sum(unit_cents * quantity) AS BIGINT) AS vs,
+  count_if(unit_cents > 500000) AS vh, count_if(unit_cents > 100000 AND unit_cents <= 500000) AS hp,
+  CAST(count_if(description IS NOT NULL) AS BIGINT) AS described, count(DISTINCT symbol) AS symbols, max(symbol) AS one
+  FROM priced GROUP BY order_id),
+base AS (SELECT flawed.*, coalesce(n, 0) AS n, coalesce(ps, 0) AS ps, coalesce(vs, 0) AS vs, coalesce(vh, 0) AS vh, coalesce(hp, 0) AS hp,
+  coalesce(described, 0) AS described, coalesce(symbols, 0) AS symbols, one FROM flawed LEFT JOIN facts USING (order_id))"""
+
+MATH = f"""math AS (
+ SELECT order_id, 'warning' AS level, 'mathematical_inconsistency' AS type, CASE WHEN big THEN 'low' ELSE 'medium' END AS severity,
+  CASE WHEN big THEN 'Complex order: ' ELSE '' END || 'Calculated total (' || {fixed("calc")} || ') differs from extracted total (' ||
+  {fixed("tot")} || ') by ' || {fixed("gap")} || ' (' || CAST(tenths // 10 AS VARCHAR) || '.' || CAST(tenths % 10 AS VARCHAR) || '%)' ||
+  CASE WHEN big THEN ' (multi-shipment order may have complex pricing)' ELSE '' END AS message, 'subtotal,shipping,tax,total' AS fields
+ FROM (SELECT *, CAST(floor(CAST(gap AS DOUBLE) / t * 1000 + 0.5) AS BIGINT) AS tenths,
+   greatest(t * CAST(0.01 AS DOUBLE), CAST(10 AS DOUBLE)) AS tolerance
+  FROM (SELECT *, sub + ship + tax AS calc, abs(sub + ship + tax - tot) AS gap, sub > tot * 2 AS big, CAST(tot AS DOUBLE) AS t
+   FROM base WHERE tot > 0))
+ WHERE gap > CASE WHEN big THEN greatest(tolerance * 3, t * CAST(0.05 AS DOUBLE)) ELSE tolerance END)"""
+
+ITEM_SUM = f"""item_sum AS (
+ SELECT order_id, 'warning' AS level, 'item_subtotal_mismatch' AS type, 'low' AS severity,
+  'Sum of item prices (' || {fixed("ps")} || ') doesn''t match subtotal (' || {fixed("sub")} || ')' AS message,
+  'items,subtotal' AS fields FROM base WHERE n > 0 AND sub > 0 AND abs(ps - sub) > 10)"""
+
+ITEM_VALUE = f"""item_value AS (
+ SELECT order_id, CASE WHEN gap > 100 THEN 'error' ELSE 'warning' END AS level,
+  CASE WHEN gap > 100 THEN 'item_subtotal_mismatch' ELSE 'item_subtotal_minor_discrepancy' END AS type,
+  CASE WHEN gap <= 100 THEN 'low' WHEN gap > CAST(sub AS DOUBLE) * CAST(0.1 AS DOUBLE) THEN 'critical' ELSE 'high' END AS severity,
+  CASE WHEN gap > 100 THEN 'Item totals (€' || {fixed("vs")} || ') don''t match invoice subtotal (€' || {fixed("sub")} ||
+   '). Difference: €' || {fixed("gap")} ELSE 'Minor discrepancy between item totals (€' || {fixed("vs")} || ') and subtotal (€' ||
+   {fixed("sub")} || '): €' || {fixed("gap")} END AS message, 'items,subtotal' AS fields
+ FROM (SELECT *, abs(vs - sub) AS gap FROM base) WHERE n > 0 AND sub > 0 AND gap > 10)"""
+
+DATES = f"""dates AS (
+ SELECT order_id, CASE WHEN order_date = 'undefined' THEN 'error' ELSE 'warning' END AS level,
+  CASE WHEN order_date IS NULL THEN 'missing_date' WHEN order_date = 'undefined' THEN 'invalid_date_format'
+   WHEN y > 2025 THEN 'future_date' ELSE 'very_old_date' END AS type,
+  CASE WHEN order_date IS NULL THEN 'medium' WHEN order_date = 'undefined' THEN 'high' ELSE 'low' END AS severity,
+  CASE WHEN order_date IS NULL THEN 'Order date is missing' WHEN order_date = 'undefined' THEN 'Date contains invalid placeholder values'
+   WHEN y > 2025 THEN 'Order date appears to be in the future: ' || order_date ELSE 'Order date appears to be very old: ' || order_date END AS message,
+  'orderDate' AS fields
+ FROM (SELECT *, TRY_CAST(substr(order_date, 1, 4) AS INTEGER) AS y FROM base)
+ WHERE order_date IS NULL OR order_date = 'undefined' OR y > year(DATE '{QUALITY_AS_OF}' + 1) + 1 OR y < 2010)"""
+
+CURRENCY_RULE = f"""currency_rule AS (
+ SELECT order_id, 'warning' AS level, 'inconsistent_invoice_currencies' AS type, 'medium' AS severity,
+  'Inconsistent currencies in invoice fields: $, €' AS message, 'subtotal,shipping,tax,total' AS fields FROM base WHERE order_id % 13 = 0
+ UNION ALL SELECT order_id, 'warning', 'multiple_currencies', 'low', 'Items have different currencies but invoice totals are consistent', 'items'
+ FROM base WHERE order_id % 13 <> 0 AND symbols > 1
+ UNION ALL SELECT order_id, 'warning', 'invalid_currency_format', 'medium', 'Invalid currency format in shipping: ' || {fixed("ship")}, 'shipping'
+ FROM base WHERE order_id % 17 = 0)"""
+
+COMPLETE = f"""complete AS (
+ SELECT order_id, 'error' AS level, 'missing_critical_field' AS type, 'high' AS severity, 'Critical field ''orderNumber'' is missing' AS message,
+  'orderNumber' AS fields FROM base WHERE order_number IS NULL
+ UNION ALL SELECT order_id, 'error', 'missing_critical_field', 'high', 'Critical field ''total'' is missing', 'total' FROM base WHERE NOT has_total
+ UNION ALL SELECT order_id, 'warning', 'no_items_found', 'medium', 'No items were extracted from the invoice despite having a subtotal', 'items'
+ FROM base WHERE n = 0 AND sub > 0
+ UNION ALL SELECT order_id, 'warning', 'high_total_amount', 'low', 'Total amount is unusually high: ' || {fixed("tot")}, 'total' FROM base WHERE tot > 1000000
+ UNION ALL SELECT order_id, 'warning', 'low_total_amount', 'low', 'Total amount is unusually low: ' || {fixed("tot")}, 'total'
+ FROM base WHERE tot > 0 AND tot < 100)"""
+
+REPEATED = """repeated AS (
+ SELECT order_id, asin, count(DISTINCT unit_cents) AS k, min(unit_cents) AS lo, max(unit_cents) AS hi
+ FROM items GROUP BY order_id, asin HAVING count(DISTINCT unit_cents) > 1)"""
+
+
+def money_grade(present: str) -> str:
+    return f"CASE WHEN {present} THEN 95 ELSE 0 END"
+
+
+def quality_sql() -> dict[str, str]:
+    base = [INVOICES, ITEMS, FLAWED]
+    plural = lambda number, noun: f"CAST({number} AS VARCHAR) || ' {noun}' || CASE WHEN {number} > 1 THEN 's' ELSE '' END"
+    classes = "CASE " + " ".join(
+        "WHEN "
+        + " OR ".join(
+            [f"contains(lower(error), '{w}')" for w in words]
+            + [f"contains(context, '{w}')" for w in context_words]
+            + ([f"context = '{exact}'"] if exact else [])
+        )
+        + f" THEN {{}}{i}{{}}"
+        if words or context_words
+        else f"ELSE {{}}{i}{{}}"
+        for i, (words, context_words, exact, *_) in enumerate(rules.ERROR_CLASSES)
+    ).format(*[""] * 10) + " END"
+    failures = f"""failures AS (SELECT o_orderkey AS order_id,
+  ['File not found: a.pdf', 'PDF parsing failed', 'Field extraction failed', 'Schema validation problem', 'Out of luck', 'Permission denied'][o_orderkey % 6 + 1] AS error,
+  ['batch-processing', 'pdf-parsing', 'field-extraction-total', 'post-validation'][o_orderkey % 4 + 1] AS context FROM orders),
+ numbered AS (SELECT *, {classes} AS k FROM failures),
+ classified AS (SELECT order_id, error, context,
+  {"[" + ", ".join(quoted(r[3]) for r in rules.ERROR_CLASSES) + "]"}[k + 1] AS level,
+  {"[" + ", ".join(quoted(r[4]) for r in rules.ERROR_CLASSES) + "]"}[k + 1] AS type,
+  {"[" + ", ".join(str(r[5]).lower() for r in rules.ERROR_CLASSES) + "]"}[k + 1] AS recoverable,
+  {"[" + ", ".join(quoted(r[6]) for r in rules.ERROR_CLASSES) + "]"}[k + 1] AS suggestion FROM numbered)"""
+    found = """recovered AS (SELECT *, CAST(found AS DOUBLE) / 7 AS share FROM (SELECT *, 3 + CAST(order_number IS NOT NULL AS INTEGER) +
+  CAST(order_date IS NOT NULL AS INTEGER) + CAST(has_total AS INTEGER) + CAST(n > 0 AS INTEGER) AS found FROM base))"""
+    steps = []
+    for kind, rows in rules.RECOVERY_ACTIONS.items():
+        for i, (action, _, priority, needs) in enumerate(rows):
+            steps.append(f"({quoted(kind)}, {i + 1}, {quoted(action)}, {quoted(priority)}, {str(needs).lower()})")
+    runs = """runs AS (SELECT b.order_id, error, 35 + b.order_id % 33 AS ms, region AS language, b.order_id % 71 + 30 AS points,
+  order_number_there, order_date_there, has_total, n > 0 AS has_items FROM
+  (SELECT *, order_number IS NOT NULL AS order_number_there, order_date IS NOT NULL AS order_date_there FROM base) b
+  JOIN owners o ON o.order_id = b.order_id)"""
+    mean = lambda column: f"CAST(count_if(error IS NULL AND {column}) AS DOUBLE) / CAST(count_if(error IS NULL) AS DOUBLE)"
+    hits = " + ".join(f"count_if(error IS NULL AND {c})" for c in ("order_number_there", "order_date_there", "has_total", "has_items"))
+    grade = {
+        "orderNumber": "CASE WHEN order_number IS NULL THEN 0 WHEN order_number = 'unreadable' THEN 30 ELSE 100 END",
+        "orderDate": f"""CASE WHEN order_date IS NULL THEN 0 WHEN d IS NULL THEN 10
+   WHEN year(d) >= 2020 AND d <= DATE '{QUALITY_AS_OF}' + 1 THEN 95 ELSE 60 END""",
+        "items": "CASE WHEN n = 0 THEN 0 WHEN described > 0 THEN CAST(floor(CAST(described AS DOUBLE) / CAST(n AS DOUBLE) * 100 + 0.5) AS INTEGER) ELSE 10 END",
+        "subtotal": "95",
+        "shipping": "95",
+        "tax": "95",
+        "discount": money_grade("disc > 0"),
+        "total": f"CASE WHEN NOT has_total THEN 0 WHEN tot > 100000000 THEN 60 ELSE 95 END",
+        "currency": "CASE WHEN currency IS NULL THEN 0 WHEN currency = 'SEK' THEN 70 ELSE 100 END",
+    }
+    cost = " ".join(
+        f"- (1 - CAST(g_{n} AS DOUBLE) / 100 * CAST({1.0 if c else 0.5} AS DOUBLE)) * {10 if c else 5}"
+        for n, (c, _) in rules.CHECKLIST_B.items()
+    )
+    invalid_date = "order_date = 'undefined'"
+    return {
+        "dq_math": with_(*base, MATH, body="SELECT * FROM math"),
+        "dq_items_sum": with_(*base, ITEM_SUM, body="SELECT * FROM item_sum"),
+        "dq_item_subtotal": with_(*base, ITEM_VALUE, body="SELECT * FROM item_value"),
+        "dq_dup_asin": with_(
+            ITEMS,
+            REPEATED,
+            body=f"""SELECT order_id, 'error' AS level, 'duplicate_item_different_prices' AS type, 'critical' AS severity,
+ 'Multiple items with same ASIN ' || asin || ' have ' || CAST(k AS VARCHAR) || ' different prices: €' || {fixed("lo")} || ' to €' || {fixed("hi")}
+ AS message, 'items' AS fields FROM repeated""",
+        ),
+        "dq_price": with_(
+            ITEMS,
+            body=f"""SELECT order_id, CASE WHEN unit_cents > 500000 THEN 'error' ELSE 'warning' END AS level,
+ CASE WHEN unit_cents > 500000 THEN 'price_sanity_check_failed' ELSE 'high_price_warning' END AS type,
+ CASE WHEN unit_cents > 500000 THEN 'critical' ELSE 'medium' END AS severity,
+ 'Item price €' || {fixed("unit_cents")} || ' is ' || CASE WHEN unit_cents > 500000 THEN 'unrealistically' ELSE 'unusually' END ||
+ ' high for a consumer product' AS message, 'items' AS fields FROM items WHERE unit_cents > 100000""",
+        ),
+        "dq_date": with_(*base, DATES, body="SELECT * FROM dates"),
+        "dq_currency": with_(*base, CURRENCY_RULE, body="SELECT * FROM currency_rule"),
+        "dq_complete": with_(*base, COMPLETE, body="SELECT * FROM complete"),
+        "dq_score": with_(
+            *base,
+            MATH,
+            ITEM_SUM,
+            ITEM_VALUE,
+            DATES,
+            CURRENCY_RULE,
+            COMPLETE,
+            REPEATED,
+            """listed AS (SELECT order_id, level FROM math UNION ALL SELECT order_id, level FROM item_sum
+ UNION ALL SELECT order_id, level FROM item_value UNION ALL SELECT order_id, level FROM dates
+ UNION ALL SELECT order_id, level FROM currency_rule UNION ALL SELECT order_id, level FROM complete
+ UNION ALL SELECT order_id, 'error' FROM repeated
+ UNION ALL SELECT order_id, CASE WHEN unit_cents > 500000 THEN 'error' ELSE 'warning' END FROM items WHERE unit_cents > 100000),
+ counts AS (SELECT base.order_id, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'warning') AS warnings
+  FROM base LEFT JOIN listed USING (order_id) GROUP BY base.order_id)""",
+            body=f"""SELECT order_id, errors, warnings, CAST(greatest(0, 100 - errors * 20 - warnings * 5) AS BIGINT) AS score,
+ errors = 0 AS is_valid, CASE WHEN errors + warnings = 0 THEN 'All validations passed' ELSE {plural("(errors + warnings)", "validation issue")} ||
+ ' found: ' || concat_ws(', ', CASE WHEN errors > 0 THEN {plural("errors", "error")} END,
+  CASE WHEN warnings > 0 THEN {plural("warnings", "warning")} END) END AS summary FROM counts""",
+        ),
+        "dq_parser_score": with_(
+            *base,
+            """judged AS (SELECT order_id, CAST(order_number = 'unreadable' AS INTEGER) AS bad_number, n - described AS undescribed,
+  CAST(order_number IS NULL AS INTEGER) AS no_number, CAST(order_date IS NULL AS INTEGER) AS no_date, CAST(n = 0 AS INTEGER) AS no_items,
+  CAST(NOT has_total AS INTEGER) AS no_total,
+  CAST(has_total AND CAST(tot AS DOUBLE) / 100 < CAST(sub AS DOUBLE) / 100 * CAST(0.8 AS DOUBLE) AS INTEGER) AS low FROM base),
+ counts AS (SELECT *, CAST(coalesce(bad_number, 0) + undescribed AS BIGINT) AS errors,
+  CAST(no_number + no_date + no_items + no_total + low AS BIGINT) AS warnings FROM judged)""",
+            body="""SELECT order_id, CAST(100 - coalesce(bad_number, 0) * 15 - undescribed * 5 - no_number * 25 - no_date * 20 - no_items * 15
+ - no_total * 15 - low * 5 AS BIGINT) AS score, errors, warnings, errors = 0 AS is_valid,
+ CASE WHEN errors > 0 THEN errors || ' error(s), ' || warnings || ' warning(s)' WHEN warnings > 0 THEN warnings || ' warning(s)'
+ ELSE 'Valid invoice data' END AS summary FROM counts""",
+        ),
+        "checklist_a": with_(
+            *base,
+            """graded AS (SELECT order_id, CAST(floor(CAST(100 * (4 + CAST(order_number IS NOT NULL AS INTEGER) + CAST(order_date IS NOT NULL AS INTEGER)
+  + CAST(n > 0 AS INTEGER) + CAST(has_total AS INTEGER) + CAST(currency IS NOT NULL AS INTEGER)) AS DOUBLE) / 9 + 0.5) AS BIGINT) AS score,
+  CAST(CAST(order_number IS NULL AS INTEGER) + CAST(order_date IS NULL AS INTEGER) + CAST(n = 0 AS INTEGER) + CAST(NOT has_total AS INTEGER)
+   + CAST(currency IS NULL AS INTEGER) AS BIGINT) AS critical_missing FROM base)""",
+            body="""SELECT order_id, score, CASE WHEN score >= 80 THEN 'excellent' WHEN score >= 60 THEN 'good' WHEN score >= 40 THEN 'fair'
+ ELSE 'poor' END AS status, critical_missing, CAST(9 AS BIGINT) AS total_fields,
+ concat_ws(', ', CASE WHEN critical_missing > 0 THEN 'manual_entry' END, CASE WHEN score < 60 THEN 'reupload' END) AS actions FROM graded""",
+        ),
+        "checklist_b": with_(
+            *base,
+            f"""graded AS (SELECT *, {", ".join(f"{g} AS g_{n}" for n, g in grade.items())}
+  FROM (SELECT *, TRY_CAST(order_date AS DATE) AS d FROM base)),
+ scored AS (SELECT *, CAST(greatest(0, least(100, floor(100 {cost} + 0.5))) AS BIGINT) AS score,
+  CAST(CAST(order_number IS NULL AS INTEGER) + CAST(order_date IS NULL AS INTEGER) + CAST(n = 0 AS INTEGER) + CAST(NOT has_total AS INTEGER) AS BIGINT) AS critical_missing,
+  concat_ws(', ', CASE WHEN g_orderNumber < 50 THEN 'orderNumber' END, CASE WHEN g_orderDate < 50 THEN 'orderDate' END,
+   CASE WHEN g_items < 50 THEN 'items' END, CASE WHEN NOT has_total THEN 'total' END) AS manual,
+  concat_ws(', ', CASE WHEN g_total = 60 THEN 'total' END, CASE WHEN currency = 'SEK' THEN 'currency' END) AS unsure FROM graded),
+ named AS (SELECT *, CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 75 THEN 'good' WHEN score >= 60 THEN 'fair'
+  WHEN score >= 40 THEN 'poor' ELSE 'critical' END AS status FROM scored)""",
+            body="""SELECT order_id, score, status, critical_missing,
+ CAST(9 - critical_missing - CAST(disc = 0 AS INTEGER) - CAST(currency IS NULL AS INTEGER) AS BIGINT) AS extracted_fields,
+ concat_ws(' | ', CASE WHEN manual <> '' THEN 'Manual data entry required for critical fields: ' || manual END,
+  CASE WHEN unsure <> '' THEN 'Verify financial calculations for: ' || unsure END,
+  CASE status WHEN 'critical' THEN 'This invoice has significant parsing issues. Consider manual processing.'
+   WHEN 'poor' THEN 'This invoice has parsing quality issues. Review extracted data carefully.' END,
+  CASE WHEN order_date IS NULL THEN 'Order date is missing. Check invoice header or footer for date information.' END,
+  CASE WHEN NOT has_total THEN 'Total amount is missing. Sum of subtotal, tax, and shipping may be needed.' END,
+  CASE WHEN described > 0 AND g_items < 70 THEN 'Item descriptions may be incomplete. Verify item details manually.' END) AS recommendations FROM named""",
+        ),
+        "recovery_usable": with_(
+            *base,
+            found,
+            body="""SELECT order_id, CAST(found AS BIGINT) AS found_fields, share AS overall_confidence,
+ order_number IS NOT NULL AND order_date IS NOT NULL AND share > CAST(0.3 AS DOUBLE) AS usable,
+ CAST(found + 1 AS DOUBLE) / 8 >= CAST(0.4 AS DOUBLE) AS usable_by_share FROM recovered""",
+        ),
+        "error_classes": with_(failures, body="SELECT * FROM classified"),
+        "recovery_actions": with_(
+            *base,
+            found,
+            failures,
+            f"""steps AS (SELECT * FROM (VALUES {", ".join(steps)}) AS t(kind, place, action, priority, needs)),
+ errors AS (SELECT order_id, type, share, order_number IS NOT NULL AND order_date IS NOT NULL AND share > CAST(0.3 AS DOUBLE) AS usable
+  FROM classified JOIN recovered USING (order_id)),
+ chosen AS (SELECT order_id, type, place, action, priority FROM errors JOIN steps
+   ON kind = CASE WHEN type IN (SELECT kind FROM steps) THEN type ELSE 'other' END WHERE usable OR NOT needs
+  UNION ALL SELECT order_id, type, 0, CASE WHEN share > CAST(0.7 AS DOUBLE) THEN 'high_confidence_data' ELSE 'medium_confidence_data' END,
+   CASE WHEN share > CAST(0.7 AS DOUBLE) THEN 'high' ELSE 'medium' END FROM errors WHERE share > CAST(0.3 AS DOUBLE))""",
+            body="""SELECT order_id, type, CAST(row_number() OVER (PARTITION BY order_id ORDER BY place) AS INTEGER) AS position, action, priority FROM chosen""",
+        ),
+        "extraction_metrics": with_(
+            *base,
+            found,
+            body="""SELECT order_id, order_number IS NOT NULL AS has_order_number, order_date IS NOT NULL AS has_order_date, true AS has_subtotal,
+ true AS has_tax, true AS has_shipping, has_total, n > 0 AS has_items, share AS overall, n AS total_items, described AS items_with_prices,
+ described AS items_with_descriptions FROM recovered""",
+        ),
+        "schema_rejects": with_(
+            *base,
+            """lines AS (SELECT order_id, line_number, part_key, flawed.order_number, order_id + part_key AS k, quantity AS q, unit_cents, description
+  FROM priced JOIN flawed USING (order_id)),
+ texts AS (SELECT order_id, line_number, part_key, order_number, description,
+  CASE WHEN k % 5 <> 0 THEN CAST(q AS VARCHAR) WHEN k % 2 = 0 THEN '0' ELSE 'many' END AS quantity,
+  CASE WHEN k % 7 <> 0 THEN CAST(unit_cents AS VARCHAR) ELSE '-1' END AS unit_price,
+  CASE WHEN k % 11 = 0 THEN '120' ELSE '19' END AS vat_rate, CASE WHEN k % 13 = 0 THEN 'severe' ELSE 'critical' END AS severity FROM lines)""",
+            body="""SELECT *, nullif(concat_ws('; ', CASE WHEN order_number = 'unreadable' THEN 'orderNumber pattern' END,
+ CASE WHEN quantity IN ('0', 'many') THEN 'quantity integer >= 1' END, CASE WHEN unit_price = '-1' THEN 'unitPrice number >= 0' END,
+ CASE WHEN description IS NULL THEN 'description required' END, CASE WHEN vat_rate = '120' THEN 'vatRate 0..100' END,
+ CASE WHEN severity = 'severe' THEN 'severity enum' END), '') AS reason FROM texts""",
+        ),
+        "batch_outcomes": with_(
+            *base,
+            found,
+            failures,
+            body="""SELECT outcome, level, count(*) AS file_count FROM (
+ SELECT CASE WHEN o_orderstatus = 'F' THEN 'failed' WHEN found < 7 THEN 'recovered' ELSE 'successful' END AS outcome,
+  CASE WHEN o_orderstatus = 'F' THEN level END AS level
+ FROM recovered JOIN classified USING (order_id) JOIN orders ON o_orderkey = order_id) GROUP BY outcome, level""",
+        ),
+        "perf_report": with_(
+            *base,
+            runs,
+            body=f"""SELECT count(*) AS total_invoices, CAST(count_if(error IS NULL) AS BIGINT) AS successful_invoices,
+ CAST(count_if(error IS NOT NULL) AS BIGINT) AS failed_invoices, CAST(count_if(error IS NULL) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS success_rate,
+ CAST(sum(ms) FILTER (error IS NULL) AS BIGINT) AS total_ms,
+ CAST(sum(ms) FILTER (error IS NULL) AS DOUBLE) / CAST(count_if(error IS NULL) AS DOUBLE) AS average_ms,
+ min(ms) FILTER (error IS NULL) AS min_ms, max(ms) FILTER (error IS NULL) AS max_ms,
+ CAST({hits} + 3 * count_if(error IS NULL) AS DOUBLE) / CAST(count_if(error IS NULL) AS DOUBLE) / 7 AS average_extraction,
+ {mean("order_number_there")} AS order_number_rate, {mean("order_date_there")} AS order_date_rate, {mean("has_items")} AS items_rate,
+ {mean("true")} AS subtotal_rate, {mean("true")} AS tax_rate, {mean("true")} AS shipping_rate, {mean("has_total")} AS total_rate FROM runs""",
+        ),
+        "perf_by_language": with_(
+            *base,
+            runs,
+            body="""SELECT language, count(*) AS document_count, CAST(sum(points) AS DOUBLE) / 100 / CAST(count(*) AS DOUBLE) AS average_confidence
+ FROM runs WHERE error IS NULL GROUP BY language""",
+        ),
+        "perf_errors": with_(
+            *base, runs, body="SELECT error, count(*) AS invoice_count FROM runs WHERE error IS NOT NULL GROUP BY error"
+        ),
+    }
+
+
+COMPARED = f"""compared AS (
+ SELECT job_id, processed_at, order_number, strftime(order_date, '%Y-%m-%d') AS order_date, customer_name, currency,
+  CAST(total_cents AS DOUBLE) / 100 AS total FROM invoices),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY processed_at, order_number) AS place FROM compared
+ WHERE job_id IN ({", ".join(f"'{j}'" for j in COMPARED_JOBS)})),
+cells AS ({" UNION ALL ".join(
+    f"SELECT job_id AS group_id, '{shown}' AS field, "
+    + (f"CAST({c} AS VARCHAR) AS value, {c} AS number" if c == "total" else f"{c} AS value, CAST(NULL AS DOUBLE) AS number")
+    + f", CAST({0.9 if c in ('order_number', 'total') else 0.7} AS DOUBLE) AS confidence FROM firsts WHERE place = 1"
+    for c, shown in FIELDS.items())}),
+judged AS (SELECT field, coalesce(max(number) - min(number) >= CAST(0.01 AS DOUBLE), false)
+   OR coalesce(max(lower(value)) FILTER (number IS NULL) <> min(lower(value)) FILTER (number IS NULL), false) AS has_differences,
+  CAST(CAST(sum(round(confidence * 10)) AS BIGINT) AS DOUBLE) / 10 / CAST(count(*) AS DOUBLE) AS confidence, count(*) AS value_count,
+  {len(COMPARED_JOBS)} - count(*) AS missing_jobs FROM cells GROUP BY field)"""
+
+
+def compare_sql() -> dict[str, str]:
+    wide = ", ".join(
+        f"max(value) FILTER (group_id = '{j}') AS {j}_value, max(confidence) FILTER (group_id = '{j}') AS {j}_confidence"
+        for j in COMPARED_JOBS
+    )
+    return {
+        "compare_values": with_(INVOICES, COMPARED, body="SELECT * FROM cells"),
+        "compare_fields": with_(INVOICES, COMPARED, body="SELECT * FROM judged"),
+        "compare_issues": with_(
+            INVOICES,
+            COMPARED,
+            body="""SELECT field, 'difference' AS type, CASE WHEN confidence < 0.5 THEN 'high' ELSE 'medium' END AS severity,
+ 'Values differ across invoices for field: ' || field AS message FROM judged WHERE has_differences
+ UNION ALL SELECT field, 'missing', 'medium', 'Missing data for field: ' || field || ' in some invoices' FROM judged WHERE missing_jobs > 0""",
+        ),
+        "compare_summary": with_(
+            INVOICES,
+            COMPARED,
+            body="""SELECT count(*) AS total_fields, CAST(count_if(has_differences) AS BIGINT) AS fields_with_differences,
+ CAST(sum(CAST(has_differences AS INTEGER) + CAST(missing_jobs > 0 AS INTEGER)) AS BIGINT) AS total_issues,
+ round(avg(confidence), 6) AS average_confidence FROM judged""",
+        ),
+        "compare_pivot": with_(
+            INVOICES,
+            COMPARED,
+            body=f"SELECT field, any_value(has_differences) AS has_differences, {wide} FROM cells JOIN (SELECT field, has_differences FROM judged) USING (field) GROUP BY field",
+        ),
+        "compare_all_jobs": with_(
+            INVOICES,
+            COMPARED,
+            f"""pairs AS (SELECT *, CAST(substr(order_number, 1, 3) AS INTEGER) AS share FROM compared),
+ changes AS ({" UNION ALL ".join(
+     f"SELECT order_number, '{shown}' AS field, "
+     + {"total": "share % 7 <> 0 AND share % 5 = 0", "customer_name": "false"}.get(c, "false")
+     + " AS differs FROM pairs" for c, shown in FIELDS.items() if c != "order_number")})""",
+            body="""SELECT field, count(*) AS orders, CAST(count_if(differs) AS BIGINT) AS orders_with_differences,
+ CAST(0 AS BIGINT) AS orders_in_one_run FROM changes GROUP BY field""",
+        ),
+    }
+
+
 def all_sql() -> dict[str, str]:
-    return {**report_sql(), **job_sql()}
+    return {**report_sql(), **job_sql(), **quality_sql(), **compare_sql()}

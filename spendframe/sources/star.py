@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendframe.functions.money import european_amount, two_decimals
+
 # Currency of each sales region.
 REGION_CURRENCY = {
     "AMERICA": "USD",
@@ -191,3 +193,53 @@ def noisy_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.when(F.col("doc_id") % 5 == 0, F.replace(text, F.lit("é"), F.lit("Ã©"))).otherwise(text).alias("text"),
     )
+
+
+def flawed_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoices as extracted text with faults at fixed order keys, input of the quality rules."""
+    key = F.col("order_id")
+
+    def every(n: int) -> Column:
+        return key % n == 0
+
+    plain = {n: F.concat(F.lit("$"), two_decimals(F.col(f"{n}_cents"))) for n in ("shipping", "tax", "discount", "total")}
+    subtotal = F.col("subtotal_cents") + F.when(every(19), 5000).otherwise(0)
+    year = (F.year("order_date") + key % 35).cast("string")
+    day = F.concat(year, F.date_format("order_date", "-MM-dd"))
+    return invoices(spark, sf_dir).select(
+        "order_id",
+        F.when(every(43), "unreadable").when(~every(29), F.col("order_number")).alias("order_number"),
+        F.when(every(37), "undefined").when(~every(31), day).alias("order_date"),
+        F.col("vendor"),
+        F.when(~every(47), F.when(every(53), "SEK").otherwise("USD")).alias("currency"),
+        F.concat(F.lit("$"), two_decimals(subtotal)).alias("subtotal"),
+        F.when(every(17), two_decimals(F.col("shipping_cents"))).otherwise(plain["shipping"]).alias("shipping"),
+        F.when(every(13), european_amount(F.col("tax_cents"))).otherwise(plain["tax"]).alias("tax"),
+        F.when(F.col("discount_cents") > 0, plain["discount"]).alias("discount"),
+        F.when(~every(41), plain["total"]).alias("total"),
+    )
+
+
+def priced_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with their price as text; some products are priced in another currency or lack a description."""
+    other = F.col("part_key") % 23 == 0
+    price = F.when(other, european_amount(F.col("total_cents"))).otherwise(
+        F.concat(F.lit("$"), two_decimals(F.col("total_cents")))
+    )
+    described = F.when(F.col("part_key") % 101 != 0, F.col("description"))
+    return items(spark, sf_dir).withColumns({"price": price, "description": described})
+
+
+def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error messages and contexts at fixed order keys, input of the error classes."""
+    key = F.col("o_orderkey")
+    messages = [
+        "File not found: a.pdf", "PDF parsing failed", "Field extraction failed", "Schema validation problem",
+        "Out of luck", "Permission denied",
+    ]
+    contexts = ["batch-processing", "pdf-parsing", "field-extraction-total", "post-validation"]
+    return table(spark, sf_dir, "orders").select(
+        key.alias("order_id"),
+        F.element_at(F.array(*[F.lit(m) for m in messages]), (key % 6 + 1).cast("int")).alias("error"),
+        F.element_at(F.array(*[F.lit(c) for c in contexts]), (key % 4 + 1).cast("int")).alias("context"),
+    )
