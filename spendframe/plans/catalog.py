@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendframe.operators import compare, export, jobs, quality, reports
-from spendframe.sources import star
+from spendframe.functions import dates, money
+from spendframe.operators import classify, cleaning, compare, export, extract, items, jobs, quality, reports
+from spendframe.plans import pipeline
+from spendframe.rules.fields import RULE_SETS
+from spendframe.sources import corpus, star
 
 AS_OF = "2001-08-15"
 QUALITY_AS_OF = "2024-06-30"
@@ -57,16 +60,14 @@ def report_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def written_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invoices as raw job results: every field a text, as extraction delivers them."""
-    from spendframe.functions.money import money_text
-
     invoices = star.invoices(spark, sf_dir)
-    money = {n: money_text(F.col(f"{n}_cents"), F.col("currency")) for n in export.MONEY_FIELDS}
+    texts = {n: money.money_text(F.col(f"{n}_cents"), F.col("currency")) for n in export.MONEY_FIELDS}
     item = "array<struct<asin:string,description:string,quantity:string,unit_price:string,total_price:string,total:string>>"
     data = F.struct(
         "order_number",
         F.date_format("order_date", "yyyy-MM-dd").alias("order_date"),
         "customer_name",
-        *[text.alias(name) for name, text in money.items()],
+        *[text.alias(name) for name, text in texts.items()],
         "currency",
         (F.col("order_id") % 2 == 0).alias("is_valid"),
         F.when(F.col("order_id") % 2 == 1, F.array(F.lit("total mismatch"))).alias("errors"),
@@ -93,8 +94,6 @@ def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_typed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from spendframe.functions.money import european_amount, two_decimals
-
     raw = star.items(spark, sf_dir).select(
         "order_id",
         "line_number",
@@ -102,8 +101,8 @@ def export_typed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
             "asin",
             "description",
             F.col("quantity").cast("string").alias("quantity"),
-            F.concat(F.lit("$"), two_decimals(F.col("unit_cents"))).alias("unit_price"),
-            european_amount(F.col("total_cents")).alias("total_price"),
+            F.concat(F.lit("$"), money.two_decimals(F.col("unit_cents"))).alias("unit_price"),
+            money.european_amount(F.col("total_cents")).alias("total_price"),
             F.lit(None).cast("string").alias("total"),
         ).alias("item"),
     )
@@ -312,5 +311,194 @@ def twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("run_id", F.lit("run_1")).unionByName(second.withColumn("run_id", F.lit("run_2")))
 
 
+def over_texts(column: Callable[[Column], Column]) -> Query:
+    """A text function over all documents."""
+    return lambda s, d: star.noisy_texts(s, d).select("doc_id", column(F.col("text")).alias("text"))
+
+
+def spaced(text: Column) -> Column:
+    """Put tabs, wide gaps and blank lines into a text."""
+    gaps = F.regexp_replace(text, r"\. ", ".  \t ")
+    return F.regexp_replace(gaps, "\n", " \n\n\n\n\n  ")
+
+
+def money_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item amounts written in seven ways."""
+    cents, form = F.col("total_cents"), F.col("line_number") % 7
+    shown = (
+        F.when(form == 0, F.concat(F.lit("$"), money.two_decimals(cents)))
+        .when(form == 1, money.european_amount(cents))
+        .when(form == 2, F.concat(F.lit("£"), money.grouped_decimals(cents)))
+        .when(form == 3, F.concat(F.lit("€"), F.translate(money.grouped_decimals(cents), ",.", ".,")))
+        .when(form == 4, F.concat(F.lit("CHF "), money.two_decimals(cents)))
+        .when(form == 5, F.concat(F.lit("-$"), money.two_decimals(cents)))
+        .otherwise("invalid")
+    )
+    text = F.col("shown")
+    return (
+        star.items(spark, sf_dir)
+        .select("order_id", "line_number", shown.alias("shown"))
+        .select(
+            "order_id",
+            "line_number",
+            money.tolerant_cents(text).alias("tolerant_cents"),
+            money.to_cents(money.tolerant_amount(text, signed=True)).alias("signed_cents"),
+            money.to_cents(money.strict_amount(text)).alias("strict_cents"),
+            money.currency_symbol(text).alias("symbol"),
+            money.is_money_text(text).alias("well_formed"),
+        )
+    )
+
+
+DATE_LANGUAGES = ["en", "de", "fr", "es", "it"]
+
+
+def date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates written with month names of five languages and in numbers, and one impossible date."""
+    day, key = F.col("o_orderdate").cast("date"), F.col("o_orderkey")
+    number, year = F.dayofmonth(day).cast("string"), F.year(day).cast("string")
+    month = F.month(day)
+
+    def name(language: str) -> Column:
+        return F.element_at(F.array(*[F.lit(m) for m in dates.MONTHS[language]]), month)
+
+    named = F.concat(name("en"), F.lit(" "), number, F.lit(", "), year)
+    chain = F.when(key % 8 == 0, named)
+    for rest, language in enumerate(["de", "fr", "es", "it"], 1):
+        mark = "." if language == "de" else ""
+        chain = chain.when(key % 8 == rest, F.concat(number, F.lit(f"{mark} "), F.upper(name(language)), F.lit(" "), year))
+    chain = (
+        chain.when(key % 8 == 5, F.concat(number, F.lit("."), month.cast("string"), F.lit("."), year))
+        .when(key % 8 == 6, F.concat(year, F.lit("年"), month.cast("string"), F.lit("月"), number, F.lit("日")))
+        .otherwise(F.concat(F.lit("31.2."), year))
+    )
+    return star.table(spark, sf_dir, "orders").select(
+        key.alias("order_id"), dates.written_date(chain, "en").alias("day"), dates.report_date(chain).alias("report_day")
+    )
+
+
+def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, some of them with the words of a generated report, after the report filter."""
+    key, text = F.col("doc_id"), F.col("text")
+    marked = F.concat(
+        F.when(key % 9 == 0, "Invoice Processing Report\nExport Date 2024\n").otherwise(""),
+        F.when(key % 7 == 0, "Validation status: ok\n").otherwise(""),
+        text,
+    )
+    kept, _ = cleaning.split_reports(star.table(spark, sf_dir, "documents").select("doc_id", marked.alias("text")))
+    return kept.select("doc_id", F.length("text").alias("length"))
+
+
+def marked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that carry invoice words of different markets at fixed keys."""
+    key = F.col("doc_id")
+    words = [
+        "", "Amazon.com\nOrder Placed: May 3, 2020\n$5", "amazon.de Rechnung 12,00 € MwSt Bestelldatum 1.2.2020",
+        "Commande du 3 mars 2020\nTVA 20%\nTotal TTC 12,00 €", "CHF 12.00 Bestellnummer Zwischensumme Versand MwSt Gesamtbetrag",
+        "Order Number 1\nSubtotal £5.00\nVAT Grand Total Postage", "注文番号 注文日 小計 合計 2020年1月2日", "Factura Total IVA 21% Importe total Envío 5,00 €",
+    ]
+    head = F.element_at(F.array(*[F.lit(w) for w in words]), (key % len(words) + 1).cast("int"))
+    return star.noisy_texts(spark, sf_dir).select("doc_id", F.concat(head, F.lit("\n"), "text").alias("text"))
+
+
+def format_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "us_score", "eu_score", "format", "format_confidence", "quality_level", "action"]
+    return classify.classified(marked_texts(spark, sf_dir)).select(*columns)
+
+
+def subtypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """European documents with business and consumer words at fixed keys."""
+    key = F.col("doc_id")
+    words = ["amazon.de\n", "amazon.de Firma GmbH USt-IdNr\n", "Rechnung ASIN: X Privatkunde\n", "Rechnung ASIN: | 2 | ASIN:\n"]
+    head = F.element_at(F.array(*[F.lit(w) for w in words]), (key % len(words) + 1).cast("int"))
+    texts = star.noisy_texts(spark, sf_dir).select("doc_id", F.concat(head, "text").alias("text"))
+    return classify.classified(texts).select("doc_id", "format", "subtype")
+
+
+def languages_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = classify.detected_language(marked_texts(spark, sf_dir))
+    return found.select("doc_id", "language", "language_confidence", "language_supported")
+
+
+def language_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marked_texts(spark, sf_dir).select("doc_id", classify.eu_language("text").alias("language"))
+
+
+def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    routed = pipeline.prepared(corpus.rendered(spark, sf_dir))
+    return routed.select("order_id", "format", "subtype", "rule_set").distinct()
+
+
+def read_corpus(spark: SparkSession, sf_dir: str, regions: list[str] | None = None) -> DataFrame:
+    """Rendered documents read by the rule set of their layout; known formats go through routing."""
+    layouts = [corpus.REGION_RULE_SET[r] for r in regions or corpus.REGION_RULE_SET]
+    prepared = pipeline.prepared(corpus.rendered(spark, sf_dir)).where(F.col("layout").isin(layouts))
+    fixed = F.when(F.col("layout") == "uk", "uk").otherwise(F.col("rule_set"))
+    return extract.extracted(prepared.withColumn("rule_set", fixed), layouts)
+
+
+def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order: documents of one order agree, sums over items add up."""
+    read = read_corpus(spark, sf_dir)
+    return read.groupBy("order_id").agg(
+        F.min("order_number").alias("order_number"),
+        F.min("order_date").alias("order_date"),
+        F.when(F.min("subtotal_source") == "items", F.sum("subtotal_cents")).otherwise(F.max("subtotal_cents")).alias("subtotal_cents"),
+        F.max("shipping_cents").alias("shipping_cents"),
+        F.max("tax_cents").alias("tax_cents"),
+        F.max("total_cents").alias("total_cents"),
+        F.min("currency").alias("currency"),
+        F.sum(F.size("items").cast("bigint")).alias("item_count"),
+    )
+
+
+def extracted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = items.exploded(read_corpus(spark, sf_dir), ["order_id"])
+    return read.select("order_id", "asin", "description", "quantity", "unit_cents", "total_cents")
+
+
+def repeated_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = items.fingerprints(read_corpus(spark, sf_dir), ["order_id"])
+    return read.select("order_id", "asin", "description", "unit_cents", "copies")
+
+
+def extracted_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First-row layout of the extracted invoices of one market."""
+    read = read_corpus(spark, sf_dir, ["AMERICA"])
+    return export.nested_first_row_layout(read)
+
+
+def clean_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.prepared(corpus.rendered(spark, sf_dir)).select("order_id", "format", "clean_text")
+
+
+def bakeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rule sets over all rendered documents."""
+    documents = pipeline.prepared(corpus.rendered(spark, sf_dir)).select("doc_id", "clean_text")
+    return pipeline.bakeoff_summary(pipeline.bakeoff(documents, list(RULE_SETS)))
+
+
+def text_queries() -> dict[str, Query]:
+    return {
+        "clean_mojibake": over_texts(cleaning.repair_encoding),
+        "clean_light": over_texts(lambda text: cleaning.light_clean(spaced(text))),
+        "clean_final": over_texts(lambda text: cleaning.final_clean(spaced(cleaning.repair_encoding(text)))),
+        "clean_corpus": clean_corpus,
+        "filter_report_docs": report_documents,
+        "parse_money": money_texts,
+        "parse_dates": date_texts,
+        "classify_format": format_classes,
+        "classify_subtype": subtypes,
+        "detect_language": languages_found,
+        "eu_language_vote": language_votes,
+        "route_documents": routes,
+        "extract_headers": headers,
+        "extract_items": extracted_items,
+        "item_fingerprints": repeated_items,
+        "extract_csv": extracted_csv,
+        "ruleset_bakeoff": bakeoff,
+    }
+
+
 def all_queries() -> dict[str, Query]:
-    return {**report_queries(), **job_queries(), **quality_queries(), **compare_queries()}
+    return {**report_queries(), **job_queries(), **quality_queries(), **compare_queries(), **text_queries()}

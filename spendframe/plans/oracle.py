@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from spendframe.operators.compare import FIELDS
 from spendframe.plans.catalog import AS_OF, COMPARED_JOBS, ETA_AS_OF, QUALITY_AS_OF
+from spendframe.rules import formats, languages
 from spendframe.rules import quality as rules
 from spendframe.rules.spending import CATEGORY_KEYWORDS, EXCHANGE_RATES
 from spendframe.sources.star import PRODUCT_NAMES, REGION_CURRENCY
@@ -743,5 +744,166 @@ def compare_sql() -> dict[str, str]:
     }
 
 
+NOISY = """noisy AS (SELECT doc_id, text FROM documents)"""
+SPACED = r"""spaced AS (SELECT doc_id, replace(replace(text, '. ', '.  ' || chr(9) || ' '), chr(10), ' ' || repeat(chr(10), 5) || '  ') AS text FROM documents)"""
+
+HEADS = [
+    "", "Amazon.com\nOrder Placed: May 3, 2020\n$5", "amazon.de Rechnung 12,00 € MwSt Bestelldatum 1.2.2020",
+    "Commande du 3 mars 2020\nTVA 20%\nTotal TTC 12,00 €", "CHF 12.00 Bestellnummer Zwischensumme Versand MwSt Gesamtbetrag",
+    "Order Number 1\nSubtotal £5.00\nVAT Grand Total Postage", "注文番号 注文日 小計 合計 2020年1月2日", "Factura Total IVA 21% Importe total Envío 5,00 €",
+]
+SUB_HEADS = ["amazon.de\n", "amazon.de Firma GmbH USt-IdNr\n", "Rechnung ASIN: X Privatkunde\n", "Rechnung ASIN: | 2 | ASIN:\n"]
+
+
+def text_list(words: list[str]) -> str:
+    return "[" + ", ".join("replace(" + quoted(w.replace("\n", "~")) + ", '~', chr(10))" for w in words) + "]"
+
+
+MARKED = f"marked AS (SELECT doc_id, {text_list(HEADS)}[doc_id % {len(HEADS)} + 1] || chr(10) || text AS text FROM documents)"
+
+
+def token_sum(tokens: list[tuple[int, list[str]]]) -> str:
+    return " + ".join(f"CAST(contains(low, {quoted(w.lower())}) AS INTEGER) * {points}" for points, words in tokens for w in words)
+
+
+def matches(column: str, pattern: str) -> str:
+    return f"CAST(regexp_matches({column}, {quoted(pattern)}) AS INTEGER)"
+
+
+def whole_words(phrase: str) -> str:
+    edge = r"[^\p{L}\p{N}_]"
+    return rf"(?:^|{edge}){phrase.replace(' ', chr(92) + 's+')}(?:$|{edge})"
+
+
+def language_sum(language: languages.Language) -> str:
+    edge = r"(?:^|[^\p{L}\p{N}_])"
+    terms = [f"{matches('up', whole_words(p))} * 15" for p in language.strong]
+    terms += [f"{matches('up', edge + p)} * 15" for p in language.open_ended]
+    terms += [f"{matches('up', whole_words(p))} * 8" for p in language.medium]
+    if language.money_limit is None:
+        terms.append(f"{matches('up', '|'.join(language.money))} * 15")
+    else:
+        counts = " + ".join(f"len(regexp_extract_all(up, {quoted(p)}))" for p in language.money)
+        terms.append(f"least(({counts}) * 5, {language.money_limit})")
+    terms.append(f"{matches('up', language.dates)} * 10")
+    return f"least(100, {' + '.join(terms)})"
+
+
+DATE_FORMS = """(o_orderkey % 8)"""
+EXPECTED_RULE_SET = """CASE r WHEN 'AMERICA' THEN 'us' WHEN 'AFRICA' THEN 'us' WHEN 'EUROPE' THEN 'eu_consumer' WHEN 'ASIA' THEN 'japanese' ELSE 'swiss' END"""
+GROSS = "(unit_cents % 90000 + 1000)"
+EXPECTED_ITEMS = f"""expected_items AS (
+ SELECT order_id, region, CASE WHEN region = 'EUROPE' THEN asin END AS asin, description,
+  CASE WHEN region = 'EUROPE' THEN 1 ELSE quantity END AS quantity,
+  CAST(CASE region WHEN 'EUROPE' THEN {GROSS} WHEN 'ASIA' THEN unit_cents * 100 ELSE unit_cents END AS BIGINT) AS unit_cents,
+  CAST(CASE region WHEN 'EUROPE' THEN {GROSS} WHEN 'ASIA' THEN unit_cents * 100 WHEN 'AMERICA' THEN unit_cents * quantity ELSE unit_cents END AS BIGINT) AS total_cents
+ FROM items JOIN owners USING (order_id))"""
+
+
+def text_sql() -> dict[str, str]:
+    ranked = ", ".join(f"({i}, '{language.code}', p_{language.code})" for i, language in enumerate(languages.LANGUAGES))
+    votes = {code: " + ".join(matches("text", f"(?i){s}") for s in signs) for code, signs in formats.EU_LANGUAGE_SIGNS.items()}
+    best = f"greatest({', '.join('v_' + code for code in votes)})"
+    vote_case = " ".join(f"WHEN v_{code} = {best} THEN '{code}'" for code in reversed(list(votes)))
+    edge = "[^0-9A-Za-z_]"
+    return {
+        "clean_mojibake": "SELECT doc_id, text FROM documents",
+        "clean_light": with_(
+            SPACED,
+            body="""SELECT doc_id, regexp_replace(regexp_replace(replace(text, chr(9), ' '), ' {2,}', ' ', 'g'), '\\n{4,}',
+ repeat(chr(10), 3), 'g') AS text FROM spaced""",
+        ),
+        "clean_final": with_(
+            SPACED,
+            body="""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\\t\\f\\r]+', ' ', 'g'), ' {2,}', ' ', 'g'),
+ '\\n{3,}', repeat(chr(10), 2), 'g'), '(?m)^ +| +$', '', 'g'), ' ' || chr(10)) AS text FROM spaced""",
+        ),
+        "filter_report_docs": """SELECT doc_id, CAST(length(text) + CASE WHEN doc_id % 7 = 0 THEN 22 ELSE 0 END AS INTEGER) AS length
+ FROM documents WHERE doc_id % 9 <> 0""",
+        "parse_money": with_(
+            ITEMS,
+            body="""SELECT order_id, line_number, CASE WHEN f = 6 THEN 0 ELSE total_cents END AS tolerant_cents,
+ CASE f WHEN 6 THEN 0 WHEN 5 THEN -total_cents ELSE total_cents END AS signed_cents,
+ CASE f WHEN 6 THEN NULL WHEN 5 THEN -total_cents ELSE total_cents END AS strict_cents,
+ CASE f WHEN 1 THEN '€' WHEN 2 THEN '£' WHEN 3 THEN '€' WHEN 4 THEN 'CHF' WHEN 6 THEN NULL ELSE '$' END AS symbol,
+ f NOT IN (5, 6) AS well_formed FROM (SELECT *, line_number % 7 AS f FROM items)""",
+        ),
+        "parse_dates": """SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 8 <> 7 THEN CAST(o_orderdate AS DATE) END AS day,
+ CASE WHEN o_orderkey % 8 <> 7 THEN CAST(o_orderdate AS DATE) END AS report_day FROM orders""",
+        "classify_format": with_(
+            MARKED,
+            f"""scored AS (SELECT doc_id, {token_sum(formats.US_TOKENS)} AS us_score, {token_sum(formats.EU_TOKENS)} AS eu_score
+  FROM (SELECT doc_id, lower(text) AS low FROM marked)),
+ named AS (SELECT *, CASE WHEN us_score < 25 AND eu_score < 25 THEN NULL WHEN eu_score >= us_score THEN 'amazon.eu' ELSE 'amazon.com' END AS format,
+  greatest(us_score, eu_score) AS w, least(us_score, eu_score) >= 25 AS both_strong FROM scored),
+ graded AS (SELECT *, CASE WHEN w < 25 THEN 0 WHEN w >= 100 THEN 100 WHEN w >= 80 THEN CASE WHEN both_strong THEN 60 ELSE 80 END
+  WHEN w >= 60 THEN CASE WHEN both_strong THEN 55 ELSE 60 END WHEN w >= 40 THEN 40 ELSE 25 END AS format_confidence FROM named)""",
+            body="""SELECT doc_id, us_score, eu_score, format, CAST(format_confidence AS INTEGER) AS format_confidence,
+ CASE WHEN format_confidence < 25 THEN 'VERY LOW' WHEN format_confidence < 40 THEN 'LOW' WHEN format_confidence < 70 THEN 'MEDIUM' ELSE 'HIGH' END AS quality_level,
+ CASE WHEN format_confidence < 25 THEN 'reject' WHEN format_confidence < 70 THEN 'review' ELSE 'accept' END AS action FROM graded""",
+        ),
+        "classify_subtype": """SELECT doc_id, 'amazon.eu' AS format, CASE WHEN doc_id % 2 = 1 THEN 'business' ELSE 'consumer' END AS subtype
+ FROM documents""",
+        "detect_language": with_(
+            MARKED,
+            "points AS (SELECT doc_id, "
+            + ", ".join(f"{language_sum(language)} AS p_{language.code}" for language in languages.LANGUAGES)
+            + " FROM (SELECT doc_id, upper(text) AS up FROM marked))",
+            f"""long AS (SELECT doc_id, unnest([{", ".join(f"{{'place': {i}, 'code': '{language.code}', 'p': p_{language.code}}}" for i, language in enumerate(languages.LANGUAGES))}]) AS e FROM points),
+ best AS (SELECT doc_id, e.code AS code, e.p AS p, row_number() OVER (PARTITION BY doc_id ORDER BY e.p DESC, e.place) AS k FROM long)""",
+            body="""SELECT doc_id, CASE WHEN p >= 30 THEN code ELSE 'UNKNOWN' END AS language, CAST(p AS DOUBLE) / 100 AS language_confidence,
+ p >= 30 AS language_supported FROM best WHERE k = 1""",
+        ),
+        "eu_language_vote": with_(
+            MARKED,
+            "votes AS (SELECT doc_id, " + ", ".join(f"{v} AS v_{code}" for code, v in votes.items()) + " FROM marked)",
+            body=f"SELECT doc_id, CASE WHEN {best} = 0 THEN 'en' {vote_case} END AS language FROM votes",
+        ),
+        "route_documents": with_(
+            OWNERS,
+            body=f"""SELECT order_id, CASE WHEN r IN ('AMERICA', 'AFRICA') THEN 'amazon.com' WHEN r = 'EUROPE' THEN 'amazon.eu' END AS format,
+ CASE WHEN r = 'EUROPE' THEN 'consumer' END AS subtype, {EXPECTED_RULE_SET} AS rule_set FROM (SELECT order_id, region AS r FROM owners)""",
+        ),
+        "extract_headers": with_(
+            INVOICES,
+            ITEMS,
+            EXPECTED_ITEMS,
+            "gross AS (SELECT order_id, CAST(sum(total_cents) AS BIGINT) AS g FROM expected_items WHERE region = 'EUROPE' GROUP BY order_id)",
+            body="""SELECT order_id, order_number, CAST(order_date + INTERVAL 20 YEAR AS DATE) AS order_date,
+ CASE region WHEN 'EUROPE' THEN g WHEN 'ASIA' THEN subtotal_cents * 100 ELSE subtotal_cents END AS subtotal_cents,
+ CASE region WHEN 'ASIA' THEN shipping_cents * 100 ELSE shipping_cents END AS shipping_cents,
+ CASE region WHEN 'EUROPE' THEN NULL WHEN 'ASIA' THEN tax_cents * 100 ELSE tax_cents END AS tax_cents,
+ CAST(CASE region WHEN 'EUROPE' THEN coalesce(g, 0) + shipping_cents WHEN 'ASIA' THEN total_cents * 100 ELSE total_cents END AS BIGINT) AS total_cents,
+ currency, item_count FROM invoices LEFT JOIN gross USING (order_id)""",
+        ),
+        "extract_items": with_(
+            OWNERS,
+            ITEMS,
+            EXPECTED_ITEMS,
+            body="SELECT order_id, asin, description, quantity, unit_cents, total_cents FROM expected_items",
+        ),
+        "item_fingerprints": with_(
+            OWNERS,
+            ITEMS,
+            EXPECTED_ITEMS,
+            body="""SELECT order_id, asin, description, unit_cents, CAST(count(*) OVER (
+ PARTITION BY order_id, asin, description, quantity, unit_cents, total_cents) AS INTEGER) AS copies FROM expected_items""",
+        ),
+        "extract_csv": with_(
+            INVOICES,
+            ITEMS,
+            f"""placed AS (SELECT *, row_number() OVER (PARTITION BY order_id
+  ORDER BY line_number, part_key, supplier_key, total_cents, ship_date) AS position FROM items)""",
+            body=f"""SELECT CASE WHEN first THEN order_number END AS order_number,
+ CASE WHEN first THEN CAST(order_date + INTERVAL 20 YEAR AS DATE) END AS order_date,
+ CASE WHEN first THEN '$' || {fixed("subtotal_cents")} END AS subtotal, CASE WHEN first THEN '$' || {fixed("shipping_cents")} END AS shipping,
+ CASE WHEN first THEN '$' || {fixed("tax_cents")} END AS tax, CASE WHEN first THEN '$' || {fixed("tot")} END AS total,
+ CASE WHEN first THEN 'Amazon' END AS vendor, description AS item_description, '$' || {fixed("unit_cents")} AS item_price
+ FROM (SELECT invoices.*, invoices.total_cents AS tot, description, unit_cents, coalesce(position, 1) = 1 AS first
+  FROM invoices LEFT JOIN placed USING (order_id) WHERE region = 'AMERICA')""",
+        ),
+    }
+
+
 def all_sql() -> dict[str, str]:
-    return {**report_sql(), **job_sql(), **quality_sql(), **compare_sql()}
+    return {**report_sql(), **job_sql(), **quality_sql(), **compare_sql(), **text_sql()}

@@ -13,6 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The rule tables compile to thousands of column calls; recording the Python
+    # line of each costs far more than the calls themselves.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
