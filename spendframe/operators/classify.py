@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendframe.functions.arrays import quoted
+from spendframe.functions.plans import held
 from spendframe.operators.cleaning import light_clean
 from spendframe.rules import formats, languages
 
@@ -91,9 +92,9 @@ def classified(documents: DataFrame, text: str = "text") -> DataFrame:
     instead of repeating the token tests. The subtype is computed for European
     documents only.
     """
-    scored = documents.withColumn("light_text", light_clean(F.col(text)))
+    cleaned = held(documents, {"light_text": light_clean(F.col(text))})
     us, eu = format_scores("light_text")
-    scored = scored.withColumns({"us_score": us, "eu_score": eu})
+    scored = held(cleaned, {"us_score": us, "eu_score": eu})
     us, eu = F.col("us_score"), F.col("eu_score")
     named = scored.withColumns({"format": format_of(us, eu), "format_confidence": confidence_of(us, eu)})
     level, action = quality_of(F.col("format_confidence"))
@@ -137,15 +138,15 @@ def language_points(column: str, language: languages.Language) -> Column:
 
 def detected_language(documents: DataFrame, text: str = "text") -> DataFrame:
     """Add ``language`` and ``language_confidence``; the earlier language wins a tie."""
-    upper = documents.withColumn("upper_text", F.upper(F.coalesce(F.col(text), F.lit(""))))
+    upper = held(documents, {"upper_text": F.upper(F.coalesce(F.col(text), F.lit("")))})
     names = [f"points_{language.code}" for language in languages.LANGUAGES]
     points = {n: language_points("upper_text", language) for n, language in zip(names, languages.LANGUAGES)}
-    pointed = upper.withColumns(points).drop("upper_text")
+    pointed = held(upper, points, documents.columns)
     entries = [
         F.struct(F.col(name).alias("points"), F.lit(-rank).alias("rank"), F.lit(language.code).alias("code"))
         for rank, (name, language) in enumerate(zip(names, languages.LANGUAGES))
     ]
-    best = pointed.withColumn("best", F.array_max(F.array(*entries)))
+    best = held(pointed, {"best": F.array_max(F.array(*entries))}, documents.columns)
     known = F.col("best.points") >= languages.LEAST_POINTS
     return best.withColumns(
         {
@@ -156,7 +157,7 @@ def detected_language(documents: DataFrame, text: str = "text") -> DataFrame:
             .otherwise("Language patterns detected"),
             "language_supported": known,
         }
-    ).drop("best", *names)
+    ).drop("best")
 
 
 def eu_language(column: str) -> Column:

@@ -525,14 +525,14 @@ ITEM_FIELDS = ["asin", "description", "quantity", "unit_cents", "total_cents", "
 def exploded(invoices: DataFrame, keys: list[str]) -> DataFrame:
     """Items table of extracted invoices, with the position inside the document.
 
-    ``inline`` puts out plain columns. Taking fields of an exploded struct would
+    ``inline_outer`` puts out plain columns. Taking fields of an exploded struct would
     let the optimizer push each field into the item expression and repeat it.
     """
 
     def flat(item_: Column, index: Column) -> Column:
         return F.struct(index.alias("position"), *[item_[name].alias(name) for name in ITEM_FIELDS])
 
-    return invoices.select(*keys, F.inline(F.transform("items", flat)))
+    return invoices.select(*keys, F.inline_outer(F.transform("items", flat))).where(F.col("position").isNotNull())
 
 
 def fingerprints(invoices: DataFrame, keys: list[str]) -> DataFrame:
@@ -565,6 +565,8 @@ def fingerprints(invoices: DataFrame, keys: list[str]) -> DataFrame:
         )
         return F.map_from_arrays(F.transform(starts, lambda start: F.element_at(marks, start)), lengths)
 
-    filled = invoices.where(F.size("items") > 0)
-    counts = let(F.col("items"), lambda items: let(counted(items), lambda m: F.transform(items, lambda i: flat(i, m))))
-    return filled.select(*keys, F.inline(counts))
+    def marked(items: Column) -> Column:
+        return let(counted(items), lambda copies: F.transform(items, lambda i: flat(i, copies)))
+
+    rows = F.when(F.size("items") > 0, let(F.col("items"), marked))
+    return invoices.select(*keys, F.inline_outer(rows)).where(F.col("copies").isNotNull())

@@ -12,6 +12,7 @@ from spendframe.operators import classify, cleaning, compare, export, extract, i
 from spendframe.plans import pipeline
 from spendframe.rules.fields import RULE_SETS
 from spendframe.sources import corpus, star
+from spendframe.streaming import jobs as stream_jobs
 
 AS_OF = "2001-08-15"
 QUALITY_AS_OF = "2024-06-30"
@@ -478,8 +479,15 @@ def bakeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.bakeoff_summary(pipeline.bakeoff(documents, list(RULE_SETS)))
 
 
+def progress_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished and failed progress events counted per job, the batch form of the live progress."""
+    events = star.progress_events(spark, sf_dir).where(F.col("state").isin("completed", "failed"))
+    return stream_jobs.counted(events.withColumn("success", F.col("state") == "completed"))
+
+
 def text_queries() -> dict[str, Query]:
     return {
+        "stream_progress": progress_batch,
         "clean_mojibake": over_texts(cleaning.repair_encoding),
         "clean_light": over_texts(lambda text: cleaning.light_clean(spaced(text))),
         "clean_final": over_texts(lambda text: cleaning.final_clean(spaced(cleaning.repair_encoding(text)))),

@@ -807,6 +807,9 @@ def text_sql() -> dict[str, str]:
     vote_case = " ".join(f"WHEN v_{code} = {best} THEN '{code}'" for code in reversed(list(votes)))
     edge = "[^0-9A-Za-z_]"
     return {
+        "stream_progress": f"""SELECT job_id, processed, successful, failed, {rate("successful", "processed")} AS success_rate FROM (
+ SELECT user_id AS job_id, count(*) AS processed, CAST(count_if(event_type = 'purchase') AS BIGINT) AS successful,
+  CAST(count_if(event_type = 'error') AS BIGINT) AS failed FROM events WHERE event_type IN ('purchase', 'error') GROUP BY user_id)""",
         "clean_mojibake": "SELECT doc_id, text FROM documents",
         "clean_light": with_(
             SPACED,

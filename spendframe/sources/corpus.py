@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendframe.functions.money import european_amount, grouped_decimals, two_decimals
+from spendframe.functions.plans import spread
 from spendframe.operators.reports import month_name
 from spendframe.sources import star
 
@@ -129,7 +130,7 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.collect_list(F.struct(key.alias("key"), item_text().alias("text"))).alias("lines"),
         F.sum(gross_cents(F.col("unit_cents"))).alias("gross_sum"),
     )
-    joined = invoices.join(documents, "order_id", "left").na.fill(0, ["page", "gross_sum"])
+    joined = spread(invoices, "order_id").join(documents, "order_id", "left").na.fill(0, ["page", "gross_sum"])
     empty = F.array().cast("array<string>")
     in_order = F.coalesce(F.transform(F.array_sort("lines"), lambda line: line["text"]), empty)
     return joined.select(
