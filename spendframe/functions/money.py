@@ -9,6 +9,8 @@ for the first and 15.98 for the second.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,10 +96,7 @@ def is_money_text(text: Column) -> Column:
 
 def two_decimals(cents: Column) -> Column:
     """Cents as text with two decimals and no grouping."""
-    size = F.abs(cents)
-    sign = F.when(cents < 0, "-").otherwise("")
-    digits = F.lpad(size.cast("string"), F.greatest(F.length(size.cast("string")), F.lit(3)), F.lit("0"))
-    return F.concat(sign, F.regexp_replace(digits, r"(\d{2})$", ".$1"))
+    return (cents.cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast("decimal(20,2)").cast("string")
 
 
 def grouped_decimals(cents: Column) -> Column:

@@ -29,9 +29,9 @@ def hit(column: str, pattern: str, points: int = 1) -> str:
 
 
 def token_score(column: str, tokens: list[tuple[int, list[str]]]) -> Column:
-    """Sum of points of the tokens contained in a text, ignoring case."""
+    """Sum of points of the tokens contained in a lower-cased text."""
     return added(
-        [f"cast(contains(lower({column}), {quoted(w.lower())}) as int) * {points}" for points, words in tokens for w in words]
+        [f"cast(contains({column}, {quoted(w.lower())}) as int) * {points}" for points, words in tokens for w in words]
     )
 
 
@@ -93,8 +93,9 @@ def classified(documents: DataFrame, text: str = "text") -> DataFrame:
     documents only.
     """
     cleaned = held(documents, {"light_text": light_clean(F.col(text))})
-    us, eu = format_scores("light_text")
-    scored = held(cleaned, {"us_score": us, "eu_score": eu})
+    lowered = held(cleaned, {"lowered": F.lower("light_text")})
+    us, eu = format_scores("lowered")
+    scored = held(lowered, {"us_score": us, "eu_score": eu}, cleaned.columns)
     us, eu = F.col("us_score"), F.col("eu_score")
     named = scored.withColumns({"format": format_of(us, eu), "format_confidence": confidence_of(us, eu)})
     level, action = quality_of(F.col("format_confidence"))

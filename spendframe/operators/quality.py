@@ -13,6 +13,7 @@ figures are partial sums first; nothing gathers the items of an invoice.
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,15 @@ HEADER_MONEY = ["subtotal", "shipping", "tax", "total"]
 ISSUE = "struct<level:string,type:string,severity:string,message:string,fields:array<string>>"
 
 
-def issue(condition: Column, level: str, kind: str, severity: Column | str, message: Column, fields: list[str]) -> Column:
+class Issue(NamedTuple):
+    """A rule: when it applies, at which level, and the row it gives (null where it does not apply)."""
+
+    condition: Column
+    level: str
+    row: Column
+
+
+def issue(condition: Column, level: str, kind: str, severity: Column | str, message: Column, fields: list[str]) -> Issue:
     rank = F.lit(severity) if isinstance(severity, str) else severity
     row = F.struct(
         F.lit(level).alias("level"),
@@ -34,7 +43,7 @@ def issue(condition: Column, level: str, kind: str, severity: Column | str, mess
         message.alias("message"),
         F.array(*[F.lit(name) for name in fields]).alias("fields"),
     ).cast(ISSUE)
-    return F.when(condition, row)
+    return Issue(condition, level, F.when(condition, row))
 
 
 def text(*parts: Column | str) -> Column:
@@ -100,7 +109,7 @@ def asin_issues(items: DataFrame) -> DataFrame:
         " different prices: €", two_decimals(F.col("lowest_cents")), " to €", two_decimals(F.col("highest_cents")),
     )
     row = issue(F.lit(True), "error", "duplicate_item_different_prices", "critical", message, ["items"])
-    return found.select("order_id", row.alias("issue")).select("order_id", "issue.*")
+    return found.select("order_id", row.row.alias("issue")).select("order_id", "issue.*")
 
 
 def price_issues(items: DataFrame) -> DataFrame:
@@ -116,19 +125,19 @@ def price_issues(items: DataFrame) -> DataFrame:
     )
     return (
         items.where(price > rules.HIGH_PRICE_CENTS)
-        .select("order_id", F.coalesce(very_high, high).alias("issue"))
+        .select("order_id", F.coalesce(very_high.row, high.row).alias("issue"))
         .select("order_id", "issue.*")
     )
 
 
 def is_complex() -> Column:
     """Several subtotal labels in the text, or a subtotal far above the total."""
-    raw = F.coalesce(F.col("raw_text"), F.lit(""))
-    labels = [F.regexp_count(raw, F.lit(label)) > 1 for label in rules.SUBTOTAL_LABELS]
-    return reduce(lambda a, b: a | b, labels) | (F.col("subtotal_cents") > F.col("total_cents") * 2)
+    repeated = [F.col("raw_text").rlike(f"(?s){label}.*{label}") for label in rules.SUBTOTAL_LABELS]
+    several = F.coalesce(reduce(lambda a, b: a | b, repeated), F.lit(False))
+    return several | (F.col("subtotal_cents") > F.col("total_cents") * 2)
 
 
-def total_rule() -> list[Column]:
+def total_rule() -> list[Issue]:
     total, calculated = F.col("total_cents"), F.col("subtotal_cents") + F.col("shipping_cents") + F.col("tax_cents")
     exact = total.cast("double")
     base = F.greatest(exact * rules.TOTAL_TOLERANCE_SHARE, F.lit(float(rules.TOTAL_TOLERANCE_CENTS)))
@@ -150,7 +159,7 @@ def total_rule() -> list[Column]:
     return [issue(wrong, "warning", "mathematical_inconsistency", severity, message, HEADER_MONEY)]
 
 
-def item_sum_rule() -> list[Column]:
+def item_sum_rule() -> list[Issue]:
     gap = F.abs(F.col("price_sum") - F.col("subtotal_cents"))
     message = text(
         "Sum of item prices (", two_decimals(F.col("price_sum")), ") doesn't match subtotal (",
@@ -160,7 +169,7 @@ def item_sum_rule() -> list[Column]:
     return [issue(wrong, "warning", "item_subtotal_mismatch", "low", message, ["items", "subtotal"])]
 
 
-def item_value_rule() -> list[Column]:
+def item_value_rule() -> list[Issue]:
     subtotal, value = F.col("subtotal_cents"), F.col("value_sum")
     gap = F.abs(value - subtotal)
     checked = (F.col("items") > 0) & (subtotal > 0)
@@ -183,7 +192,7 @@ def item_value_rule() -> list[Column]:
     ]
 
 
-def date_rule(as_of: str) -> list[Column]:
+def date_rule(as_of: str) -> list[Issue]:
     shown = F.col("order_date")
     missing = F.coalesce(shown, F.lit("")) == ""
     placeholder = shown.contains("undefined") | shown.contains("null")
@@ -207,7 +216,7 @@ def date_rule(as_of: str) -> list[Column]:
     ]
 
 
-def currency_rule() -> list[Column]:
+def currency_rule() -> list[Issue]:
     header = F.array_distinct(F.array_compact(F.array(*[currency_symbol(F.col(name)) for name in HEADER_MONEY])))
     item_symbols = F.coalesce(F.col("item_symbols"), F.array().cast("array<string>"))
     mixed = F.size(F.array_union(header, item_symbols)) > 1
@@ -229,7 +238,7 @@ def currency_rule() -> list[Column]:
     return found
 
 
-def completeness_rule() -> list[Column]:
+def completeness_rule() -> list[Issue]:
     found = []
     for column, name in (("order_number", "orderNumber"), ("total", "total")):
         missing = F.coalesce(F.col(column), F.lit("")) == ""
@@ -253,21 +262,25 @@ def completeness_rule() -> list[Column]:
     return found
 
 
-def judged(invoices: DataFrame, items: DataFrame, rule_columns: list[Column]) -> DataFrame:
-    """Invoices with their item facts and the issues of the given rules in ``found``."""
+def with_facts(invoices: DataFrame, items: DataFrame) -> DataFrame:
+    """Invoices with their amounts in cents and their item facts."""
     if "raw_text" not in invoices.columns:
         invoices = invoices.withColumn("raw_text", F.lit(None).cast("string"))
     facts = with_cents(invoices).join(item_facts(items), "order_id", "left")
     counts = ["items", "price_sum", "value_sum", "very_high_prices", "high_prices", "described_items", "priced_items"]
-    facts = facts.na.fill(0, counts)
-    return facts.withColumn("found", F.array_compact(F.array(*rule_columns)))
+    return facts.na.fill(0, counts)
+
+
+def judged(invoices: DataFrame, items: DataFrame, found: list[Issue]) -> DataFrame:
+    """Invoices with the issues of the given rules in ``found``."""
+    return with_facts(invoices, items).withColumn("found", F.array_compact(F.array(*[i.row for i in found])))
 
 
 def listed(frame: DataFrame) -> DataFrame:
     return frame.select("order_id", F.explode("found").alias("issue")).select("order_id", "issue.*")
 
 
-def header_rules(as_of: str) -> list[Column]:
+def header_rules(as_of: str) -> list[Issue]:
     return [
         *total_rule(), *item_sum_rule(), *item_value_rule(), *date_rule(as_of), *currency_rule(), *completeness_rule(),
     ]
@@ -283,12 +296,14 @@ def issues(invoices: DataFrame, items: DataFrame, as_of: str) -> DataFrame:
 
 
 def score(invoices: DataFrame, items: DataFrame, as_of: str) -> DataFrame:
-    """Score, validity and summary text for every invoice."""
+    """Score, validity and summary text for every invoice. Rules are only counted, no issue row is built."""
     repeated = repeated_asins(items).groupBy("order_id").agg(F.count(F.lit(1)).alias("repeated"))
-    frame = judged(invoices, items, header_rules(as_of)).join(repeated, "order_id", "left")
+    frame = with_facts(invoices, items).join(repeated, "order_id", "left")
+    found = header_rules(as_of)
 
     def level(name: str) -> Column:
-        return F.size(F.filter("found", lambda row: row["level"] == name)).cast("bigint")
+        hits = [F.coalesce(i.condition, F.lit(False)).cast("bigint") for i in found if i.level == name]
+        return reduce(lambda a, b: a + b, hits)
 
     errors = level("error") + F.col("very_high_prices") + F.coalesce("repeated", F.lit(0))
     warnings = level("warning") + F.col("high_prices")
@@ -325,7 +340,8 @@ def parser_score(invoices: DataFrame, items: DataFrame) -> DataFrame:
     facts = invoices.join(item_facts(items), "order_id", "left").na.fill(0, ["items", "described_items"])
     p = rules.PARSER_PENALTIES
     number = F.col("order_number")
-    amounts = {name: strict_amount(F.col(name)) for name in HEADER_MONEY}
+    facts = facts.withColumns({f"{name}_amount": strict_amount(F.col(name)) for name in HEADER_MONEY})
+    amounts = {name: F.col(f"{name}_amount") for name in HEADER_MONEY}
     malformed = reduce(
         lambda a, b: a + b, [F.when(present(n) & v.isNull(), 1).otherwise(0) for n, v in amounts.items()]
     )
@@ -416,7 +432,7 @@ def checklist_a(invoices: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def assessed_money(name: str) -> Column:
-    value = strict_amount(F.col(name))
+    value = F.col(f"{name}_amount")
     return (
         F.when(F.coalesce(F.col(name), F.lit("")) == "", graded("missing", 0))
         .when(value.isNull(), graded("invalid", 10))
@@ -457,6 +473,8 @@ def field_assessments(as_of: str) -> dict[str, Column]:
 def checklist_b(invoices: DataFrame, items: DataFrame, as_of: str) -> DataFrame:
     """Weighted field assessment with status and recommendations."""
     facts = invoices.join(item_facts(items), "order_id", "left").na.fill(0, ["items", "described_items"])
+    money = ("subtotal", "shipping", "tax", "discount", "total")
+    facts = facts.withColumns({f"{name}_amount": strict_amount(F.col(name)) for name in money})
     assessed = field_assessments(as_of)
     ordered = list(rules.CHECKLIST_B)
     fields = facts.select("order_id", *[assessed[name].alias(name) for name in ordered])

@@ -124,8 +124,8 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     key = F.struct(*star.ITEM_ORDER)
     # Salting by the row content keeps the page of an item fixed when a task is run again.
-    spread = F.pmod(F.xxhash64(*star.ITEM_ORDER, "quantity"), F.col("pages"))
-    paged = lines.withColumn("page", F.when(F.col("pages") > 1, spread).otherwise(0).cast("int"))
+    salt = F.pmod(F.xxhash64(*star.ITEM_ORDER, "quantity"), F.col("pages"))
+    paged = lines.withColumn("page", F.when(F.col("pages") > 1, salt).otherwise(0).cast("int"))
     documents = paged.groupBy("order_id", "page").agg(
         F.collect_list(F.struct(key.alias("key"), item_text().alias("text"))).alias("lines"),
         F.sum(gross_cents(F.col("unit_cents"))).alias("gross_sum"),
