@@ -54,13 +54,16 @@ def tolerant_amount(text: Column, signed: bool = False) -> Column:
     with one or two digits behind it. The sign is dropped unless ``signed``.
     """
     kept = F.regexp_replace(text, r"[^\d.,\-]", "")
-    has_comma, has_dot = kept.contains(","), kept.contains(".")
+    has_comma, has_dot = text.contains(","), text.contains(".")
+    # Texts without a comma, the common case, skip the tests below.
     plain = (
-        F.when(has_comma & has_dot & kept.rlike(r",[^.,]*$"), _first_comma_to_dot(_without(kept, ".")))
-        .when(has_comma & ~has_dot & kept.rlike(r"^[^,]*,\d{1,2}$"), _first_comma_to_dot(kept))
+        F.when(~has_comma, kept)
+        .when(has_dot & kept.rlike(r",[^.,]*$"), _first_comma_to_dot(_without(kept, ".")))
+        .when(~has_dot & kept.rlike(r"^[^,]*,\d{1,2}$"), _first_comma_to_dot(kept))
         .otherwise(_without(kept, ","))
     )
-    value = F.coalesce(leading_number(F.regexp_extract(plain, r"[\d.]+", 0)), F.lit(0.0))
+    number = F.regexp_extract(plain, r"^[^\d.]*(\d+\.?\d*|\.\d+)", 1).try_cast("double")
+    value = F.coalesce(number, F.lit(0.0))
     if signed:
         value = F.when(plain.rlike(r"^-"), -value).otherwise(value)
     return value
@@ -69,10 +72,12 @@ def tolerant_amount(text: Column, signed: bool = False) -> Column:
 def strict_amount(text: Column) -> Column:
     """Number in a money text of a known shape, else null."""
     bare = F.trim(F.regexp_replace(text, STRIPPED_MARKS, ""))
+    # A text without a comma is a plain number whichever shape it has.
     number = (
-        F.when(bare.rlike(r"^\d{1,3}(?:\.\d{3})*,\d{2}$"), _first_comma_to_dot(_without(bare, ".")))
+        F.when(~text.contains(","), bare)
+        .when(bare.rlike(r"^\d{1,3}(?:\.\d{3})*,\d{2}$"), _first_comma_to_dot(_without(bare, ".")))
         .when(bare.rlike(r"^\d{1,3}(?:,\d{3})*\.\d{2}$"), _without(bare, ","))
-        .when(bare.rlike(r"^\d+[,.]\d+$"), F.replace(bare, F.lit(","), F.lit(".")))
+        .when(bare.rlike(r"^\d+,\d+$"), F.replace(bare, F.lit(","), F.lit(".")))
         .otherwise(bare)
     )
     return leading_number(number)

@@ -22,6 +22,8 @@ from spendframe.functions.money import currency_symbol, is_money_text, strict_am
 from spendframe.functions.numbers import rounded
 from spendframe.rules import quality as rules
 
+# Currency marks in the order of their bits.
+CURRENCY_MARKS = ["$", "€", "£", "¥", "CHF", "Fr"]
 HEADER_MONEY = ["subtotal", "shipping", "tax", "total"]
 ISSUE = "struct<level:string,type:string,severity:string,message:string,fields:array<string>>"
 
@@ -63,10 +65,17 @@ def item_price() -> Column:
 
 
 def item_facts(items: DataFrame) -> DataFrame:
-    """Sums and counts per invoice. The symbol set is bounded by the known currency marks."""
+    """Sums and counts per invoice.
+
+    Everything is a number, currency marks being bits of one, so the aggregate
+    stays a hash aggregate with map-side combining.
+    """
     price = item_price()
     described = F.coalesce(F.trim("description") != "", F.lit(False))
     quantity = F.coalesce(F.nullif(F.col("quantity"), F.lit(0)), F.lit(1))
+    symbol, bit = currency_symbol(F.col("price")), None
+    for place, mark in enumerate(CURRENCY_MARKS):
+        bit = F.when(symbol == mark, 1 << place) if bit is None else bit.when(symbol == mark, 1 << place)
     return items.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("items"),
         F.coalesce(F.sum("total_cents"), F.lit(0)).alias("price_sum"),
@@ -75,7 +84,7 @@ def item_facts(items: DataFrame) -> DataFrame:
         F.count_if((price > rules.HIGH_PRICE_CENTS) & (price <= rules.VERY_HIGH_PRICE_CENTS)).alias("high_prices"),
         F.count_if(described).alias("described_items"),
         F.count_if(described & (price > 0)).alias("priced_items"),
-        F.collect_set(currency_symbol(F.col("price"))).alias("item_symbols"),
+        F.coalesce(F.bit_or(bit), F.lit(0)).alias("symbol_bits"),
     )
 
 
@@ -218,7 +227,8 @@ def date_rule(as_of: str) -> list[Issue]:
 
 def currency_rule() -> list[Issue]:
     header = F.array_distinct(F.array_compact(F.array(*[currency_symbol(F.col(name)) for name in HEADER_MONEY])))
-    item_symbols = F.coalesce(F.col("item_symbols"), F.array().cast("array<string>"))
+    marks = [F.when(F.col("symbol_bits").bitwiseAND(1 << i) > 0, mark) for i, mark in enumerate(CURRENCY_MARKS)]
+    item_symbols = F.array_compact(F.array(*marks))
     mixed = F.size(F.array_union(header, item_symbols)) > 1
     found = [
         issue(
@@ -267,7 +277,10 @@ def with_facts(invoices: DataFrame, items: DataFrame) -> DataFrame:
     if "raw_text" not in invoices.columns:
         invoices = invoices.withColumn("raw_text", F.lit(None).cast("string"))
     facts = with_cents(invoices).join(item_facts(items), "order_id", "left")
-    counts = ["items", "price_sum", "value_sum", "very_high_prices", "high_prices", "described_items", "priced_items"]
+    counts = [
+        "items", "price_sum", "value_sum", "very_high_prices", "high_prices", "described_items", "priced_items",
+        "symbol_bits",
+    ]
     return facts.na.fill(0, counts)
 
 
