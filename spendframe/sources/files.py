@@ -25,8 +25,7 @@ def as_documents(texts: DataFrame) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """One document per text file below a directory."""
-    reader = spark.read.option("wholetext", "true").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
-    return as_documents(reader.text(path))
+    return as_documents(spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True))
 
 
 def read_invoices(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:

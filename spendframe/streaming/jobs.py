@@ -23,14 +23,8 @@ def checkpoint_folder(spark: SparkSession, name: str, given: str | None = None)
 
 
 def arriving_texts(spark: SparkSession, path: str, pattern: str = "*.txt", files_per_batch: int = 10000) -> DataFrame:
-    reader = (
-        spark.readStream.schema("value string")
-        .option("wholetext", "true")
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", str(files_per_batch))
-    )
-    return as_documents(reader.text(path))
+    reader = spark.readStream.option("maxFilesPerTrigger", str(files_per_batch))
+    return as_documents(reader.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True))
 
 
 def ingest(
