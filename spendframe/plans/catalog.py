@@ -453,6 +453,13 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def language_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of the language rule sets and of European business invoices."""
+    read = extract.extracted(corpus.language_texts(spark, sf_dir), list(corpus.LANGUAGE_LAYOUTS))
+    money_columns = [f"{n}_cents" for n in ("subtotal", "shipping", "tax", "discount", "total")]
+    return read.select("doc_id", "rule_set", "order_number", "order_date", *money_columns)
+
+
 def extracted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = items.exploded(read_corpus(spark, sf_dir), ["order_id"])
     return read.select("order_id", "asin", "description", "quantity", "unit_cents", "total_cents")
@@ -495,12 +502,14 @@ def text_queries() -> dict[str, Query]:
         "filter_report_docs": report_documents,
         "parse_money": money_texts,
         "parse_dates": date_texts,
+        "classify_scores": lambda s, d: format_classes(s, d).select("doc_id", "us_score", "eu_score"),
         "classify_format": format_classes,
         "classify_subtype": subtypes,
         "detect_language": languages_found,
         "eu_language_vote": language_votes,
         "route_documents": routes,
         "extract_headers": headers,
+        "extract_languages": language_headers,
         "extract_items": extracted_items,
         "item_fingerprints": repeated_items,
         "extract_csv": extracted_csv,

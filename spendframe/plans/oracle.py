@@ -7,6 +7,7 @@ from spendframe.plans.catalog import AS_OF, COMPARED_JOBS, ETA_AS_OF, QUALITY_AS
 from spendframe.rules import formats, languages
 from spendframe.rules import quality as rules
 from spendframe.rules.spending import CATEGORY_KEYWORDS, EXCHANGE_RATES
+from spendframe.sources.corpus import LANGUAGE_LAYOUTS
 from spendframe.sources.star import PRODUCT_NAMES, REGION_CURRENCY
 
 
@@ -878,6 +879,17 @@ def text_sql() -> dict[str, str]:
  CASE region WHEN 'EUROPE' THEN NULL WHEN 'ASIA' THEN tax_cents * 100 ELSE tax_cents END AS tax_cents,
  CAST(CASE region WHEN 'EUROPE' THEN coalesce(g, 0) + shipping_cents WHEN 'ASIA' THEN total_cents * 100 ELSE total_cents END AS BIGINT) AS total_cents,
  currency, item_count FROM invoices LEFT JOIN gross USING (order_id)""",
+        ),
+        "extract_languages": with_(
+            INVOICES,
+            body=f"""SELECT order_id AS doc_id, [{", ".join(quoted(n) for n in LANGUAGE_LAYOUTS)}][order_id % {len(LANGUAGE_LAYOUTS)} + 1] AS rule_set,
+ order_number, CAST(order_date + INTERVAL 20 YEAR AS DATE) AS order_date, subtotal_cents, shipping_cents, tax_cents,
+ CASE WHEN order_id % {len(LANGUAGE_LAYOUTS)} NOT IN (5, 6) THEN discount_cents END AS discount_cents, total_cents FROM invoices""",
+        ),
+        "classify_scores": with_(
+            MARKED,
+            body=f"""SELECT doc_id, {token_sum(formats.US_TOKENS)} AS us_score, {token_sum(formats.EU_TOKENS)} AS eu_score
+ FROM (SELECT doc_id, lower(text) AS low FROM marked)""",
         ),
         "extract_items": with_(
             OWNERS,

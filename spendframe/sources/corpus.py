@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendframe.functions.dates import MONTHS
 from spendframe.functions.money import european_amount, grouped_decimals, two_decimals
 from spendframe.functions.plans import spread
 from spendframe.operators.reports import month_name
@@ -140,3 +141,55 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
         star.lookup(F.col("region"), REGION_RULE_SET).alias("layout"),
         invoice_text(F.array_join(in_order, "\n")).alias("text"),
     )
+
+
+# Header layout of each language rule set: labels of number, date,
+# subtotal, shipping, tax, discount (empty where the market has none) and total,
+# how dates and amounts are written.
+LANGUAGE_LAYOUTS = {
+    "german": ("Bestellnummer: ", "Bestelldatum: ", "Zwischensumme: ", "Versand: ", "MwSt: ", "Rabatt: ", "Gesamtbetrag: ", "de", "euro"),
+    "french": ("Numéro de commande: ", "Date de commande: ", "Sous-total: ", "Livraison: ", "TVA: ", "Remise: ", "Total TTC: ", "fr", "euro"),
+    "spanish": ("Número de pedido: ", "Fecha del pedido: ", "Subtotal: ", "Envío: ", "IVA 21% ", "Descuento: ", "Total: ", "es", "euro"),
+    "italian": ("Numero d'ordine: ", "Data dell'ordine: ", "Subtotale: ", "Spedizione: ", "IVA: ", "Sconto: ", "Totale: ", "it", "euro_front"),
+    "english": ("Order Number: ", "Order Date: ", "Subtotal: ", "Shipping: ", "Tax: ", "Discount: ", "Grand Total: ", "en", "dollar"),
+    "australian": ("Order Number: ", "Order Placed: ", "Subtotal: ", "Postage: ", "GST: ", "", "Grand Total: ", "en", "grouped"),
+    "canadian_french": ("Commande ", "Date de commande: ", "Sous-total: ", "Livraison: ", "TPS: ", "", "Total: ", "fr", "comma"),
+    "eu_business": ("Bestellnummer ", "Bestelldatum ", "Zwischensumme ", "Versand ", "MwSt ", "Rabatt ", "Gesamtbetrag ", "dotted", "euro"),
+}
+
+
+def language_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One header text per order, the rule sets taking turns over the order keys."""
+    invoices = star.invoices(spark, sf_dir).withColumn("printed_date", F.add_months("order_date", 12 * YEARS_AHEAD))
+    day = F.col("printed_date")
+    year, month, number = F.year(day).cast("string"), F.month(day), F.dayofmonth(day).cast("string")
+
+    def date_in(style: str) -> Column:
+        if style == "dotted":
+            return F.concat(number, F.lit("."), month.cast("string"), F.lit("."), year)
+        name = F.element_at(F.array(*[F.lit(m) for m in MONTHS[style]]), month)
+        if style == "en":
+            return F.concat(F.initcap(name), F.lit(" "), number, F.lit(", "), year)
+        return F.concat(number, F.lit(". " if style == "de" else " "), name, F.lit(" "), year)
+
+    def amount_in(style: str, cents: Column) -> Column:
+        plain = two_decimals(cents)
+        comma = F.replace(plain, F.lit("."), F.lit(","))
+        return {
+            "euro": european_amount(cents),
+            "euro_front": F.concat(F.lit("€ "), comma),
+            "dollar": F.concat(F.lit("$"), plain),
+            "grouped": F.concat(F.lit("$"), grouped_decimals(cents)),
+            "comma": F.concat(F.lit("$ "), comma),
+        }[style]
+
+    turn, text, layout = F.col("order_id") % len(LANGUAGE_LAYOUTS), None, None
+    for place, (name, (order, date, *labels, date_style, style)) in enumerate(LANGUAGE_LAYOUTS.items()):
+        lines = [F.lit(order), F.col("order_number"), F.lit("\n" + date), date_in(date_style)]
+        for label, field in zip(labels, ("subtotal", "shipping", "tax", "discount", "total")):
+            if label:
+                lines += [F.lit("\n" + label), amount_in(style, F.col(f"{field}_cents"))]
+        page = F.concat(*lines)
+        text = F.when(turn == place, page) if text is None else text.when(turn == place, page)
+        layout = F.when(turn == place, name) if layout is None else layout.when(turn == place, name)
+    return invoices.select(F.col("order_id").alias("doc_id"), layout.alias("rule_set"), text.alias("clean_text"))
