@@ -128,10 +128,12 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     salt = F.pmod(F.xxhash64(*star.ITEM_ORDER, "quantity"), F.col("pages"))
     paged = lines.withColumn("page", F.when(F.col("pages") > 1, salt).otherwise(0).cast("int"))
     documents = paged.groupBy("order_id", "page").agg(
-        F.collect_list(F.struct(key.alias("key"), item_text().alias("text"))).alias("lines"),
-        F.sum(gross_cents(F.col("unit_cents"))).alias("gross_sum"),
+        F.collect_list(F.struct(key.alias("key"), item_text().alias("text"))).alias("lines")
     )
-    joined = spread(invoices, "order_id").join(documents, "order_id", "left").na.fill(0, ["page", "gross_sum"])
+    gross = star.items(spark, sf_dir).groupBy("order_id").agg(F.sum(gross_cents(F.col("unit_cents"))).alias("gross_sum"))
+    whole = invoices.join(gross, "order_id", "left")
+    pages = whole.join(documents, "order_id", "left").na.fill(0, ["page", "gross_sum"])
+    joined = spread(pages, "order_id", "page")
     empty = F.array().cast("array<string>")
     in_order = F.coalesce(F.transform(F.array_sort("lines"), lambda line: line["text"]), empty)
     return joined.select(
