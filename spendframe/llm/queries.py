@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendframe.llm import common, exact, lines, shards
+from spendframe.llm import common, decontam, exact, lines, shards, simhash
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.groups(docs, width=4, carry=["doc_id"])
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item it holds at least four fifths of."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = common.table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return decontam.contained(docs, items).select("doc_id", "item_id", "shared", "n_shingles")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,12 +40,26 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
+    "op2_decontamination": op2_decontamination,
     "op4_line_dedup": op4_line_dedup,
     "op7_sharding": op7_sharding,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 SQL = {
+    "op2_decontamination": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+        b AS (
+            SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+        ds AS (
+            SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM d),
+        bs AS (
+            SELECT item_id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM b),
+        sized AS (SELECT item_id, s, count(*) OVER (PARTITION BY item_id) AS n FROM bs)
+        SELECT doc_id, item_id, count(*) AS shared, n AS n_shingles
+        FROM ds JOIN sized USING (s) GROUP BY doc_id, item_id, n HAVING count(*) * 5 >= n * 4""",
     "op4_line_dedup": r"""
         WITH lines AS (
             SELECT d.doc_id, u.line, u.pos,
