@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendframe.llm import common, decontam, exact, lines, shards, simhash
+from spendframe.llm import common, decontam, exact, lines, pages, pieces, shards, simhash, token_counts, toxicity
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,28 +24,76 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained(docs, items).select("doc_id", "item_id", "shared", "n_shingles")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(common.table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.drop_common(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = common.table(spark, sf_dir, "labels").filter(~toxicity.held_out(F.col("doc_id")))
+    model = toxicity.fit(docs, labels)
+    return toxicity.judged(docs, model).select("doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     dealt = shards.assign(docs.withColumn("body", F.col("text")), text="body")
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after a load of all documents, the removal of those labelled poor, and a recount of those labelled good.
+
+    Documents labelled good are revised: their runs of white space become one space, and they move on to the
+    next version of the tokenizer. The last batch is sent twice and counts once.
+    """
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    labels = common.table(spark, sf_dir, "labels").filter("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    old, new = (open(public_tokenizers.path(f"{name}.tiktoken"), "rb").read() for name in TOKENIZERS)
+    loaded = common.stored(token_counts.measured(docs, TOKENIZERS[0], old, public_tokenizers.PATTERN))
+    good = labels.filter("quality = 1").select("doc_id")
+    rollup = token_counts.Rollup(spark, f"{common.shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup.commit("1-load", token_counts.signed(loaded, 1))
+    rollup.commit("2-remove", token_counts.signed(loaded.join(labels.filter("quality = 0"), "doc_id", "left_semi"), -1))
+    squeezed = docs.withColumn("text", F.regexp_replace("text", common.WHITE_RUN, " ")).join(good, "doc_id", "left_semi")
+    revised = common.stored(
+        token_counts.signed(loaded.join(good, "doc_id", "left_semi"), -1).unionByName(
+            token_counts.signed(token_counts.measured(squeezed, TOKENIZERS[1], new, public_tokenizers.PATTERN), 1)
+        )
+    )
+    for _ in range(2):
+        rollup.commit("3-revise", revised)
+    return rollup.totals()
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.encode(docs, model, digests=True).drop("text")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     digest = F.sha2(F.encode(exact.normalised(common.text_or_empty()), "UTF-8"), 256)
     return exact.mark(docs.withColumn("text_sha256", digest), carry=["doc_id", "text_sha256"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+TOKENIZERS = ("byte_bpe_50k", "byte_bpe_multi_50k")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_decontamination": op2_decontamination,
+    "op3_html_extraction": op3_html_extraction,
     "op4_line_dedup": op4_line_dedup,
+    "op5_toxicity": op5_toxicity,
     "op7_sharding": op7_sharding,
+    "op8_token_counts": op8_token_counts,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
