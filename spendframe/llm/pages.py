@@ -30,6 +30,8 @@ NAMED_NOISE = frozenset(
     "subscribe subscription signup login comment comments commentlist respond reply replies disqus discussion share sharing social related recommended "
     "recommendations pagination pager search searchform toolbar skip hidden complementary contentinfo".split()
 )
+# Parts of names that say something about what is beside an element, as in has-sidebar.
+ABOUT_OTHERS = frozenset("has with no without".split())
 # Comments and declarations, elements whose content is raw, and tags; a quote that never ends is part of no value.
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -72,8 +74,9 @@ def is_noise(name: str, attributes: str) -> bool:
         if key == "hidden" or key == "aria-hidden" and value == "true":
             return True
         if key in ("class", "id", "role") and name not in ("html", "body"):
-            if any(NAMED_NOISE.intersection(NAME_PARTS.findall(token)) for token in value.split()):
-                return True
+            for parts in map(NAME_PARTS.findall, value.split()):
+                if NAMED_NOISE.intersection(parts) and not ABOUT_OTHERS.intersection(parts):
+                    return True
     return False
 
 

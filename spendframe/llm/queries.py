@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendframe.llm import common, decontam, exact, lines, pages, pieces, shards, simhash, token_counts, toxicity
+from spendframe.llm import common, decontam, exact, lines, pages, passages, pieces, shards, simhash, token_counts, toxicity
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(docs, model).select("doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents with a passage of 50 words or more that is the same or nearly so."""
+    return passages.find(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     dealt = shards.assign(docs.withColumn("body", F.col("text")), text="body")
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_extraction": op3_html_extraction,
     "op4_line_dedup": op4_line_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_sharding": op7_sharding,
     "op8_token_counts": op8_token_counts,
     "op9_sentencepiece": op9_sentencepiece,
