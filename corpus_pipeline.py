@@ -2,21 +2,52 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spendframe.llm import common, exact
+from spendframe.llm import common, decontam, exact, pieces, simhash, toxicity
 
+# Fingerprints of five-word shingles; documents in this distance or less are near duplicates.
+NEAR_BITS = 6
+MODEL = "piece_bpe_32k.model"
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold; the model learns from all documents and from labels not held out."""
+    labels = common.table(spark, sf_dir, "labels").filter(~toxicity.held_out(F.col("doc_id")))
+    return toxicity.accepted(docs, toxicity.fit(docs, labels))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     return exact.distinct(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints."""
+    return simhash.distinct(docs, width=5, max_bits=NEAR_BITS)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The subword ids of each document, and where each piece begins in the text's bytes and ends."""
+    return pieces.encode(docs, pieces.read_model(public_tokenizers.path(MODEL))).select("doc_id", "lang", "source", "ids", "starts", "ends")
+
+
 STAGES = [
-    ("exact dedup", exact_dedup),
+    ("toxicity", reject_toxic),
+    ("exact dedup", drop_copies),
+    ("SimHash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("SentencePiece encoding", encode),
 ]
 
-# Scores of a trained model decide in the first stage, so SQL cannot give the rows.
+# A trained model decides in the first stage and a subword model in the last, so SQL cannot give the rows.
 ORACLE_SQL = None
 
 
