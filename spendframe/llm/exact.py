@@ -63,7 +63,8 @@ def mark(
             .select("_group", "_chunk", F.monotonically_increasing_id().alias("_next"), (F.length("_chunk") < width).alias("_ended"))
         )
         split = (
-            keyed.join(groups, ["_group", "_chunk"], "left")
+            # Merged at every size: a skewed side can be split, and the plan for small tables is that for large ones.
+            keyed.join(groups.hint("merge"), ["_group", "_chunk"], "left")
             .drop("_group", "_chunk")
             .withColumnRenamed("_next", "_group")
             .withColumn("_ended", F.coalesce("_ended", F.lit(True)))
