@@ -75,6 +75,6 @@ def report_date(text: Column) -> Column:
     return written_date(text, "de")
 
 
-def plausible(day: Column) -> Column:
-    """A real date of this century."""
-    return F.coalesce(F.year(day).between(2000, 2099), F.lit(False))
+def plausible(day: Column, first_year: int = 2000, last_year: int = 2099) -> Column:
+    """A real date in a range of years, for dates that no label marks as the date of the order."""
+    return F.coalesce(F.year(day).between(first_year, last_year), F.lit(False))

@@ -121,7 +121,8 @@ def counted_line(line: Column, rule_set: RuleSet) -> Column:
     def build(pattern: str, words: int, quantity: Column) -> Column:
         description, price = tidy(found(line, pattern, words)), priced(found(line, pattern, words + 1))
         unit = amount_cents(price)
-        return F.when(description.isNotNull() & ~is_summary(description, rule_set), item(description, quantity, unit, unit, price))
+        total = F.coalesce(unit * quantity, unit)
+        return F.when(description.isNotNull() & ~is_summary(description, rule_set), item(description, quantity, unit, total, price))
 
     return F.coalesce(
         build(counted, 2, F.regexp_extract(line, counted, 1).try_cast("int")), build(plain, 1, F.lit(None).cast("int"))

@@ -338,10 +338,15 @@ def search(rows: DataFrame, term: str, columns: list[str]) -> DataFrame:
     return rows.where(hit)
 
 
-def sorted_rows(rows: DataFrame, by: str, ascending: bool = True) -> DataFrame:
-    """Sort on any column; missing values come first ascending and last descending."""
+def sorted_rows(rows: DataFrame, by: str, ascending: bool = True, then: list[str] | None = None) -> DataFrame:
+    """Sort on any column; missing values come first ascending and last descending.
+
+    Equal values are ordered by ``then`` (all other columns by default), so the order is fixed and a column
+    with few values does not put most rows in one range.
+    """
     column = F.col(by)
-    return rows.orderBy(column.asc_nulls_first() if ascending else column.desc_nulls_last())
+    ties = [name for name in rows.columns if name != by] if then is None else then
+    return rows.orderBy(column.asc_nulls_first() if ascending else column.desc_nulls_last(), *ties)
 
 
 def result_for(results: DataFrame, filename: str) -> DataFrame:

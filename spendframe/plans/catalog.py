@@ -427,7 +427,7 @@ def language_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     routed = pipeline.prepared(corpus.rendered(spark, sf_dir))
-    return routed.select("order_id", "format", "subtype", "rule_set").distinct()
+    return routed.select("order_id", "format", "subtype", "rule_set")
 
 
 def read_corpus(spark: SparkSession, sf_dir: str, regions: list[str] | None = None) -> DataFrame:
@@ -439,17 +439,10 @@ def read_corpus(spark: SparkSession, sf_dir: str, regions: list[str] | None = No
 
 
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order: documents of one order agree, sums over items add up."""
-    read = read_corpus(spark, sf_dir)
-    return read.groupBy("order_id").agg(
-        F.min("order_number").alias("order_number"),
-        F.min("order_date").alias("order_date"),
-        F.when(F.min("subtotal_source") == "items", F.sum("subtotal_cents")).otherwise(F.max("subtotal_cents")).alias("subtotal_cents"),
-        F.max("shipping_cents").alias("shipping_cents"),
-        F.max("tax_cents").alias("tax_cents"),
-        F.max("total_cents").alias("total_cents"),
-        F.min("currency").alias("currency"),
-        F.sum(F.size("items").cast("bigint")).alias("item_count"),
+    """One row per order, as its document reads."""
+    money_columns = [f"{n}_cents" for n in ("subtotal", "shipping", "tax", "total")]
+    return read_corpus(spark, sf_dir).select(
+        "order_id", "order_number", "order_date", *money_columns, "currency", F.size("items").cast("bigint").alias("item_count")
     )
 
 

@@ -797,7 +797,7 @@ EXPECTED_ITEMS = f"""expected_items AS (
  SELECT order_id, region, CASE WHEN region = 'EUROPE' THEN asin END AS asin, description,
   CASE WHEN region = 'EUROPE' THEN 1 ELSE quantity END AS quantity,
   CAST(CASE region WHEN 'EUROPE' THEN {GROSS} WHEN 'ASIA' THEN unit_cents * 100 ELSE unit_cents END AS BIGINT) AS unit_cents,
-  CAST(CASE region WHEN 'EUROPE' THEN {GROSS} WHEN 'ASIA' THEN unit_cents * 100 WHEN 'AMERICA' THEN unit_cents * quantity ELSE unit_cents END AS BIGINT) AS total_cents
+  CAST(CASE region WHEN 'EUROPE' THEN {GROSS} WHEN 'ASIA' THEN unit_cents * 100 * quantity ELSE unit_cents * quantity END AS BIGINT) AS total_cents
  FROM items JOIN owners USING (order_id))"""
 
 
@@ -873,7 +873,7 @@ def text_sql() -> dict[str, str]:
             ITEMS,
             EXPECTED_ITEMS,
             "gross AS (SELECT order_id, CAST(sum(total_cents) AS BIGINT) AS g FROM expected_items WHERE region = 'EUROPE' GROUP BY order_id)",
-            body="""SELECT order_id, order_number, CAST(order_date + INTERVAL 20 YEAR AS DATE) AS order_date,
+            body="""SELECT order_id, order_number, CAST(order_date AS DATE) AS order_date,
  CASE region WHEN 'EUROPE' THEN g WHEN 'ASIA' THEN subtotal_cents * 100 ELSE subtotal_cents END AS subtotal_cents,
  CASE region WHEN 'ASIA' THEN shipping_cents * 100 ELSE shipping_cents END AS shipping_cents,
  CASE region WHEN 'EUROPE' THEN NULL WHEN 'ASIA' THEN tax_cents * 100 ELSE tax_cents END AS tax_cents,
@@ -883,7 +883,7 @@ def text_sql() -> dict[str, str]:
         "extract_languages": with_(
             INVOICES,
             body=f"""SELECT order_id AS doc_id, [{", ".join(quoted(n) for n in LANGUAGE_LAYOUTS)}][order_id % {len(LANGUAGE_LAYOUTS)} + 1] AS rule_set,
- order_number, CAST(order_date + INTERVAL 20 YEAR AS DATE) AS order_date, subtotal_cents, shipping_cents, tax_cents,
+ order_number, CAST(order_date AS DATE) AS order_date, subtotal_cents, shipping_cents, tax_cents,
  CASE WHEN order_id % {len(LANGUAGE_LAYOUTS)} NOT IN (5, 6) THEN discount_cents END AS discount_cents, total_cents FROM invoices""",
         ),
         "classify_scores": with_(
@@ -910,7 +910,7 @@ def text_sql() -> dict[str, str]:
             f"""placed AS (SELECT *, row_number() OVER (PARTITION BY order_id
   ORDER BY line_number, part_key, supplier_key, total_cents, ship_date) AS position FROM items)""",
             body=f"""SELECT CASE WHEN first THEN order_number END AS order_number,
- CASE WHEN first THEN CAST(order_date + INTERVAL 20 YEAR AS DATE) END AS order_date,
+ CASE WHEN first THEN CAST(order_date AS DATE) END AS order_date,
  CASE WHEN first THEN '$' || {fixed("subtotal_cents")} END AS subtotal, CASE WHEN first THEN '$' || {fixed("shipping_cents")} END AS shipping,
  CASE WHEN first THEN '$' || {fixed("tax_cents")} END AS tax, CASE WHEN first THEN '$' || {fixed("tot")} END AS total,
  CASE WHEN first THEN 'Amazon' END AS vendor, description AS item_description, '$' || {fixed("unit_cents")} AS item_price

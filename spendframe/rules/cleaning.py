@@ -4,7 +4,9 @@ from __future__ import annotations
 
 # Characters whose UTF-8 bytes are often read as single-byte text.
 # The damaged form of each follows from that rule.
-REPAIRED_CHARACTERS = "éèêëáâäãåçíîïóôöõúûüñßťňřšž€‚„…†‡‰‹›™•–—‘’“"
+REPAIRED_CHARACTERS = "éèêëàáâäãåçíîïóôöõúûüñßťňřšž€‚„…†‡‰‹›™•–—‘’“"
+# Capitals of the same letters; a few have no damaged form in single-byte text and stay.
+REPAIRED_CHARACTERS += "ÉÈÊËÀÁÂÄÃÅÇÍÎÏÓÔÖÕÚÛÜÑŤŇŘŠŽ"
 LEAD_CHARACTERS = "[ÃâÅ]"
 LONE_LEAD = ("Ã", "à")
 

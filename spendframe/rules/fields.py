@@ -281,7 +281,7 @@ UK = replace(
 SWISS = RuleSet(
     "swiss", "de", "CHF",
     order_labels=["Bestellnummer[:\\s]*", "Bestell-Nr[:\\s]*", "Bestellung\\s*"],
-    date_labels=["Bestelldatum"],
+    date_labels=["Bestelldatum", "Datum"],
     date_shapes=[NAMED_DAY_FIRST, DOTTED, SLASHED, DASHED],
     labels={
         "subtotal": ["Zwischensumme", "Subtotal", "Zwischentotal"],

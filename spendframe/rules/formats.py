@@ -20,7 +20,8 @@ EU_TOKENS = [
     (15, ["Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember"]),
     (15, ["janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"]),
     (15, ["enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"]),
-    (15, ["gennaio", "febbraio", "aprile", "maggio", "giugno", "luglio", "settembre", "ottobre", "novembre", "dicembre"]),
+    # marzo, agosto and novembre are months of two languages and count once.
+    (15, ["gennaio", "febbraio", "aprile", "maggio", "giugno", "luglio", "settembre", "ottobre", "dicembre"]),
     (25, ["Rechnung", "Commande", "Ordine", "Pedido", "Bestellung", "Facture", "Fattura", "Factura"]),
 ]
 

@@ -1,7 +1,6 @@
 """Invoice texts rendered from the star-schema tables, for round-trip checks of extraction.
 
-One document per order, in a layout per region. An order with very many items is
-spread over several documents, so no document grows without bound.
+One document per order, in a layout per region.
 """
 
 from __future__ import annotations
@@ -15,9 +14,6 @@ from spendframe.functions.plans import spread
 from spendframe.operators.reports import month_name
 from spendframe.sources import star
 
-ITEMS_PER_DOCUMENT = 500
-YEARS_AHEAD = 20
-
 # Rule set of each region's layout.
 REGION_RULE_SET = {
     "AMERICA": "us",
@@ -118,26 +114,19 @@ def invoice_text(item_lines: Column) -> Column:
 
 
 def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with ``doc_id`` (order and page), ``order_id``, ``region``, ``layout`` and ``text``."""
-    invoices = star.invoices(spark, sf_dir).withColumn("printed_date", F.add_months("order_date", 12 * YEARS_AHEAD))
-    lines = star.items(spark, sf_dir).join(
-        invoices.select("order_id", "region", F.ceil(F.col("item_count") / ITEMS_PER_DOCUMENT).alias("pages")), "order_id"
-    )
+    """Documents with ``doc_id``, ``order_id``, ``region``, ``layout`` and ``text``."""
+    invoices = star.invoices(spark, sf_dir).withColumn("printed_date", F.col("order_date"))
+    lines = star.items(spark, sf_dir).join(invoices.select("order_id", "region"), "order_id")
     key = F.struct(*star.ITEM_ORDER)
-    # Salting by the row content keeps the page of an item fixed when a task is run again.
-    salt = F.pmod(F.xxhash64(*star.ITEM_ORDER, "quantity"), F.col("pages"))
-    paged = lines.withColumn("page", F.when(F.col("pages") > 1, salt).otherwise(0).cast("int"))
-    documents = paged.groupBy("order_id", "page").agg(
-        F.collect_list(F.struct(key.alias("key"), item_text().alias("text"))).alias("lines")
+    documents = lines.groupBy("order_id").agg(
+        F.collect_list(F.struct(key.alias("key"), item_text().alias("text"))).alias("lines"),
+        F.sum(gross_cents(F.col("unit_cents"))).alias("gross_sum"),
     )
-    gross = star.items(spark, sf_dir).groupBy("order_id").agg(F.sum(gross_cents(F.col("unit_cents"))).alias("gross_sum"))
-    whole = invoices.join(gross, "order_id", "left")
-    pages = whole.join(documents, "order_id", "left").na.fill(0, ["page", "gross_sum"])
-    joined = spread(pages, "order_id", "page")
+    joined = spread(invoices.join(documents, "order_id", "left").na.fill(0, ["gross_sum"]), "order_id")
     empty = F.array().cast("array<string>")
     in_order = F.coalesce(F.transform(F.array_sort("lines"), lambda line: line["text"]), empty)
     return joined.select(
-        F.concat_ws("-", F.col("order_id").cast("string"), F.col("page").cast("string")).alias("doc_id"),
+        F.col("order_id").cast("string").alias("doc_id"),
         "order_id",
         "region",
         star.lookup(F.col("region"), REGION_RULE_SET).alias("layout"),
@@ -162,8 +151,8 @@ LANGUAGE_LAYOUTS = {
 
 def language_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One header text per order, the rule sets taking turns over the order keys."""
-    invoices = star.invoices(spark, sf_dir).withColumn("printed_date", F.add_months("order_date", 12 * YEARS_AHEAD))
-    day = F.col("printed_date")
+    invoices = star.invoices(spark, sf_dir)
+    day = F.col("order_date")
     year, month, number = F.year(day).cast("string"), F.month(day), F.dayofmonth(day).cast("string")
 
     def date_in(style: str) -> Column:
