@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -11,12 +12,13 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2
 
 from spendframe.llm import common
 
 MARK = "▁"
-ENCODED = "struct<ids: array<int>, starts: array<int>, ends: array<int>>"
+HELD_IDS = 200_000
 DIGESTS = "struct<n_tokens: long, ids_sha256: string, decoded_sha256: string, n_spanned: long>"
 
 
@@ -161,21 +163,32 @@ def read_model(path: str) -> bytes:
         return file.read()
 
 
-def encoded(text: Column, model: bytes) -> Column:
-    """Ids with an end id, and the byte span of each; the end id has an empty span at the end of the text."""
+def encoded(rows: DataFrame, model: bytes) -> DataFrame:
+    """Rows (_row, _text) with ids, their starts and ends; the end id has an empty span at the end of the text.
 
-    @F.arrow_udf(ENCODED)
-    def of_batch(texts: pa.Array) -> pa.Array:
-        own, rows = encoder(model), []
-        for body in texts.to_pylist():
-            ids = own.ids(body)
-            starts, ends = own.spans(body, ids)
-            size = len(body.encode("utf-8", "replace"))
-            rows.append({"ids": [*ids, own.end], "starts": [*starts.tolist(), size], "ends": [*ends.tolist(), size]})
-        kind = pa.list_(pa.int32())
-        return pa.array(rows, pa.struct([("ids", kind), ("starts", kind), ("ends", kind)]))
+    Results are given out a few texts at a time, so that a task never holds those of a whole batch.
+    """
 
-    return of_batch(F.coalesce(text.cast("string"), F.lit("")))
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(model)
+        for batch in batches:
+            first, held, lists = 0, 0, ([], [], [])
+            for at, body in enumerate(batch.column(1)):
+                text = body.as_py()
+                ids = own.ids(text)
+                starts, ends = own.spans(text, ids)
+                size = len(text.encode("utf-8", "replace"))
+                for kept, values, last in zip(lists, (ids, starts, ends), (own.end, size, size), strict=True):
+                    kept.append(np.append(np.asarray(values, dtype=np.int32), np.int32(last)))
+                held += len(ids)
+                if held > HELD_IDS or at == batch.num_rows - 1:
+                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists[0]])]).astype(np.int32)
+                    columns = [pa.ListArray.from_arrays(offsets, np.concatenate(x)) for x in lists]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, at + 1 - first), *columns], ["_row", "ids", "starts", "ends"])
+                    first, held, lists = at + 1, 0, ([], [], [])
+
+    schema = T.StructType([rows.schema["_row"], *[T.StructField(name, T.ArrayType(T.IntegerType())) for name in ("ids", "starts", "ends")]])
+    return rows.mapInArrow(of_batches, schema)
 
 
 def digested(text: Column, model: bytes) -> Column:
@@ -212,7 +225,11 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", digests: bool = Fa
     an empty table gives an empty table, no shuffle is made. Input columns named like a result are replaced.
     """
     names = list(docs.columns)
-    result = digested(docs[text], model) if digests else encoded(docs[text], model)
     fields = ["n_tokens", "ids_sha256", "decoded_sha256", "n_spanned"] if digests else ["ids", "starts", "ends"]
-    rows = docs.select(common.packed(docs).alias("_row"), result.alias("_found"))
-    return rows.select(*common.unpacked("_row", names, set(fields)), *[F.col(f"_found.{name}").alias(name) for name in fields])
+    carried = [name for name in names if name not in fields]
+    if not digests:
+        body = F.coalesce(docs[text].cast("string"), F.lit(""))
+        found = encoded(docs.select(common.packed(docs, carried).alias("_row"), body.alias("_text")), model)
+        return found.select(*common.unpacked("_row", carried), *fields)
+    rows = docs.select(common.packed(docs, carried).alias("_row"), digested(docs[text], model).alias("_found"))
+    return rows.select(*common.unpacked("_row", carried), *[F.col(f"_found.{name}").alias(name) for name in fields])
