@@ -18,22 +18,32 @@ MAX_BITS = 4
 NODE_ROWS = 16_384
 STEP = 4
 HASH_SEED = 42
+# The search for looser copies: fingerprints of two-word runs, then runs of five words compared.
+SEARCH_WIDTH = 2
+SEARCH_BITS = 7
+RUN_WIDTH = 5
+SHARE = (4, 5)
 RESULTS = ("fingerprint", "component_id")
 
 
-def fingerprint(text: bytes, width: int) -> int:
-    """64 bits, each set where it is set in over half of the hashes of the text's shingles."""
+def run_hashes(text: bytes, width: int) -> list[int]:
+    """A hash of each run of ``width`` words, repeats included; of the whole text where it has fewer words."""
     words = text.lower().split()
     if not words:
+        return []
+    line, digest, seed = b" ".join(words), xxhash.xxh64_intdigest, HASH_SEED
+    if len(words) <= width:
+        return [digest(line, seed)]
+    ends = list(accumulate(len(word) + 1 for word in words))
+    starts = [0, *ends]
+    return [digest(line[a : b - 1], seed) for a, b in zip(starts, ends[width - 1 :], strict=False)]
+
+
+def fingerprint(text: bytes, width: int) -> int:
+    """64 bits, each set where it is set in over half of the hashes of the text's shingles."""
+    hashes = run_hashes(text, width)
+    if not hashes:
         return 0
-    if len(words) > width:
-        line = b" ".join(words)
-        ends = list(accumulate(len(word) + 1 for word in words))
-        starts = [0, *ends]
-        digest, seed = xxhash.xxh64_intdigest, HASH_SEED
-        hashes = [digest(line[a : b - 1], seed) for a, b in zip(starts, ends[width - 1 :], strict=False)]
-    else:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), HASH_SEED)]
     values = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(values), 65_536):
@@ -52,6 +62,17 @@ def fingerprints(text: Column, width: int) -> Column:
     return of_batch(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
 
 
+def run_sets(text: Column, width: int) -> Column:
+    """The distinct hashes of each text's runs of words; null texts are empty."""
+
+    @F.arrow_udf("array<long>")
+    def of_batch(texts: pa.Array) -> pa.Array:
+        values = [np.unique(np.array(run_hashes(body.as_py(), width), dtype=np.uint64)).view(np.int64) for body in texts]
+        return pa.array(values, pa.list_(pa.int64()))
+
+    return of_batch(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
 def hex_text(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
@@ -277,3 +298,70 @@ def distinct(docs: DataFrame, text: str = "text", key: str = "doc_id", width: in
     if not first.filter("_n > 1").isEmpty():  # rows alike in all that orders them
         chosen = chosen.dropDuplicates(["_print", "_k", "_t"])
     return chosen.select(*common.unpacked("_row", names))
+
+
+def several(members: DataFrame) -> DataFrame:
+    """Members (_id, _root) of classes with more than one id."""
+    roots = members.groupBy("_root").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high")).filter("_low <> _high").select("_root")
+    return members.join(roots, "_root", "left_semi")
+
+
+def distinct_verified(
+    docs: DataFrame,
+    text: str = "text",
+    key: str = "doc_id",
+    width: int = SEARCH_WIDTH,
+    max_bits: int = SEARCH_BITS,
+    run: int = RUN_WIDTH,
+    share: tuple[int, int] = SHARE,
+) -> DataFrame:
+    """The rows of ``docs`` less those whose runs of ``run`` words are alike to those of a row that leads them.
+
+    The trie finds classes of fingerprints over ``width`` words. Fewer words make steadier fingerprints: a changed
+    word changes fewer runs, so a small budget finds looser copies. Every member of a class is then compared with
+    the row of the smallest key (null keys last), and goes where the sets of their runs have a Jaccard similarity
+    of ``share`` or more. The others are compared in rounds with twice as many leading rows each, until every
+    one has led or gone. So a class of many copies costs one comparison for each, never all pairs, and no row
+    goes on the word of fingerprints alone. A row that is alike only to rows that have gone already stays.
+
+    Rows alike in key and text count as one, and any one of them stays. Texts without words are alike; null texts
+    are empty. An empty table gives an empty table. Columns stay as they are.
+    """
+    names, body = list(docs.columns), F.coalesce(docs[text].cast("string"), F.lit(""))
+    own_id = F.xxhash64(docs[key], body).alias("_id")
+    prints = docs.select(own_id, docs[key].alias("_key"), fingerprints(docs[text], width).alias("_print"))
+    light = common.stored(prints.groupBy("_id", "_print").agg(F.min("_key").alias("_key"), F.count(F.lit(1)).alias("_n")))
+    found = classes(light.select("_key", "_print"), max_bits)
+    rank = F.struct(F.col("_key").isNull().alias("n"), F.col("_key").alias("k"), F.col("_id").alias("i"))
+    members = common.stored(several(light.join(found, "_print").select("_id", "_root", rank.alias("_rank"))))
+    sets = docs.select(own_id, body.alias("_body")).join(members.select("_id"), "_id", "left_semi").dropDuplicates(["_id"])
+    sets = common.stored(sets.select("_id", run_sets(F.col("_body"), run).alias("_runs")))
+    lead_sets = sets.select(F.col("_id").alias("_with"), F.col("_runs").alias("_lead_runs"))
+    shared = F.size(F.array_intersect("_runs", "_lead_runs"))
+    alike = shared * share[1] >= (F.size("_runs") + F.size("_lead_runs") - shared) * share[0]
+
+    gone, level = [], 0
+    while True:
+        part = F.pmod(F.xxhash64("_id", F.lit(level)), F.lit(2**level))
+        leads = common.stored(members.groupBy("_root", part.alias("_part")).agg(F.min("_rank").alias("_lead")).select("_root", "_lead"))
+        leading = leads.select(F.col("_lead.i").alias("_id"), F.lit(True).alias("_leads"))
+        # Of two leading rows the later one can go; any other row can go by each of them.
+        pairs = (
+            members.join(leads, "_root")
+            .filter(F.col("_id") != F.col("_lead.i"))
+            .join(leading, "_id", "left")
+            .filter(F.col("_leads").isNull() | (F.col("_rank") > F.col("_lead")))
+            .select("_id", F.col("_lead.i").alias("_with"))
+        )
+        gone.append(common.stored(pairs.join(sets, "_id").join(lead_sets, "_with").filter(alike).select("_id").distinct()))
+        done = gone[-1].unionByName(leading.select("_id"))
+        members = common.stored(several(members.join(done, "_id", "left_anti")))
+        if members.isEmpty():
+            break
+        level += 1
+
+    rows = docs.select(common.packed(docs).alias("_row"), own_id)
+    kept = rows.join(reduce(DataFrame.unionByName, gone), "_id", "left_anti")
+    if not light.filter("_n > 1").isEmpty():
+        kept = kept.dropDuplicates(["_id"])
+    return kept.select(*common.unpacked("_row", names))

@@ -60,7 +60,7 @@ def test_exact_distinct_keeps_columns(docs_of, odd_rows):
 def test_empty_tables(docs_of):
     empty = docs_of([])
     assert exact.mark(empty).count() == 0 and exact.distinct(empty).count() == 0
-    assert simhash.groups(empty).count() == 0 and simhash.distinct(empty).count() == 0
+    assert simhash.groups(empty).count() == 0 and simhash.distinct(empty).count() == simhash.distinct_verified(empty).count() == 0
     assert lines.drop_common(empty).count() == 0
     assert shards.assign(empty).count() == 0
 
@@ -104,6 +104,43 @@ def test_simhash_distinct_keeps_one_row_of_each_class(docs_of, odd_rows):
     assert kept.dtypes == docs.dtypes and kept.count() == len(classes)
 
 
+def run_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def test_simhash_distinct_verified(docs_of, odd_rows):
+    rng = random.Random(8)
+    words = [f"v{i}" for i in range(2000)]
+    rows = list(odd_rows)
+    for i in range(25):
+        base = [rng.choice(words) for _ in range(300)]
+        rows.append((1000 + 10 * i, " ".join(base)))
+        for k, changes in enumerate((1, 2, 3, 12, 12, 90), start=1):
+            copy = list(base)
+            for at in rng.sample(range(300), changes):
+                copy[at] = "x" + rng.choice(words)
+            rows.append((1000 + 10 * i + k, " ".join(copy)))
+    docs = docs_of(rows)
+    kept = simhash.distinct_verified(docs)
+    assert kept.dtypes == docs.dtypes
+    texts = {(row.doc_id, row.text) for row in kept.collect()}
+    assert kept.count() == len(texts)
+    sets = {row: run_set(row[1]) for row in set(rows)}
+    # No row goes without a row of an earlier key that it is alike to; rows with very close texts do go.
+    for row in set(rows) - texts:
+        assert any(alike(sets[row], other) for at, other in sets.items() if at != row and at[0] is not None)
+    assert all((1000 + 10 * i, k) not in {(d - d % 10, d % 10) for d, _ in texts if d and d >= 1000} for i in range(25) for k in (1, 2))
+    assert all(any(d == 1000 + 10 * i + k for d, _ in texts) for i in range(25) for k in (0, 6))
+    # No row is held against a row that went already, so only rows that stay differ from each other.
+    odd = [row for row in texts if row[0] is None or row[0] < 1000]
+    assert len(odd) == 4 and not any(alike(sets[a], sets[b]) for a in odd for b in odd if a != b)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 2**32), st.integers(2, 300), st.integers(1, 12))
 def test_trie_finds_all_close_pairs(seed, size, flips):
