@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 from spendframe.llm import common, decontam, exact, pieces, simhash, toxicity
 
-# Fingerprints of five-word shingles; documents in this distance or less are near duplicates.
-NEAR_BITS = 6
 MODEL = "piece_bpe_32k.model"
 
 
@@ -25,8 +23,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints."""
-    return simhash.distinct(docs, width=5, max_bits=NEAR_BITS)
+    """One of the documents whose five-word runs have a similarity of 0.8 or more, found by their fingerprints."""
+    return simhash.distinct_verified(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
