@@ -61,14 +61,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = common.table(spark, sf_dir, "labels").filter("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     old, new = (open(public_tokenizers.path(f"{name}.tiktoken"), "rb").read() for name in TOKENIZERS)
     loaded = common.stored(token_counts.measured(docs, TOKENIZERS[0], old, public_tokenizers.PATTERN))
-    good = labels.filter("quality = 1").select("doc_id")
+    # Counts are joined and never texts, so a document of any length moves as one small row; merged at every size.
+    good, poor = (labels.filter(f"quality = {q}").select("doc_id").hint("merge") for q in (1, 0))
+    squeezed = docs.withColumn("text", F.regexp_replace("text", common.WHITE_RUN, " "))
+    recounted = common.stored(token_counts.measured(squeezed, TOKENIZERS[1], new, public_tokenizers.PATTERN))
     rollup = token_counts.Rollup(spark, f"{common.shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
     rollup.commit("1-load", token_counts.signed(loaded, 1))
-    rollup.commit("2-remove", token_counts.signed(loaded.join(labels.filter("quality = 0"), "doc_id", "left_semi"), -1))
-    squeezed = docs.withColumn("text", F.regexp_replace("text", common.WHITE_RUN, " ")).join(good, "doc_id", "left_semi")
+    rollup.commit("2-remove", token_counts.signed(loaded.join(poor, "doc_id", "left_semi"), -1))
     revised = common.stored(
         token_counts.signed(loaded.join(good, "doc_id", "left_semi"), -1).unionByName(
-            token_counts.signed(token_counts.measured(squeezed, TOKENIZERS[1], new, public_tokenizers.PATTERN), 1)
+            token_counts.signed(recounted.join(good, "doc_id", "left_semi"), 1)
         )
     )
     for _ in range(2):
