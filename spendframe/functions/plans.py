@@ -20,6 +20,15 @@ def held(frame: DataFrame, columns: dict[str, Column], keep: list[str] | None =
     return frame.select(*kept, F.inline(F.array(row)))
 
 
+def outer_split(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join as an inner join and the rows without a match; a hot key on either side can be split at run time.
+
+    Of a left join only the left side can be.
+    """
+    missing = left.join(right.select(key).distinct(), key, "left_anti")
+    return left.join(right, key).unionByName(missing, allowMissingColumns=True)
+
+
 def spread(frame: DataFrame, *keys: str) -> DataFrame:
     """Partition by keys into as many parts as the session shuffles into.
 

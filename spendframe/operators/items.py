@@ -28,7 +28,9 @@ SHORTEST_DESCRIPTION = 10
 ASIN_LINE = r"(?i)ASIN:\s*([A-Z0-9]+)"
 ASIN_CODE = r"ASIN:\s*([A-Z0-9]{10})"
 FULL_EURO_PRICE = r"([\d.,]+)\s*€(\d+)%([\d.,]+)\s*€([\d.,]+)\s*€"
-EURO_AMOUNT = r"(\d+,\d{2})\s*€"
+# Amounts with or without dots between thousands; never the tail of a longer number.
+EURO_DIGITS = r"(\d{1,3}(?:\.\d{3})+,\d{2}|\d+,\d{2})"
+EURO_AMOUNT = rf"(?<!\d)(?<!\d\.){EURO_DIGITS}\s*€"
 US_ITEM = r"(\d+)\s+of:\s*([^$]+?)\s*\$(\d+\.?\d*)"
 
 # Corruption limits of scanned European prices, in cents.
@@ -43,7 +45,6 @@ COLUMN_WORDS = r"(?iu)(Bestellung|Artikel|Produkt|Summe|Total|Menge|Stückpreis)
 COLUMN_START = r"(?iu)^(Description|Qté|Prix|Unitaire|Taux|TVA|Total|TTC|HT)"
 MAX_QUANTITY = 100
 QUANTITY_TOLERANCE_CENTS = 10
-MAX_DESCRIPTION = 200
 
 
 def item(
@@ -74,8 +75,8 @@ def amount_cents(text: Column) -> Column:
 
 
 def comma_cents(text: Column) -> Column:
-    """Cents of an amount like 12,34."""
-    return F.replace(text, F.lit(","), F.lit("")).try_cast("bigint")
+    """Cents of an amount like 12,34 or 1.012,34."""
+    return F.translate(text, ",.", "").try_cast("bigint")
 
 
 # --- "N of: description $price" anywhere in the text -------------------------------------------------------------
@@ -338,11 +339,11 @@ def consumer_items(text: Column, rule_set: RuleSet) -> Column:
 
 # Price layouts behind a product code (first group quantity, then
 # unit and total price) and table rows in front of it.
-STACKED_COLUMNS = r"^ASIN:[^\n]*\n\s*(\d{1,4}),\d{2}\s*€\s*\n\s*\d+\s*%\s*\n\s*\((\d+)\)\s*\n\s*(\d+,\d{2})\s*€\s*(\d+,\d{2})\s*€"
-BARE_PRICES = r"^ASIN:[^\n]*\n\s*(\d+,\d{2})\s*€\s*\n\s*(\d+,\d{2})\s*€\s*(\d+,\d{2})\s*€"
-COUNTED_PRICES = r"^ASIN:[\s\S]*?\((\d+)\)[\s\S]*?(\d+,\d{2})\s*€\s*(\d+,\d{2})\s*€"
-PIPED_ROW = r"\|\s*([^|]+?)\s*\|\s*(\d{1,3})\s*\|\s*(\d+,\d{2})\s*€[^|]*\|\s*[^|]*\|\s*[^|]*\|\s*(\d+,\d{2})\s*€\s*\|\s*$"
-FLAT_ROW = r"([^\n\r]{20,400}?)\s+(\d{1,3})\s+(\d+,\d{2})\s*€\s+\d+%?\s*\(\d+\)\s+(\d+,\d{2})\s*€\s+(\d+,\d{2})\s*€"
+STACKED_COLUMNS = rf"^ASIN:[^\n]*\n\s*(\d{{1,4}}),\d{{2}}\s*€\s*\n\s*\d+\s*%\s*\n\s*\((\d+)\)\s*\n\s*{EURO_DIGITS}\s*€\s*{EURO_DIGITS}\s*€"
+BARE_PRICES = rf"^ASIN:[^\n]*\n\s*{EURO_DIGITS}\s*€\s*\n\s*{EURO_DIGITS}\s*€\s*{EURO_DIGITS}\s*€"
+COUNTED_PRICES = rf"^ASIN:[\s\S]*?\((\d+)\)[\s\S]*?{EURO_DIGITS}\s*€\s*{EURO_DIGITS}\s*€"
+PIPED_ROW = rf"\|\s*([^|]+?)\s*\|\s*(\d{{1,3}})\s*\|\s*{EURO_DIGITS}\s*€[^|]*\|\s*[^|]*\|\s*[^|]*\|\s*{EURO_DIGITS}\s*€\s*\|\s*$"
+FLAT_ROW = rf"([^\n\r]{{20,400}}?)\s+(\d{{1,3}})\s+{EURO_DIGITS}\s*€\s+\d+%?\s*\(\d+\)\s+{EURO_DIGITS}\s*€\s+{EURO_DIGITS}\s*€"
 
 
 def corrected_quantity(quantity: Column, unit: Column, total: Column) -> Column:
@@ -360,8 +361,11 @@ def is_header_text(description: Column) -> Column:
     )
 
 
-def business_items(text: Column, rule_set: RuleSet) -> Column:
-    """Items of product code segments: the text from one code to the next, and the text in front of it."""
+def business_items(text: Column, rule_set: RuleSet, longest: int | None = None) -> Column:
+    """Items of product code segments: the text from one code to the next, and the text in front of it.
+
+    ``longest`` cuts descriptions that are joined from several lines to that many characters; by default they stay whole.
+    """
 
     def last_line(segment: Column) -> Column:
         lines = F.filter(
@@ -382,7 +386,8 @@ def business_items(text: Column, rule_set: RuleSet) -> Column:
             & ~line.contains("€"),
         )
         three = F.slice(usable, F.greatest(F.size(usable) - 2, F.lit(1)), F.lit(3))
-        return F.substring(F.coalesce(F.nullif(F.array_join(three, " "), F.lit("")), F.lit("Product")), 1, MAX_DESCRIPTION)
+        whole = F.coalesce(F.nullif(F.array_join(three, " "), F.lit("")), F.lit("Product"))
+        return whole if longest is None else F.substring(whole, 1, longest)
 
     def one(asin: Column, ahead: Column, segment: Column) -> Column:
         def entry(description: Column, quantity: Column, unit: Column, total: Column) -> Column:

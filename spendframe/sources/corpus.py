@@ -26,9 +26,9 @@ REGION_RULE_SET = {
 NET_SHARE, TAX_PERCENT = 84, 19
 
 
-def gross_cents(unit: Column) -> Column:
-    """Unit price of the European layout, kept in the range its readers take as real."""
-    return unit % 90000 + 1000
+def dotted_amount(cents: Column) -> Column:
+    """Cents as ``1.234,50 €``."""
+    return F.regexp_replace(european_amount(cents), r"(\d)(?=(\d{3})+,)", "$1.")
 
 
 def yen(cents: Column) -> Column:
@@ -58,14 +58,15 @@ def per_region(options: dict[str, Column]) -> Column:
 def item_text() -> Column:
     """Lines of one item in the layout of its region."""
     unit, count, words = F.col("unit_cents"), F.col("quantity").cast("string"), F.col("description")
-    gross = gross_cents(unit)
-    net = european_amount((gross * NET_SHARE / 100).cast("bigint"))
+    net = european_amount((unit * NET_SHARE / 100).cast("bigint"))
+    # Every other order has dots between thousands.
+    gross = F.when(F.col("order_id") % 2 == 0, dotted_amount(unit)).otherwise(european_amount(unit))
     return per_region(
         {
             "AMERICA": F.concat(count, F.lit(" of: "), words, F.lit("\n"), dollars(unit)),
             "EUROPE": F.concat(
                 words, F.lit("\nASIN: "), F.col("asin"), F.lit("\n"), net, F.lit(f"\n{TAX_PERCENT}%\n"),
-                european_amount(gross), european_amount(gross),
+                gross, gross,
             ),
             "AFRICA": F.concat(count, F.lit(" x "), words, F.lit(" "), pounds(unit)),
             "ASIA": F.concat(count, F.lit(" × "), words, F.lit(" "), yen(unit)),
@@ -120,7 +121,7 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.struct(*star.ITEM_ORDER)
     documents = lines.groupBy("order_id").agg(
         F.collect_list(F.struct(key.alias("key"), item_text().alias("text"))).alias("lines"),
-        F.sum(gross_cents(F.col("unit_cents"))).alias("gross_sum"),
+        F.sum("unit_cents").alias("gross_sum"),
     )
     joined = spread(invoices.join(documents, "order_id", "left").na.fill(0, ["gross_sum"]), "order_id")
     empty = F.array().cast("array<string>")

@@ -28,14 +28,19 @@ def arriving_texts(spark: SparkSession, path: str, pattern: str = "*.txt", files
 
 
 def ingest(
-    spark: SparkSession, source: str, target: str, checkpoint: str | None = None, names: list[str] | None = None
+    spark: SparkSession,
+    source: str,
+    target: str,
+    checkpoint: str | None = None,
+    names: list[str] | None = None,
+    files_per_batch: int = 10000,
 ) -> StreamingQuery:
     """Extract the texts that have arrived since the last run and append them to a table.
 
     The pipeline holds no state, so the stream reads, extracts and writes without
-    a shuffle. Each file is taken once, whatever is restarted.
+    a shuffle. Each file is taken once, whatever is restarted; ``files_per_batch`` bounds a batch, not the run.
     """
-    invoices = pipeline.extracted(arriving_texts(spark, source), names=names)
+    invoices = pipeline.extracted(arriving_texts(spark, source, files_per_batch=files_per_batch), names=names)
     return (
         invoices.writeStream.format("parquet")
         .option("path", target)
