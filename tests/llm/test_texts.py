@@ -145,6 +145,36 @@ def test_passages(docs_of, odd_rows):
     assert passages.find(docs_of([])).count() == 0
 
 
+def hashed(words):
+    return passages.shingles(" ".join(words), passages.WordHashes())
+
+
+def has_alike(a, b, least=46, similarity=0.8):
+    """Whether stretches of ``least`` shingles or more, at any places, are alike: by brute force over sets."""
+    for size in range(least, min(len(a), len(b)) + 1):
+        for i in range(len(a) - size + 1):
+            one = set(a[i : i + size].tolist())
+            for j in range(len(b) - size + 1):
+                two = set(b[j : j + size].tolist())
+                if len(one & two) >= similarity * len(one | two):
+                    return True
+    return False
+
+
+@pytest.mark.parametrize("size", [50, 55, 60, 65, 70])
+def test_short_near_passages_with_an_edit_at_each_place(size):
+    for at in range(size):
+        base = [f"p{i}" for i in range(size)]
+        changed = [*base[:at], "other", *base[at + 1 :]]
+        a = hashed([f"a{i}" for i in range(8)] + base + [f"b{i}" for i in range(9)])
+        b = hashed([f"c{i}" for i in range(11)] + changed + [f"d{i}" for i in range(7)])
+        found = passages.repeats(a, b, 46, 0.8)
+        assert bool(found) == has_alike(a, b), (size, at)
+        for start, end, low, high, share in found:
+            one, two = set(a[start:end].tolist()), set(b[low:high].tolist())
+            assert share == len(one & two) / len(one | two) >= 0.8 and end - start >= 46 <= high - low
+
+
 def test_windows_cover_every_stretch_once():
     rng = np.random.default_rng(4)
     values = rng.permutation(200).astype(np.uint64)
