@@ -175,6 +175,21 @@ def test_short_near_passages_with_an_edit_at_each_place(size):
             assert share == len(one & two) / len(one | two) >= 0.8 and end - start >= 46 <= high - low
 
 
+def test_a_text_is_done_only_where_its_passage_is(docs_of):
+    rows, wanted = [], set()
+    for k in range(40):
+        one, two = ([f"{name}{k}x{i}" for i in range(60)] for name in "pq")
+        fill = [[f"{name}{k}x{i}" for i in range(90)] for name in "abcd"]
+        rows += [
+            (10 * k, " ".join(fill[0] + one + fill[1] + two[:40])),
+            (10 * k + 1, " ".join(one + fill[2] + two)),
+            (10 * k + 2, " ".join(fill[3] + two)),
+        ]
+        wanted |= {frozenset((10 * k, 10 * k + 1)), frozenset((10 * k + 1, 10 * k + 2))}
+    found = passages.find(docs_of(rows)).collect()
+    assert {frozenset((r.doc_id, r.lead_doc_id)) for r in found} == wanted
+
+
 def test_windows_cover_every_stretch_once():
     rng = np.random.default_rng(4)
     values = rng.permutation(200).astype(np.uint64)
