@@ -175,6 +175,15 @@ def test_short_near_passages_with_an_edit_at_each_place(size):
             assert share == len(one & two) / len(one | two) >= 0.8 and end - start >= 46 <= high - low
 
 
+def test_exact_passage_beside_another_passage():
+    near, exact = [f"n{i}" for i in range(200)], [f"e{i}" for i in range(50)]
+    a = hashed(near + [f"a{i}" for i in range(300)] + exact[:20] + exact)
+    b = hashed([*near[:100], "other", *near[101:]] + [f"b{i}" for i in range(300)] + exact[30:] + [f"c{i}" for i in range(40)] + exact)
+    found = passages.repeats(a, b, 46, 0.8)
+    assert any(s <= 0 and e >= 196 for s, e, *_ in found)
+    assert any(s <= len(a) - 46 and e == len(a) and c <= len(b) - 46 and d == len(b) for s, e, c, d, _ in found)
+
+
 def test_a_text_is_done_only_where_its_passage_is(docs_of):
     rows, wanted = [], set()
     for k in range(40):
