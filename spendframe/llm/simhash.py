@@ -315,14 +315,15 @@ def distinct_verified(
     run: int = RUN_WIDTH,
     share: tuple[int, int] = SHARE,
 ) -> DataFrame:
-    """The rows of ``docs`` less those whose runs of ``run`` words are alike to those of a row that leads them.
+    """One row of each group of rows of ``docs`` that are linked, over any number of links, by runs that are alike.
 
     The trie finds classes of fingerprints over ``width`` words. Fewer words make steadier fingerprints: a changed
-    word changes fewer runs, so a small budget finds looser copies. Every member of a class is then compared with
-    the row of the smallest key (null keys last), and goes where the sets of their runs have a Jaccard similarity
-    of ``share`` or more. The others are compared in rounds with twice as many leading rows each, until every
-    one has led or gone. So a class of many copies costs one comparison for each, never all pairs, and no row
-    goes on the word of fingerprints alone. A row that is alike only to rows that have gone already stays.
+    word changes fewer runs, so a small budget finds looser copies. A few rows lead each class, and those of other
+    groups are compared with them: rows are linked where the sets of their runs of ``run`` words have a Jaccard
+    similarity of ``share`` or more, and linked rows are one group. Rounds with twice as many leaders follow, rows
+    that are linked already among them, until a class is one group or all its rows have led. So a class of many
+    copies costs about one comparison for each, and rows of different groups have all been compared. No row goes
+    on the word of fingerprints alone. Of a group the row of the smallest key stays, null keys last.
 
     Rows alike in key and text count as one, and any one of them stays. Texts without words are alike; null texts
     are empty. An empty table gives an empty table. Columns stay as they are.
@@ -332,36 +333,43 @@ def distinct_verified(
     prints = docs.select(own_id, docs[key].alias("_key"), fingerprints(docs[text], width).alias("_print"))
     light = common.stored(prints.groupBy("_id", "_print").agg(F.min("_key").alias("_key"), F.count(F.lit(1)).alias("_n")))
     found = classes(light.select("_key", "_print"), max_bits)
-    rank = F.struct(F.col("_key").isNull().alias("n"), F.col("_key").alias("k"), F.col("_id").alias("i"))
-    members = common.stored(several(light.join(found, "_print").select("_id", "_root", rank.alias("_rank"))))
-    sets = docs.select(own_id, body.alias("_body")).join(members.select("_id"), "_id", "left_semi").dropDuplicates(["_id"])
+    ranks = light.select("_id", F.struct(F.col("_key").isNull().alias("n"), F.col("_key").alias("k"), F.col("_id").alias("i")).alias("_rank"))
+    suspects = common.stored(several(light.join(found, "_print").select("_id", "_root")))
+    sets = docs.select(own_id, body.alias("_body")).join(suspects.select("_id"), "_id", "left_semi").dropDuplicates(["_id"])
     sets = common.stored(sets.select("_id", run_sets(F.col("_body"), run).alias("_runs")))
     lead_sets = sets.select(F.col("_id").alias("_with"), F.col("_runs").alias("_lead_runs"))
     shared = F.size(F.array_intersect("_runs", "_lead_runs"))
     alike = shared * share[1] >= (F.size("_runs") + F.size("_lead_runs") - shared) * share[0]
 
-    gone, level = [], 0
-    while True:
-        part = F.pmod(F.xxhash64("_id", F.lit(level)), F.lit(2**level))
-        leads = common.stored(members.groupBy("_root", part.alias("_part")).agg(F.min("_rank").alias("_lead")).select("_root", "_lead"))
-        leading = leads.select(F.col("_lead.i").alias("_id"), F.lit(True).alias("_leads"))
-        # Of two leading rows the later one can go; any other row can go by each of them.
-        pairs = (
-            members.join(leads, "_root")
-            .filter(F.col("_id") != F.col("_lead.i"))
-            .join(leading, "_id", "left")
-            .filter(F.col("_leads").isNull() | (F.col("_rank") > F.col("_lead")))
-            .select("_id", F.col("_lead.i").alias("_with"))
-        )
-        gone.append(common.stored(pairs.join(sets, "_id").join(lead_sets, "_with").filter(alike).select("_id").distinct()))
-        done = gone[-1].unionByName(leading.select("_id"))
-        members = common.stored(several(members.join(done, "_id", "left_anti")))
-        if members.isEmpty():
-            break
+    # Every row leads its class once, by its turn; a pair meets where the earlier one leads, if it is not linked yet
+    # and the sizes of the sets allow it.
+    members = suspects.join(sets.select("_id", F.size("_runs").alias("_size")), "_id")
+    members = members.join(suspects.groupBy("_root").agg(F.count(F.lit(1)).alias("_n")), "_root").withColumn("_group", F.col("_id"))
+    members = common.stored(members)
+    turn = F.pmod(F.xxhash64("_id"), F.col("_n"))
+    links, level, roots = None, 0, None
+    while links is None or not members.isEmpty():
+        leads = members.filter((turn >= 2**level - 1) & (turn < 2 ** (level + 1) - 1))
+        leads = leads.select("_root", turn.alias("_turn"), F.col("_id").alias("_with"), F.col("_group").alias("_lead_group"), F.col("_size").alias("_lead_size"))
+        later = (turn > F.col("_turn")) | ((turn == F.col("_turn")) & (F.col("_id") > F.col("_with")))
+        sized = F.least("_size", "_lead_size") * share[1] >= F.greatest("_size", "_lead_size") * share[0]
+        pairs = common.stored(members.join(leads, "_root").filter(later & sized & (F.col("_group") != F.col("_lead_group"))).select("_id", "_with"))
+        fresh = common.stored(pairs.join(sets, "_id").join(lead_sets, "_with").filter(alike).select(F.col("_id").alias("a"), F.col("_with").alias("b")))
         level += 1
-
+        members = members.filter(F.col("_n") > 2**level - 1)
+        if links is None or not fresh.isEmpty():
+            links = fresh if links is None else links.unionByName(fresh)
+            roots = components(links)
+            linked_to = roots.select(F.col("node").alias("_id"), F.col("root").alias("_now"))
+            members = members.join(linked_to, "_id", "left").withColumn("_group", F.coalesce("_now", "_id")).drop("_now")
+        apart = members.groupBy("_root").agg(F.min("_group").alias("_low"), F.max("_group").alias("_high")).filter("_low <> _high").select("_root")
+        members = common.stored(members.join(apart, "_root", "left_semi"))
+
+    linked_rows = common.stored(roots.withColumnRenamed("node", "_id").join(ranks, "_id"))
+    first = linked_rows.groupBy("root").agg(F.min("_rank").alias("_first"))
+    gone = linked_rows.join(first, "root").filter(F.col("_id") != F.col("_first.i")).select("_id")
     rows = docs.select(common.packed(docs).alias("_row"), own_id)
-    kept = rows.join(reduce(DataFrame.unionByName, gone), "_id", "left_anti")
+    kept = rows.join(common.stored(gone), "_id", "left_anti")
     if not light.filter("_n > 1").isEmpty():
         kept = kept.dropDuplicates(["_id"])
     return kept.select(*common.unpacked("_row", names))

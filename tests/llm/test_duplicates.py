@@ -141,6 +141,26 @@ def test_simhash_distinct_verified(docs_of, odd_rows):
     assert len(odd) == 4 and not any(alike(sets[a], sets[b]) for a in odd for b in odd if a != b)
 
 
+def test_simhash_distinct_verified_keeps_one_row_of_a_chain(docs_of):
+    rng = random.Random(5)
+    rows, chains = [], 30
+    for i in range(chains):
+        text = [f"c{i}w{rng.randrange(10**6)}" for _ in range(300)]
+        for step in range(3):  # the first and the last differ by more than the limit
+            rows.append((10 * i + step, " ".join(text)))
+            for at in range(40 * step, 40 * step + 36, 6):
+                text[at] = f"x{rng.randrange(10**6)}"
+    sets = {k: run_set(text) for k, text in rows}
+    assert all(alike(sets[10 * i], sets[10 * i + 1]) and alike(sets[10 * i + 1], sets[10 * i + 2]) for i in range(chains))
+    assert not any(alike(sets[10 * i], sets[10 * i + 2]) for i in range(chains))
+    found = simhash.classes(docs_of(rows).select(F.col("doc_id").alias("_key"), simhash.fingerprints(F.col("text"), 2).alias("_print")), 7)
+    least = {r["_print"]: r["_least"] for r in found.collect()}
+    prints = {k: int(np.array(simhash.fingerprint(text.encode(), 2), dtype=np.uint64).view(np.int64)) for k, text in rows}
+    together = [i for i in range(chains) if len({least[prints[10 * i + step]] for step in range(3)}) == 1]
+    kept = {row.doc_id for row in simhash.distinct_verified(docs_of(rows)).collect()}
+    assert together and all(kept & {10 * i, 10 * i + 1, 10 * i + 2} == {10 * i} for i in together)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 2**32), st.integers(2, 300), st.integers(1, 12))
 def test_trie_finds_all_close_pairs(seed, size, flips):
