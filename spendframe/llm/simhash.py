@@ -21,17 +21,18 @@ HASH_SEED = 42
 # The search for looser copies: fingerprints of two-word runs, then runs of five words compared.
 SEARCH_WIDTH = 2
 SEARCH_BITS = 7
+SEARCH_SEEDS = (HASH_SEED, 43, 44)
 RUN_WIDTH = 5
 SHARE = (4, 5)
 RESULTS = ("fingerprint", "component_id")
 
 
-def run_hashes(text: bytes, width: int) -> list[int]:
+def run_hashes(text: bytes, width: int, seed: int = HASH_SEED) -> list[int]:
     """A hash of each run of ``width`` words, repeats included; of the whole text where it has fewer words."""
     words = text.lower().split()
     if not words:
         return []
-    line, digest, seed = b" ".join(words), xxhash.xxh64_intdigest, HASH_SEED
+    line, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
         return [digest(line, seed)]
     ends = list(accumulate(len(word) + 1 for word in words))
@@ -39,9 +40,9 @@ def run_hashes(text: bytes, width: int) -> list[int]:
     return [digest(line[a : b - 1], seed) for a, b in zip(starts, ends[width - 1 :], strict=False)]
 
 
-def fingerprint(text: bytes, width: int) -> int:
+def fingerprint(text: bytes, width: int, seed: int = HASH_SEED) -> int:
     """64 bits, each set where it is set in over half of the hashes of the text's shingles."""
-    hashes = run_hashes(text, width)
+    hashes = run_hashes(text, width, seed)
     if not hashes:
         return 0
     values = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
@@ -51,12 +52,12 @@ def fingerprint(text: bytes, width: int) -> int:
     return int(np.packbits(2 * ones > len(values), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(text: Column, width: int) -> Column:
+def fingerprints(text: Column, width: int, seed: int = HASH_SEED) -> Column:
     """The fingerprint of each text as a long; null texts are empty."""
 
     @F.arrow_udf("long")
     def of_batch(texts: pa.Array) -> pa.Array:
-        values = [fingerprint(body, width) for body in texts.to_pylist()]
+        values = [fingerprint(body, width, seed) for body in texts.to_pylist()]
         return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
 
     return of_batch(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
@@ -314,11 +315,13 @@ def distinct_verified(
     max_bits: int = SEARCH_BITS,
     run: int = RUN_WIDTH,
     share: tuple[int, int] = SHARE,
+    seeds: tuple[int, ...] = SEARCH_SEEDS,
 ) -> DataFrame:
     """One row of each group of rows of ``docs`` that are linked, over any number of links, by runs that are alike.
 
     The trie finds classes of fingerprints over ``width`` words. Fewer words make steadier fingerprints: a changed
-    word changes fewer runs, so a small budget finds looser copies. A few rows lead each class, and those of other
+    word changes fewer runs, so a small budget finds looser copies. Each of ``seeds`` gives another fingerprint and
+    classes of its own, and rows that meet by any of them are compared. A few rows lead each class, and those of other
     groups are compared with them: rows are linked where the sets of their runs of ``run`` words have a Jaccard
     similarity of ``share`` or more, and linked rows are one group. Rounds with twice as many leaders follow, rows
     that are linked already among them, until a class is one group or all its rows have led. So a class of many
@@ -330,11 +333,15 @@ def distinct_verified(
     """
     names, body = list(docs.columns), F.coalesce(docs[text].cast("string"), F.lit(""))
     own_id = F.xxhash64(docs[key], body).alias("_id")
-    prints = docs.select(own_id, docs[key].alias("_key"), fingerprints(docs[text], width).alias("_print"))
-    light = common.stored(prints.groupBy("_id", "_print").agg(F.min("_key").alias("_key"), F.count(F.lit(1)).alias("_n")))
-    found = classes(light.select("_key", "_print"), max_bits)
+    columns = [f"_print{k}" for k in range(len(seeds))]
+    prints = docs.select(own_id, docs[key].alias("_key"), *[fingerprints(docs[text], width, seed).alias(name) for name, seed in zip(columns, seeds, strict=True)])
+    light = common.stored(prints.groupBy("_id", *columns).agg(F.min("_key").alias("_key"), F.count(F.lit(1)).alias("_n")))
     ranks = light.select("_id", F.struct(F.col("_key").isNull().alias("n"), F.col("_key").alias("k"), F.col("_id").alias("i")).alias("_rank"))
-    suspects = common.stored(several(light.join(found, "_print").select("_id", "_root")))
+    searches = []
+    for k, name in enumerate(columns):
+        found = classes(light.select("_key", F.col(name).alias("_print")), max_bits)
+        searches.append(several(light.select("_id", F.col(name).alias("_print")).join(found, "_print").select("_id", F.xxhash64(F.lit(k), "_root").alias("_root"))))
+    suspects = common.stored(reduce(DataFrame.unionByName, searches))
     sets = docs.select(own_id, body.alias("_body")).join(suspects.select("_id"), "_id", "left_semi").dropDuplicates(["_id"])
     sets = common.stored(sets.select("_id", run_sets(F.col("_body"), run).alias("_runs")))
     lead_sets = sets.select(F.col("_id").alias("_with"), F.col("_runs").alias("_lead_runs"))
@@ -347,13 +354,18 @@ def distinct_verified(
     members = members.join(suspects.groupBy("_root").agg(F.count(F.lit(1)).alias("_n")), "_root").withColumn("_group", F.col("_id"))
     members = common.stored(members)
     turn = F.pmod(F.xxhash64("_id"), F.col("_n"))
-    links, level, roots = None, 0, None
+    links, level, roots, tested = None, 0, None, None
     while links is None or not members.isEmpty():
         leads = members.filter((turn >= 2**level - 1) & (turn < 2 ** (level + 1) - 1))
         leads = leads.select("_root", turn.alias("_turn"), F.col("_id").alias("_with"), F.col("_group").alias("_lead_group"), F.col("_size").alias("_lead_size"))
         later = (turn > F.col("_turn")) | ((turn == F.col("_turn")) & (F.col("_id") > F.col("_with")))
         sized = F.least("_size", "_lead_size") * share[1] >= F.greatest("_size", "_lead_size") * share[0]
-        pairs = common.stored(members.join(leads, "_root").filter(later & sized & (F.col("_group") != F.col("_lead_group"))).select("_id", "_with"))
+        meet = members.join(leads, "_root").filter(later & sized & (F.col("_group") != F.col("_lead_group")))
+        pairs = meet.select("_id", "_with", F.least("_id", "_with").alias("_p"), F.greatest("_id", "_with").alias("_q")).dropDuplicates(["_p", "_q"])
+        if tested is not None:
+            pairs = pairs.join(tested, ["_p", "_q"], "left_anti")
+        pairs = common.stored(pairs)
+        tested = pairs.select("_p", "_q") if tested is None else tested.unionByName(pairs.select("_p", "_q"))
         fresh = common.stored(pairs.join(sets, "_id").join(lead_sets, "_with").filter(alike).select(F.col("_id").alias("a"), F.col("_with").alias("b")))
         level += 1
         members = members.filter(F.col("_n") > 2**level - 1)

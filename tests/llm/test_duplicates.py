@@ -161,6 +161,24 @@ def test_simhash_distinct_verified_keeps_one_row_of_a_chain(docs_of):
     assert together and all(kept & {10 * i, 10 * i + 1, 10 * i + 2} == {10 * i} for i in together)
 
 
+def test_simhash_distinct_verified_finds_copies_that_one_fingerprint_misses(docs_of):
+    rng = random.Random(12)
+    rows = []
+    for i in range(300):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        changed = list(text)
+        for at in (20, 70):
+            changed[at] = f"x{rng.randrange(10**6)}"
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(changed))]
+    sets = {k: run_set(text) for k, text in rows}
+    assert all(alike(sets[2 * i], sets[2 * i + 1]) for i in range(300))
+    bits = [[(simhash.fingerprint(rows[2 * i][1].encode(), 2, s) ^ simhash.fingerprint(rows[2 * i + 1][1].encode(), 2, s)).bit_count() for s in simhash.SEARCH_SEEDS] for i in range(300)]
+    near = {i for i in range(300) if min(bits[i]) <= simhash.SEARCH_BITS}
+    assert any(bits[i][0] > simhash.SEARCH_BITS for i in near)
+    kept = {row.doc_id for row in simhash.distinct_verified(docs_of(rows)).collect()}
+    assert all(2 * i + 1 not in kept for i in near) and all(2 * i in kept for i in range(300))
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 2**32), st.integers(2, 300), st.integers(1, 12))
 def test_trie_finds_all_close_pairs(seed, size, flips):
