@@ -184,6 +184,18 @@ def test_exact_passage_beside_another_passage():
     assert any(s <= len(a) - 46 and e == len(a) and c <= len(b) - 46 and d == len(b) for s, e, c, d, _ in found)
 
 
+def test_exact_passage_between_pieces_in_another_order():
+    near, exact = [f"n{i}" for i in range(200)], [f"e{i}" for i in range(50)]
+    pieces_of = [[f"x{k}y{i}" for i in range(30)] for k in range(10)]
+    a = near + [f"a{i}" for i in range(300)] + sum(pieces_of[:5], []) + exact + sum(pieces_of[5:], [])
+    b = [*near[:100], "other", *near[101:]] + [f"b{i}" for i in range(300)] + pieces_of[3] + exact + pieces_of[7]
+    for k in (0, 1, 2, 4, 5, 6, 8, 9):
+        b += [f"c{k}d{i}" for i in range(150)] + pieces_of[k]
+    s, c = a.index("e0"), b.index("e0")
+    found = passages.repeats(hashed(a), hashed(b), 46, 0.8)
+    assert any(x <= s and s + 46 <= e and y <= c and c + 46 <= z for x, e, y, z, _ in found)
+
+
 def test_a_text_is_done_only_where_its_passage_is(docs_of):
     rows, wanted = [], set()
     for k in range(40):
