@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendframe.llm import common, decontam, exact, lines, pages, passages, pieces, shards, simhash, token_counts, toxicity
+from spendframe.llm import common, decontam, exact, lines, negatives, pages, passages, pieces, ranked, secret_scan, shards, simhash, token_counts, toxicity
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +90,28 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.mark(docs.withColumn("text_sha256", digest), carry=["doc_id", "text_sha256"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [rule.kind for rule in secret_scan.BASE]
+    return found.select(
+        "doc_id",
+        *[secret_scan.counted(F.col("spans"), kind).alias(f"n_{kind}") for kind in base],
+        F.sha2(secret_scan.listed(F.col("spans"), base).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("spans")).alias("spans"),
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(moved, moved["vec_id"] % 100 == 0)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked.rank(docs, common.table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 TOKENIZERS = ("byte_bpe_50k", "byte_bpe_multi_50k")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -103,6 +125,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_secret_scan": op11_secret_scan,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 SQL = {
@@ -137,6 +162,65 @@ SQL = {
             row_number() OVER (PARTITION BY body ORDER BY points DESC, doc_id) = 1 AS kept,
             sha256(body) AS text_sha256
         FROM t""",
+    "op11_secret_scan": r"""
+        WITH rules(kind, k, least, pattern) AS (VALUES
+            ('assign', 0, 0, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["\x27]?\x20*[:=]\x20*["\x27]?[A-Za-z0-9+/_.=-]+'),
+            ('access', 1, 18, 'AKIA[A-Z0-9]+'),
+            ('hex', 2, 16, '[0-9a-f]+'),
+            ('github', 3, 40, 'gh[pousr]_[A-Za-z0-9]+'),
+            ('slack', 4, 20, 'xox[abprs]-[A-Za-z0-9-]+'),
+            ('google', 5, 0, 'AIza[A-Za-z0-9_-]{35}'),
+            ('private', 6, 0, '-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----'),
+            ('login', 7, 0, '://[A-Za-z0-9._%+-]{1,64}:[^\x00-\x20"\x27/:@]{1,64}@')),
+        parts AS (
+            SELECT d.rowid AS r, doc_id, kind, k, least, regexp_extract_all(t, pattern) AS hits, list_transform(regexp_split_to_array(t, pattern), lambda x: length(x)) AS gaps
+            FROM (SELECT row_number() OVER () AS rowid, doc_id, coalesce(text, '') AS t FROM documents) d, rules),
+        placed AS (
+            SELECT r, kind, k, least, u.hit, list_sum(gaps[1:u.pos]) + coalesce(list_sum(list_transform(hits[1:u.pos - 1], lambda x: length(x))), 0) AS s
+            FROM parts, unnest(hits) WITH ORDINALITY AS u(hit, pos)),
+        spans AS (
+            SELECT r, kind, k, s, s + length(hit) AS e FROM placed
+            WHERE length(hit) >= least AND (kind <> 'assign' OR length(regexp_extract(hit, '^[A-Za-z_]+["\x27]?\x20*[:=]\x20*["\x27]?([A-Za-z0-9+/_.=-]+)$', 1)) >= 12)),
+        listed AS (
+            SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+                string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, k) FILTER (k <= 2) AS base,
+                string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, k) AS spans
+            FROM spans GROUP BY r)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+            sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM (SELECT row_number() OVER () AS rowid, doc_id FROM documents) d LEFT JOIN listed ON listed.r = d.rowid""",
+    "op12_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+        QUALIFY row_number() OVER w <= 5""",
+    "op13_ranked_search": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+        b AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        z AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d WHERE len(t) > 0),
+        tf AS (SELECT r, doc_id, len(t) AS n, u.term, count(*) AS tf FROM d, unnest(t) AS u(term) WHERE u.term IN (SELECT term FROM b) GROUP BY ALL),
+        w AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM tf, z GROUP BY term, n_docs),
+        s AS (
+            SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + ((50 * n * n_docs) // n_terms)))))::BIGINT AS score
+            FROM tf JOIN w USING (term) JOIN b USING (term), z GROUP BY ALL)
+        SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r))::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+        QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) <= 50""",
 }
 
 
