@@ -21,7 +21,7 @@ LANGUAGE_CODES = {
 }
 
 MONTH_NUMBERS = {name: number for names in MONTHS.values() for number, name in enumerate(names, 1)}
-DAY_FIRST_LANGUAGES = ["de", "fr", "es", "it"]
+DAY_FIRST_LANGUAGES = ["de", "fr", "es", "it", "en-gb"]
 
 NAME_FIRST = r"^(\p{L}+)\s+(\d{1,2}),?\s+(\d{4})$"
 DAY_NAME = r"^(\d{1,2})(?:er|\.)?\s*(\p{L}+)\s+(\d{4})$"
@@ -50,7 +50,7 @@ def written_date(text: Column, language: Column | str = "en") -> Column:
     """DATE of a written date, null if it is none.
 
     Month names of all languages are known. Two numbers before the year are day
-    first, except with slashes in English, which are month first if that is a date.
+    first, except with slashes in English, which are month first if that is a date (not in British English).
     """
     shown = F.trim(text)
     code = F.lit(language) if isinstance(language, str) else F.lower(language)

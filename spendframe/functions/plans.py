@@ -20,12 +20,28 @@ def held(frame: DataFrame, columns: dict[str, Column], keep: list[str] | None =
     return frame.select(*kept, F.inline(F.array(row)))
 
 
-def outer_split(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def once(frame: DataFrame, *keys: str) -> DataFrame:
+    """A table that several branches of a plan read but that is computed once.
+
+    The optimizer fits a copy of the plan to each branch, with its filters and columns, and then all copies run.
+    Behind one generator the copies stay equal, and equal shuffles are made once. With ``keys`` the rows are dealt
+    by them here; without, the shuffle of an aggregate below is the one that is shared.
+    """
+    row = F.struct(*[F.col(f"`{name}`").alias(name) for name in frame.columns])
+    kept = frame.select(F.inline(F.array(row)))
+    return kept.repartition(*[F.col(key) for key in keys]) if keys else kept
+
+
+def outer_split(left: DataFrame, right: DataFrame, key: str, present: DataFrame | None = None) -> DataFrame:
     """Left join as an inner join and the rows without a match; a hot key on either side can be split at run time.
 
-    Of a left join only the left side can be.
+    Of a left join only the left side can be. Both sides are dealt by the key once, for both joins, unless
+    ``present`` is given: a table that has the keys of the right side, where both sides are dealt by the key already.
     """
-    missing = left.join(right.select(key).distinct(), key, "left_anti")
+    if present is None:
+        left, right = once(left, key), once(right, key)
+        present = right
+    missing = left.join(present.select(key).distinct(), key, "left_anti")
     return left.join(right, key).unionByName(missing, allowMissingColumns=True)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Compared fields with the names shown, confidence levels and tolerance.
 FIELDS = {
@@ -44,20 +45,46 @@ def first_invoices(results: DataFrame, job_ids: list[str]) -> DataFrame:
     )
 
 
+def resolved(path: str, schema: T.StructType) -> tuple[Column, T.DataType]:
+    """Column and type of a dotted path over structs, arrays (by place) and maps (by key); a null text if it leads nowhere.
+
+    A column whose own name has the dots comes first. Places beyond an array's end and absent keys give null.
+    """
+    if path in schema.names:
+        return F.col(f"`{path}`"), schema[path].dataType
+    head, *rest = path.split(".")
+    column, kind = (F.col(f"`{head}`"), schema[head].dataType) if head in schema.names else (None, None)
+    for name in rest:
+        if isinstance(kind, T.StructType) and name in kind.names:
+            column, kind = column.getField(name), kind[name].dataType
+        elif isinstance(kind, T.ArrayType) and name.isdigit():
+            column, kind = F.get(column, F.lit(int(name))), kind.elementType
+        elif isinstance(kind, T.MapType):
+            column, kind = F.try_element_at(column, F.lit(name).cast(kind.keyType)), kind.valueType
+        else:
+            column = None
+        if column is None:
+            break
+    return (F.lit(None).cast("string"), T.StringType()) if column is None else (column, kind)
+
+
+def shown_text(column: Column, kind: T.DataType) -> Column:
+    """A value as text; structs, arrays and maps as JSON."""
+    nested = isinstance(kind, T.StructType | T.ArrayType | T.MapType)
+    return F.to_json(column) if nested else column.cast("string")
+
+
 def field_values(rows: DataFrame, fields: dict[str, str], keep: list[str] = ["group_id"]) -> DataFrame:
-    """Long form: one row per row and field with text, number (if numeric) and confidence."""
-    types = dict(rows.dtypes)
+    """Long form: one row per row and field with text, number (if numeric) and confidence.
+
+    ``fields`` maps columns or dotted paths to the names shown. The row is turned once, by one ``stack``.
+    """
     cells = []
-    for column, shown in fields.items():
-        numeric = types[column] in ("double", "bigint", "int")
-        cells.append(
-            F.struct(
-                F.lit(shown).alias("field"),
-                F.col(column).cast("string").alias("value"),
-                (F.col(column).cast("double") if numeric else F.lit(None).cast("double")).alias("number"),
-            )
-        )
-    long = rows.select(*keep, F.explode(F.array(*cells)).alias("cell")).select(*keep, "cell.*")
+    for path, shown in fields.items():
+        column, kind = resolved(path, rows.schema)
+        numeric = isinstance(kind, T.NumericType)
+        cells += [F.lit(shown), shown_text(column, kind), (column if numeric else F.lit(None)).cast("double")]
+    long = rows.select(*keep, F.stack(F.lit(len(fields)), *cells).alias("field", "value", "number"))
     return long.withColumn("confidence", field_confidence(F.col("field"), F.col("value")))
 
 

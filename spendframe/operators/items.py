@@ -12,10 +12,16 @@ from pyspark.sql import functions as F
 
 from spendframe.functions.arrays import after, before, first, found, last, let
 from spendframe.functions.money import tolerant_amount, to_cents
+from spendframe.functions.plans import held
 from spendframe.rules.fields import RuleSet
 
-ITEM = "struct<asin:string,description:string,quantity:int,unit_cents:bigint,total_cents:bigint,price:string>"
+# ``amounts``, ``vat_percent`` and ``repair`` are what a European price block shows, and why a price is not taken as shown.
+ITEM = (
+    "struct<asin:string,description:string,quantity:int,unit_cents:bigint,total_cents:bigint,price:string,"
+    "amounts:array<bigint>,vat_percent:int,repair:string>"
+)
 ITEMS = f"array<{ITEM}>"
+ITEM_FIELDS = ["asin", "description", "quantity", "unit_cents", "total_cents", "price"]
 
 # Distances in lines.
 PRICE_LOOKAHEAD = 4
@@ -33,13 +39,13 @@ EURO_DIGITS = r"(\d{1,3}(?:\.\d{3})+,\d{2}|\d+,\d{2})"
 EURO_AMOUNT = rf"(?<!\d)(?<!\d\.){EURO_DIGITS}\s*€"
 US_ITEM = r"(\d+)\s+of:\s*([^$]+?)\s*\$(\d+\.?\d*)"
 
-# Corruption limits of scanned European prices, in cents.
+# Corruption limits of scanned European prices, in cents, for lines whose arithmetic does not hold.
 MERGED_PRICE_CENTS = 200_000
 REALISTIC_PRICE_CENTS = 100_000
 SUSPICIOUS_RATIO = 3
 SUBTOTAL_RATIO = 2
 
-# Words of table headers, and the largest corrected quantity.
+# Words of table headers, and the largest quantity that is taken from prices (a parameter of the readers).
 HEADER_WORDS = r"(?iu)\b(Bestellung|Artikel|Produkt|Summe|Total|Gesamt|Commande|Article|Produit|Somme|Facture)\b"
 COLUMN_WORDS = r"(?iu)(Bestellung|Artikel|Produkt|Summe|Total|Menge|Stückpreis)"
 COLUMN_START = r"(?iu)^(Description|Qté|Prix|Unitaire|Taux|TVA|Total|TTC|HT)"
@@ -54,6 +60,9 @@ def item(
     total: Column,
     price: Column | None = None,
     asin: Column | None = None,
+    amounts: Column | None = None,
+    vat_percent: Column | None = None,
+    repair: Column | None = None,
 ) -> Column:
     none = F.lit(None).cast("string")
     return F.struct(
@@ -63,6 +72,9 @@ def item(
         unit.cast("bigint").alias("unit_cents"),
         total.cast("bigint").alias("total_cents"),
         (none if price is None else price).alias("price"),
+        (F.lit(None).cast("array<bigint>") if amounts is None else amounts).alias("amounts"),
+        (F.lit(None).cast("int") if vat_percent is None else vat_percent).alias("vat_percent"),
+        (none if repair is None else repair).alias("repair"),
     ).cast(ITEM)
 
 
@@ -254,36 +266,57 @@ def code_items(text: Column, rule_set: RuleSet) -> Column:
 # --- European consumer blocks -----------------------------------------------------------------------------------
 
 
-def chosen_prices(line_amounts: Column, amounts: Column) -> Column:
-    """Unit and total price from the amounts of the price line and of the lines below it.
+def times(total: Column, unit: Column, most: int) -> Column:
+    """How often a unit price goes into a total, null unless it is a whole number up to ``most``."""
+    count = F.when((unit > 0) & (total % F.nullif(unit, F.lit(0)) == 0), (total / F.nullif(unit, F.lit(0))).cast("int"))
+    return F.when(count.between(1, most), count)
 
-    The column including tax is the second amount. Amounts too large to be real,
-    or a first amount far above the second, come from merged digits.
-    """
 
-    def pair(unit: Column, total: Column) -> Column:
-        return F.struct(unit.alias("unit"), total.alias("total"))
+def agrees(net: Column, unit: Column, vat_percent: Column) -> Column:
+    """Whether a price without tax and one with tax belong together, to the cent; without a rate, whether they can."""
+    exact = F.abs(net * (vat_percent + 100) - unit * 100) <= 100
+    return F.coalesce(exact, (net <= unit) & (net * 2 >= unit))
 
-    size = F.size(line_amounts)
-    merged = (size > 1) & (
-        (F.array_max(line_amounts) > MERGED_PRICE_CENTS)
-        | (F.get(line_amounts, F.lit(0)) > F.get(line_amounts, F.lit(1)) * SUSPICIOUS_RATIO)
-    )
+
+def chosen_prices(line_amounts: Column, amounts: Column, vat_percent: Column, most: int) -> Column:
+    """Quantity, unit and total price from the amounts of the price line and of the lines below it.
+
+    The columns are price without tax, price with tax and total. Where the first two agree and the third is a
+    multiple of the second, all are taken as they stand, however large, and amounts further on are not theirs (a
+    line of shipping costs may follow at once). Otherwise digits have been merged or
+    columns are missing: the column including tax is the second amount, and amounts too large to be real, or a
+    first amount far above the second, are passed over and the item is marked.
+    """
+
+    def chosen(quantity: Column, unit: Column, total: Column, repair: Column | None = None) -> Column:
+        why = F.lit(None).cast("string") if repair is None else repair
+        return F.struct(quantity.cast("int").alias("quantity"), unit.alias("unit"), total.alias("total"), why.alias("repair"))
+
+    one, size = F.lit(1), F.size(line_amounts)
+    every = F.when(size == 1, amounts).otherwise(line_amounts)
+    net, second, final = first(every), F.get(every, F.lit(1)), last(every)
+    third = F.get(every, F.lit(2))
+    count = times(third, second, most)
+    whole = count.isNotNull() & agrees(net, second, vat_percent)
+    suspicious = (F.array_max(every) > MERGED_PRICE_CENTS) | (net > second * SUSPICIOUS_RATIO)
+    mark = F.when(suspicious, "merged")
     real = first(F.filter(line_amounts, lambda amount: amount <= REALISTIC_PRICE_CENTS))
     repaired = F.coalesce(real, F.array_min(line_amounts))
-    second, final = F.get(amounts, F.lit(1)), last(amounts)
     below = F.when(final > second * SUBTOTAL_RATIO, second).otherwise(final)
     return (
-        F.when(merged, pair(repaired, repaired))
-        .when((size == 1) & (F.size(amounts) >= 3), pair(second, below))
-        .when((size == 1) & (F.size(amounts) == 2), pair(second, second))
-        .when(size == 1, pair(first(line_amounts), first(line_amounts)))
-        .when(size >= 3, pair(F.get(line_amounts, F.lit(1)), last(line_amounts)))
-        .when(size == 2, pair(F.get(line_amounts, F.lit(1)), F.get(line_amounts, F.lit(1))))
+        F.when(whole, chosen(count, second, third))
+        .when((size > 1) & suspicious, chosen(one, repaired, repaired, mark))
+        .when((size == 1) & (F.size(amounts) >= 3), chosen(one, second, below, mark))
+        .when((size == 1) & (F.size(amounts) == 2), chosen(one, second, second, mark))
+        .when(size == 1, chosen(one, net, net))
+        .when(size >= 3, chosen(one, second, final))
+        .when(size == 2, chosen(one, second, second))
     )
 
 
-def consumer_items(text: Column, rule_set: RuleSet) -> Column:
+def consumer_items(text: Column, rule_set: RuleSet, most: int = MAX_QUANTITY) -> Column:
+    """Items of product codes with a price block; ``most`` is the largest quantity taken from prices."""
+
     def facts(line: Column) -> Column:
         priced = F.when(line.contains("ASIN:"), F.regexp_extract(line, r"(ASIN:.*)$", 1)).otherwise(line)
         amounts = F.transform(F.regexp_extract_all(priced, F.lit(EURO_AMOUNT), F.lit(1)), comma_cents)
@@ -293,6 +326,7 @@ def consumer_items(text: Column, rule_set: RuleSet) -> Column:
             line.alias("line"),
             found(line, ASIN_CODE).alias("asin"),
             F.when(line.contains("€") & usable, amounts).otherwise(none).alias("amounts"),
+            F.when(line.contains("%"), F.regexp_extract(line, r"(?<!\d)(\d{1,2})\s*%", 1).try_cast("int")).alias("vat"),
         )
 
     def description(rows: Column, row: Column, index: Column) -> Column:
@@ -306,26 +340,37 @@ def consumer_items(text: Column, rule_set: RuleSet) -> Column:
         )
 
     def prices(rows: Column, index: Column) -> Column:
-        """Amounts of the first priced line of the block, then of the two lines below it."""
-        block = F.slice(F.transform(F.slice(rows, index + 1, F.lit(BLOCK_LINES)), lambda row: row["amounts"]), 1, BLOCK_LINES)
+        """Amounts of the first priced line of the block, then of the two lines below it, and what they say."""
 
-        def choose(lists: Column) -> Column:
-            position = F.array_position(F.transform(lists, lambda amounts: F.size(amounts) > 0), True).cast("int")
+        def choose(block: Column) -> Column:
+            position = F.array_position(F.transform(block, lambda row: F.size(row["amounts"]) > 0), True).cast("int")
 
-            def at(start: Column) -> Column:
-                return F.when(
-                    start > 0,
-                    let(F.slice(lists, start, F.lit(3)), lambda three: chosen_prices(first(three), F.flatten(three))),
+            def shown(three: Column) -> Column:
+                rates = F.filter(F.transform(three, lambda row: row["vat"]), lambda rate: rate.isNotNull())
+                return F.struct(
+                    first(three)["amounts"].alias("line"),
+                    F.flatten(F.transform(three, lambda row: row["amounts"])).alias("amounts"),
+                    first(rates).alias("vat"),
                 )
 
+            def read_(seen: Column) -> Column:
+                return F.struct(seen.alias("seen"), chosen_prices(seen["line"], seen["amounts"], seen["vat"], most).alias("chosen"))
+
+            def at(start: Column) -> Column:
+                return let(let(F.slice(block, start, F.lit(3)), shown), read_)
+
             return let(position, lambda start: F.when(start > 0, at(F.greatest(start, F.lit(1)))))
 
-        return let(block, choose)
+        return let(F.slice(rows, index + 1, F.lit(BLOCK_LINES)), choose)
 
     def build(rows: Column) -> Column:
         def one(row: Column, index: Column) -> Column:
-            def finish(pair: Column) -> Column:
-                full = item(description(rows, row, index), F.lit(1), pair["unit"], pair["total"], None, row["asin"])
+            def finish(found_: Column) -> Column:
+                pair, seen = found_["chosen"], found_["seen"]
+                full = item(
+                    description(rows, row, index), pair["quantity"], pair["unit"], pair["total"], None, row["asin"],
+                    F.slice(seen["amounts"], 1, 3), seen["vat"], pair["repair"],
+                )
                 return F.when((pair["unit"] > 0) & (pair["total"] > 0), full)
 
             return F.when(row["asin"].isNotNull(), let(prices(rows, index), finish))
@@ -346,10 +391,10 @@ PIPED_ROW = rf"\|\s*([^|]+?)\s*\|\s*(\d{{1,3}})\s*\|\s*{EURO_DIGITS}\s*€[^|]*\
 FLAT_ROW = rf"([^\n\r]{{20,400}}?)\s+(\d{{1,3}})\s+{EURO_DIGITS}\s*€\s+\d+%?\s*\(\d+\)\s+{EURO_DIGITS}\s*€\s+{EURO_DIGITS}\s*€"
 
 
-def corrected_quantity(quantity: Column, unit: Column, total: Column) -> Column:
-    """Quantity that total and unit price imply, where they imply a small whole number."""
+def corrected_quantity(quantity: Column, unit: Column, total: Column, most: int = MAX_QUANTITY) -> Column:
+    """Quantity that total and unit price imply, where they imply a whole number up to ``most``; others stay as read."""
     implied = F.floor(total.cast("double") / F.when(unit > 0, unit.cast("double")) + 0.5).cast("int")
-    fits = implied.between(1, MAX_QUANTITY) & (F.abs(implied * unit - total) < QUANTITY_TOLERANCE_CENTS)
+    fits = implied.between(1, most) & (F.abs(implied * unit - total) < QUANTITY_TOLERANCE_CENTS)
     return F.when(fits, implied).otherwise(quantity)
 
 
@@ -446,24 +491,46 @@ STOPPED_BELOW = r"^\d+\s+of:|Item\(s\) Subtotal:|Total before tax:"
 ANY_PRICE = r"([$€£¥]\s*\d+(?:[.,]\d{2})?|\d+(?:[.,]\d{2})?\s*[$€£¥])"
 
 
+ASIN_PRICES = r"[\d.,]+\s*€\s*\d+%\s*[\d.,]+\s*€\s*([\d.,]+)\s*€"
+
+
 def section_items(text: Column) -> Column:
-    """Items between the first heading and the section end, for texts without a rule set."""
+    """Items of texts without a rule set: between the first heading and the section end, and of product codes.
+
+    The section is open behind the first heading and never opens again; nothing is read behind its end. A product
+    code with its prices on the next line counts inside and in front of the section.
+    """
 
     def mark(line: Column) -> Column:
         opens = F.lit(False)
         for words in SECTION_STARTS:
             opens = opens | line.contains(words)
-        return F.struct(line.alias("line"), opens.alias("opens"), line.rlike(SECTION_STOPS).alias("stops"))
+        return F.struct(
+            line.alias("line"),
+            opens.alias("opens"),
+            line.rlike(SECTION_STOPS).alias("stops"),
+            found(line, ASIN_LINE).alias("asin"),
+            F.when(line.contains("€"), found(line, ASIN_PRICES)).alias("coded_price"),
+        )
 
-    def inside(rows: Column) -> Column:
+    def gated(rows: Column) -> Column:
+        """Rows with whether they lie inside the section; those behind its end are left out."""
         start = F.array_position(F.transform(rows, lambda row: row["opens"]), True).cast("int")
 
         def cut(opened: Column) -> Column:
-            rest = F.slice(rows, F.greatest(opened, F.lit(1)) + 1, F.size(rows))
-            stop = F.array_position(F.transform(rest, lambda row: row["stops"] & ~row["opens"]), True).cast("int")
-            return let(stop, lambda end: F.when(end > 0, F.slice(rest, 1, F.greatest(end - 1, F.lit(0)))).otherwise(rest))
+            # Places count from 1; without a heading nothing is inside and nothing ends.
+            stops = F.transform(rows, lambda row, i: row["stops"] & ~row["opens"] & (opened > 0) & (i + 1 > opened))
+            end = F.array_position(stops, True).cast("int")
+            kept = let(end, lambda stop: F.when(stop > 0, F.slice(rows, 1, F.greatest(stop - 1, F.lit(0)))).otherwise(rows))
+            return F.transform(kept, lambda row, i: F.struct(*[row[name].alias(name) for name in ("line", "opens", "asin", "coded_price")], ((opened > 0) & (i + 1 > opened)).alias("inside")))
 
-        return let(start, lambda opened: F.when(opened > 0, cut(opened)).otherwise(F.slice(rows, 1, 0)))
+        return let(start, cut)
+
+    def coded(rows: Column, row: Column, index: Column) -> Column:
+        above = F.filter(before(rows, index, DESCRIPTION_LOOKBACK), lambda other: (F.length(other["line"]) > SHORTEST_DESCRIPTION) & other["asin"].isNull())
+        price = F.concat(F.get(rows, index + 1)["coded_price"], F.lit(" €"))
+        full = item(F.coalesce(last(above)["line"], F.lit("Product")), F.lit(None).cast("int"), amount_cents(price), amount_cents(price), price, row["asin"])
+        return F.when(price.isNotNull(), full)
 
     def price_below(rows: Column, index: Column) -> Column:
         below = F.filter(after(rows, index, 10), lambda row: ~row["line"].rlike(SKIPPED_BELOW))
@@ -498,18 +565,72 @@ def section_items(text: Column) -> Column:
                 full = item(F.concat(number, F.lit(" x "), words), quantity, unit, unit * quantity, F.concat(F.lit("$"), price))
                 return F.when(price.isNotNull(), full)
 
-            return F.when(
-                ~row["opens"],
+            own_line = F.when(
+                row["inside"] & ~row["opens"],
                 F.coalesce(
                     F.when(quantity.isNotNull(), let(price_below(rows, index), bulk)),
                     F.when(line.rlike(counted), own),
                     F.when(line.rlike(piped), pipe),
                 ),
             )
+            return F.when(row["asin"].isNotNull(), coded(rows, row, index)).otherwise(own_line)
 
         return F.array_compact(F.transform(rows, one))
 
-    return let(let(F.transform(trimmed_lines(text), mark), inside), build)
+    return let(let(F.transform(trimmed_lines(text), mark), gated), build)
+
+
+# --- repair by arithmetic ---------------------------------------------------------------------------------------
+
+
+def split_quantity(item_: Column, most: int = MAX_QUANTITY) -> Column:
+    """The item with roles that satisfy quantity x unit = total, where its amounts as read do not.
+
+    A scan that loses the space between quantity and price prints 3 and 176,46 as 3176,46. The price without tax
+    follows from the one with tax, so the digits in front of it are the quantity, if that many units make the total.
+    Without such digits a total that is a multiple of the unit price gives the quantity.
+    """
+    amounts = item_["amounts"]
+    shown, unit, total = first(amounts), F.get(amounts, F.lit(1)), F.get(amounts, F.lit(2))
+    net = F.floor(unit * 100 / (F.coalesce(item_["vat_percent"], F.lit(0)) + 100) + F.lit(0.5)).cast("bigint")
+    # A price has two digits behind the comma and at least one in front.
+    power = F.pow(F.lit(10.0), F.greatest(F.length(net.cast("string")), F.lit(3))).cast("bigint")
+    front = F.when((shown > net) & ((shown - net) % power == 0), ((shown - net) / power).cast("int"))
+
+    def with_roles(quantity: Column, why: str) -> Column:
+        return item(item_["description"], quantity, unit, total, item_["price"], item_["asin"], amounts, item_["vat_percent"], F.lit(why))
+
+    split = F.when(front.between(1, most) & (unit * front == total), with_roles(front, "quantity split"))
+    implied = F.when(times(total, unit, most) > 1, with_roles(times(total, unit, most), "quantity implied"))
+    read_right = item_["quantity"] * item_["unit_cents"] == item_["total_cents"]
+    doubted = item_["repair"].isNotNull() | ~F.coalesce(read_right, F.lit(False))
+    return F.when(doubted & (F.size(amounts) >= 3), F.coalesce(split, implied, item_)).otherwise(item_)
+
+
+def repaired(invoices: DataFrame, keys: list[str], most: int = MAX_QUANTITY) -> DataFrame:
+    """Items of extracted invoices (``items``, ``total_cents``, ``shipping_cents``, ``subtotal_cents``) after the repair.
+
+    Items as read are kept where quantity x unit = total holds for each and their sum is the subtotal or the total less
+    shipping; else repaired items are taken. ``balance`` says which (``read``, ``repaired``), or ``open`` where repaired
+    items do not add up either. The amounts as printed stay in ``amounts``. Items without doubt are not changed.
+    """
+
+    def sum_of(items: Column) -> Column:
+        return F.aggregate(items, F.lit(0).cast("bigint"), lambda total, one: total + F.coalesce(one["total_cents"], F.lit(0)))
+
+    tried = held(invoices, {"fixed_items": F.transform("items", lambda one: split_quantity(one, most))})
+    goods = F.col("total_cents") - F.coalesce("shipping_cents", F.lit(0))
+    summed = held(tried, {"read_sum": sum_of(F.col("items")), "fixed_sum": sum_of(F.col("fixed_items"))})
+
+    def fits(name: str) -> Column:
+        written = F.when(F.coalesce("subtotal_source", F.lit("")) == "text", F.col("subtotal_cents"))
+        return F.coalesce(F.col(name) == goods, F.lit(False)) | F.coalesce(F.col(name) == written, F.lit(False))
+
+    whole = F.forall("items", lambda one: F.coalesce(one["quantity"] * one["unit_cents"] == one["total_cents"], F.lit(False)))
+    balance = F.when(whole & fits("read_sum"), "read").when(fits("fixed_sum"), "repaired").otherwise("open")
+    judged = held(summed, {"balance": balance})
+    chosen = judged.withColumn("items", F.when(F.col("balance") == "read", F.col("items")).otherwise(F.col("fixed_items")))
+    return exploded(chosen, [*keys, "balance"], [*ITEM_FIELDS, "amounts", "repair"])
 
 
 def read(text: Column, rule_set: RuleSet) -> Column:
@@ -522,13 +643,12 @@ def read(text: Column, rule_set: RuleSet) -> Column:
         return consumer_items(text, rule_set)
     if rule_set.item_reader == "eu_business":
         return business_items(text, rule_set)
+    if rule_set.item_reader == "section":
+        return section_items(text)
     return line_items(text, rule_set)
 
 
-ITEM_FIELDS = ["asin", "description", "quantity", "unit_cents", "total_cents", "price"]
-
-
-def exploded(invoices: DataFrame, keys: list[str]) -> DataFrame:
+def exploded(invoices: DataFrame, keys: list[str], fields: list[str] = ITEM_FIELDS) -> DataFrame:
     """Items table of extracted invoices, with the position inside the document.
 
     ``inline_outer`` puts out plain columns. Taking fields of an exploded struct would
@@ -536,7 +656,7 @@ def exploded(invoices: DataFrame, keys: list[str]) -> DataFrame:
     """
 
     def flat(item_: Column, index: Column) -> Column:
-        return F.struct(index.alias("position"), *[item_[name].alias(name) for name in ITEM_FIELDS])
+        return F.struct(index.alias("position"), *[item_[name].alias(name) for name in fields])
 
     return invoices.select(*keys, F.inline_outer(F.transform("items", flat))).where(F.col("position").isNotNull())
 

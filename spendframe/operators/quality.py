@@ -25,6 +25,8 @@ from spendframe.rules import quality as rules
 # Currency marks in the order of their bits.
 CURRENCY_MARKS = ["$", "€", "£", "¥", "CHF", "Fr"]
 HEADER_MONEY = ["subtotal", "shipping", "tax", "total"]
+# Item figures of an invoice, all whole numbers.
+FACTS = ["items", "price_sum", "value_sum", "very_high_prices", "high_prices", "described_items", "priced_items", "symbol_bits"]
 ISSUE = "struct<level:string,type:string,severity:string,message:string,fields:array<string>>"
 
 
@@ -59,9 +61,18 @@ def with_cents(invoices: DataFrame) -> DataFrame:
     )
 
 
-def item_price() -> Column:
+def item_price(unit: Column | None = None, total: Column | None = None) -> Column:
     """Unit price of an item, else its line total."""
-    return F.coalesce(F.nullif(F.col("unit_cents"), F.lit(0)), F.nullif(F.col("total_cents"), F.lit(0)), F.lit(0))
+    unit, total = (F.col(name) if value is None else value for name, value in (("unit_cents", unit), ("total_cents", total)))
+    return F.coalesce(F.nullif(unit, F.lit(0)), F.nullif(total, F.lit(0)), F.lit(0))
+
+
+def mark_bit(price: Column) -> Column:
+    """The currency mark of a price text as a bit, null without one."""
+    symbol, bit = currency_symbol(price), None
+    for place, mark in enumerate(CURRENCY_MARKS):
+        bit = F.when(symbol == mark, 1 << place) if bit is None else bit.when(symbol == mark, 1 << place)
+    return bit
 
 
 def item_facts(items: DataFrame) -> DataFrame:
@@ -73,9 +84,6 @@ def item_facts(items: DataFrame) -> DataFrame:
     price = item_price()
     described = F.coalesce(F.trim("description") != "", F.lit(False))
     quantity = F.coalesce(F.nullif(F.col("quantity"), F.lit(0)), F.lit(1))
-    symbol, bit = currency_symbol(F.col("price")), None
-    for place, mark in enumerate(CURRENCY_MARKS):
-        bit = F.when(symbol == mark, 1 << place) if bit is None else bit.when(symbol == mark, 1 << place)
     return items.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("items"),
         F.coalesce(F.sum("total_cents"), F.lit(0)).alias("price_sum"),
@@ -84,7 +92,7 @@ def item_facts(items: DataFrame) -> DataFrame:
         F.count_if((price > rules.HIGH_PRICE_CENTS) & (price <= rules.VERY_HIGH_PRICE_CENTS)).alias("high_prices"),
         F.count_if(described).alias("described_items"),
         F.count_if(described & (price > 0)).alias("priced_items"),
-        F.coalesce(F.bit_or(bit), F.lit(0)).alias("symbol_bits"),
+        F.coalesce(F.bit_or(mark_bit(F.col("price"))), F.lit(0)).alias("symbol_bits"),
     )
 
 
@@ -111,39 +119,70 @@ def repeated_asins(items: DataFrame) -> DataFrame:
     )
 
 
-def asin_issues(items: DataFrame) -> DataFrame:
-    found = repeated_asins(items)
+def repeated_prices(items: DataFrame, position: str = "line_number") -> DataFrame:
+    """The prices of each product that one invoice lists at more than one: one row per item, with its price.
+
+    ``distinct_prices`` is the number of prices of the product and ``copies`` the number of items at this one. Items
+    meet the products that need them in a join; those of a product are never gathered.
+    """
+    price = item_price()
+    wanted = repeated_asins(items).select("order_id", "asin", "distinct_prices")
+    listed_items = items.where(F.coalesce(F.col("asin"), F.lit("")) != "").select(
+        "order_id", "asin", price.alias("price_cents"), F.col(position).alias("position"), "description"
+    )
+    found = listed_items.join(wanted, ["order_id", "asin"])
+    copies = found.groupBy("order_id", "asin", "price_cents").agg(F.count(F.lit(1)).alias("copies"))
+    return found.join(copies, ["order_id", "asin", "price_cents"]).select(
+        "order_id", "asin", "price_cents", "position", "description", "distinct_prices", "copies"
+    )
+
+
+def asin_issue(found: Column) -> Column:
+    """Issue row of a product with its number of prices and their range."""
     message = text(
-        "Multiple items with same ASIN ", F.col("asin"), " have ", F.col("distinct_prices").cast("string"),
-        " different prices: €", two_decimals(F.col("lowest_cents")), " to €", two_decimals(F.col("highest_cents")),
+        "Multiple items with same ASIN ", found["asin"], " have ", found["distinct_prices"].cast("string"),
+        " different prices: €", two_decimals(found["lowest_cents"]), " to €", two_decimals(found["highest_cents"]),
     )
-    row = issue(F.lit(True), "error", "duplicate_item_different_prices", "critical", message, ["items"])
-    return found.select("order_id", row.row.alias("issue")).select("order_id", "issue.*")
+    return issue(F.lit(True), "error", "duplicate_item_different_prices", "critical", message, ["items"]).row
 
 
-def price_issues(items: DataFrame) -> DataFrame:
-    price = item_price()
+def asin_issues(items: DataFrame) -> DataFrame:
+    row = asin_issue(F.struct("asin", "distinct_prices", "lowest_cents", "highest_cents"))
+    return repeated_asins(items).select("order_id", row.alias("issue")).select("order_id", "issue.*")
+
+
+def price_issue(price: Column) -> Column:
+    """Issue row of an item price, null for one that is not high."""
     amount = text("Item price €", two_decimals(price), " is ")
     very_high = issue(
         price > rules.VERY_HIGH_PRICE_CENTS, "error", "price_sanity_check_failed", "critical",
         text(amount, "unrealistically high for a consumer product"), ["items"],
     )
     high = issue(
-        F.lit(True), "warning", "high_price_warning", "medium",
+        price > rules.HIGH_PRICE_CENTS, "warning", "high_price_warning", "medium",
         text(amount, "unusually high for a consumer product"), ["items"],
     )
+    return F.coalesce(very_high.row, high.row)
+
+
+def price_issues(items: DataFrame) -> DataFrame:
+    price = item_price()
     return (
         items.where(price > rules.HIGH_PRICE_CENTS)
-        .select("order_id", F.coalesce(very_high.row, high.row).alias("issue"))
+        .select("order_id", price_issue(price).alias("issue"))
         .select("order_id", "issue.*")
     )
 
 
+def repeats_subtotal(text_: Column) -> Column:
+    """Whether a text prints a subtotal label more than once, as orders of several shipments do."""
+    repeated = [text_.rlike(f"(?s){label}.*{label}") for label in rules.SUBTOTAL_LABELS]
+    return F.coalesce(reduce(lambda a, b: a | b, repeated), F.lit(False))
+
+
 def is_complex() -> Column:
     """Several subtotal labels in the text, or a subtotal far above the total."""
-    repeated = [F.col("raw_text").rlike(f"(?s){label}.*{label}") for label in rules.SUBTOTAL_LABELS]
-    several = F.coalesce(reduce(lambda a, b: a | b, repeated), F.lit(False))
-    return several | (F.col("subtotal_cents") > F.col("total_cents") * 2)
+    return F.col("several_subtotals") | (F.col("subtotal_cents") > F.col("total_cents") * 2)
 
 
 def total_rule() -> list[Issue]:
@@ -274,14 +313,9 @@ def completeness_rule() -> list[Issue]:
 
 def with_facts(invoices: DataFrame, items: DataFrame) -> DataFrame:
     """Invoices with their amounts in cents and their item facts."""
-    if "raw_text" not in invoices.columns:
-        invoices = invoices.withColumn("raw_text", F.lit(None).cast("string"))
-    facts = with_cents(invoices).join(item_facts(items), "order_id", "left")
-    counts = [
-        "items", "price_sum", "value_sum", "very_high_prices", "high_prices", "described_items", "priced_items",
-        "symbol_bits",
-    ]
-    return facts.na.fill(0, counts)
+    several = repeats_subtotal(F.col("raw_text")) if "raw_text" in invoices.columns else F.lit(False)
+    facts = with_cents(invoices.withColumn("several_subtotals", several)).join(item_facts(items), "order_id", "left")
+    return facts.na.fill(0, FACTS)
 
 
 def judged(invoices: DataFrame, items: DataFrame, found: list[Issue]) -> DataFrame:
@@ -311,7 +345,11 @@ def issues(invoices: DataFrame, items: DataFrame, as_of: str) -> DataFrame:
 def score(invoices: DataFrame, items: DataFrame, as_of: str) -> DataFrame:
     """Score, validity and summary text for every invoice. Rules are only counted, no issue row is built."""
     repeated = repeated_asins(items).groupBy("order_id").agg(F.count(F.lit(1)).alias("repeated"))
-    frame = with_facts(invoices, items).join(repeated, "order_id", "left")
+    return scored(with_facts(invoices, items).join(repeated, "order_id", "left"), ["order_id"], as_of)
+
+
+def scored(facts: DataFrame, keys: list[str], as_of: str) -> DataFrame:
+    """The keys with errors, warnings, score, is_valid and summary, from invoices with their facts and ``repeated``."""
     found = header_rules(as_of)
 
     def level(name: str) -> Column:
@@ -320,7 +358,7 @@ def score(invoices: DataFrame, items: DataFrame, as_of: str) -> DataFrame:
 
     errors = level("error") + F.col("very_high_prices") + F.coalesce("repeated", F.lit(0))
     warnings = level("warning") + F.col("high_prices")
-    counted = frame.select("order_id", errors.alias("errors"), warnings.alias("warnings"))
+    counted = facts.select(*keys, errors.alias("errors"), warnings.alias("warnings"))
     count = F.col("errors") + F.col("warnings")
 
     def plural(number: Column, noun: str) -> Column:
@@ -333,7 +371,7 @@ def score(invoices: DataFrame, items: DataFrame, as_of: str) -> DataFrame:
     )
     penalty = F.col("errors") * rules.ERROR_PENALTY + F.col("warnings") * rules.WARNING_PENALTY
     return counted.select(
-        "order_id",
+        *keys,
         "errors",
         "warnings",
         F.greatest(F.lit(0), F.lit(100) - penalty).cast("bigint").alias("score"),
@@ -351,6 +389,10 @@ def present(name: str) -> Column:
 def parser_score(invoices: DataFrame, items: DataFrame) -> DataFrame:
     """Second scoring: fixed penalties for missing or malformed fields, not bounded below."""
     facts = invoices.join(item_facts(items), "order_id", "left").na.fill(0, ["items", "described_items"])
+    return parser_scored(facts, ["order_id"])
+
+
+def parser_scored(facts: DataFrame, keys: list[str]) -> DataFrame:
     p = rules.PARSER_PENALTIES
     number = F.col("order_number")
     facts = facts.withColumns({f"{name}_amount": strict_amount(F.col(name)) for name in HEADER_MONEY})
@@ -375,8 +417,8 @@ def parser_score(invoices: DataFrame, items: DataFrame) -> DataFrame:
         + no_items * p["no_items"] + undescribed * p["item_description"] + malformed * p["amount_format"]
         + no_total * p["total_missing"] + total_low * p["total_low"]
     )
-    scored = facts.select(
-        "order_id",
+    judged_ = facts.select(
+        *keys,
         (F.lit(100) - penalty).cast("bigint").alias("score"),
         errors.cast("bigint").alias("errors"),
         warnings.cast("bigint").alias("warnings"),
@@ -387,7 +429,7 @@ def parser_score(invoices: DataFrame, items: DataFrame) -> DataFrame:
         .when(F.col("warnings") > 0, listed_warnings)
         .otherwise("Valid invoice data")
     )
-    return scored.select("*", (F.col("errors") == 0).alias("is_valid"), summary.alias("summary"))
+    return judged_.select("*", (F.col("errors") == 0).alias("is_valid"), summary.alias("summary"))
 
 
 def ladder(value: Column, steps: list[tuple[int, str]]) -> Column:
@@ -405,6 +447,10 @@ def checklist_a(invoices: DataFrame, items: DataFrame) -> DataFrame:
     grades a field that was not found.
     """
     facts = invoices.join(item_facts(items).select("order_id", "items"), "order_id", "left").na.fill(0, ["items"])
+    return checked_a(facts, ["order_id"])
+
+
+def checked_a(facts: DataFrame, keys: list[str]) -> DataFrame:
     has_errors, has_confidence = "field_errors" in facts.columns, "field_confidence" in facts.columns
     points, missing = [], []
     for name, (critical, _) in rules.CHECKLIST_A.items():
@@ -421,8 +467,8 @@ def checklist_a(invoices: DataFrame, items: DataFrame) -> DataFrame:
         if has_errors
         else F.lit(0)
     )
-    scored = facts.select(
-        "order_id",
+    graded_ = facts.select(
+        *keys,
         rounded(reduce(lambda a, b: a + b, points) / F.lit(float(len(points)))).cast("bigint").alias("score"),
         reduce(lambda a, b: a + b, missing).cast("bigint").alias("critical_missing"),
         error_count.cast("bigint").alias("error_count"),
@@ -434,8 +480,8 @@ def checklist_a(invoices: DataFrame, items: DataFrame) -> DataFrame:
             F.when(F.col("error_count") > 0, "review_data"),
         )
     )
-    return scored.select(
-        "order_id",
+    return graded_.select(
+        *keys,
         "score",
         ladder(F.col("score"), rules.STATUS_A).alias("status"),
         "critical_missing",
@@ -486,17 +532,21 @@ def field_assessments(as_of: str) -> dict[str, Column]:
 def checklist_b(invoices: DataFrame, items: DataFrame, as_of: str) -> DataFrame:
     """Weighted field assessment with status and recommendations."""
     facts = invoices.join(item_facts(items), "order_id", "left").na.fill(0, ["items", "described_items"])
+    return checked_b(facts, ["order_id"], as_of)
+
+
+def checked_b(facts: DataFrame, keys: list[str], as_of: str) -> DataFrame:
     money = ("subtotal", "shipping", "tax", "discount", "total")
     facts = facts.withColumns({f"{name}_amount": strict_amount(F.col(name)) for name in money})
     assessed = field_assessments(as_of)
     ordered = list(rules.CHECKLIST_B)
-    fields = facts.select("order_id", *[assessed[name].alias(name) for name in ordered])
+    fields = facts.select(*keys, F.struct(*[assessed[name].alias(name) for name in ordered]).alias("assessed"))
 
     def status(name: str) -> Column:
-        return F.col(name)["status"]
+        return F.col("assessed")[name]["status"]
 
     def confidence(name: str) -> Column:
-        return F.col(name)["confidence"]
+        return F.col("assessed")[name]["confidence"]
 
     left = F.lit(100.0)
     for name, (critical, _) in rules.CHECKLIST_B.items():
@@ -510,7 +560,7 @@ def checklist_b(invoices: DataFrame, items: DataFrame, as_of: str) -> DataFrame:
 
     manual = F.concat_ws(", ", *[F.when((status(n) == "missing") | (confidence(n) < 50), n) for n in critical])
     unsure = F.concat_ws(", ", *[F.when((confidence(n) < 80) & (status(n) == "extracted"), n) for n in financial])
-    scored = fields.withColumns(
+    graded_ = fields.withColumns(
         {
             "score": F.greatest(F.lit(0.0), F.least(F.lit(100.0), rounded(left))).cast("bigint"),
             "critical_missing": total_of([status(n) == "missing" for n in critical]),
@@ -532,7 +582,7 @@ def checklist_b(invoices: DataFrame, items: DataFrame, as_of: str) -> DataFrame:
             "Item descriptions may be incomplete. Verify item details manually.",
         ),
     )
-    return scored.select("order_id", "score", "status", "critical_missing", "extracted_fields", advice.alias("recommendations"))
+    return graded_.select(*keys, "score", "status", "critical_missing", "extracted_fields", advice.alias("recommendations"))
 
 
 RECOVERED_FIELDS = ["order_number", "order_date", "subtotal", "shipping", "tax", "total"]
@@ -554,15 +604,6 @@ def recovery(invoices: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def field_confidence(found_value: float = 1.0) -> Column:
-    """Confidence per field as a map, for invoices joined with ``items`` counts."""
-    pairs = [(name, present(name)) for name in RECOVERED_FIELDS] + [("items", F.col("items") > 0)]
-    return F.map_from_arrays(
-        F.array(*[F.lit(name) for name, _ in pairs]),
-        F.array(*[F.when(flag, F.lit(found_value)).otherwise(F.lit(0.0)) for _, flag in pairs]),
-    )
-
-
 def error_class() -> Column:
     """Class of an error from ``error`` and ``context``; the first rule that applies wins."""
     message, context = F.lower(F.coalesce("error", F.lit(""))), F.coalesce("context", F.lit(""))
@@ -621,11 +662,15 @@ def first_actions(actions: DataFrame, k: int = 2) -> DataFrame:
 def extraction_metrics(invoices: DataFrame, items: DataFrame) -> DataFrame:
     """Seven field flags per invoice, their share, and item detail counts."""
     facts = invoices.join(item_facts(items), "order_id", "left").na.fill(0, ["items", "described_items", "priced_items"])
+    return measured(facts, ["order_id"])
+
+
+def measured(facts: DataFrame, keys: list[str]) -> DataFrame:
     flags = {name: present(name) for name in ("order_number", "order_date", "subtotal", "tax", "shipping", "total")}
     flags["items"] = F.col("items") > 0
     found = reduce(lambda a, b: a + b, [F.when(flag, 1).otherwise(0) for flag in flags.values()])
     return facts.select(
-        "order_id",
+        *keys,
         *[flag.alias(f"has_{name}") for name, flag in flags.items()],
         (found.cast("double") / F.lit(float(len(flags)))).alias("overall"),
         F.col("items").alias("total_items"),

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendframe.functions.numbers import rounded, units
+from spendframe.functions.plans import once
+from spendframe.operators.export import amounts_as_units, first_row_layout
 from spendframe.rules.spending import (
     BASE_CURRENCY,
     CATEGORY_KEYWORDS,
@@ -120,13 +122,11 @@ def monthly_spending(
             F.coalesce(F.sum("total_cents"), F.lit(0)).alias("sum_cents"), F.count(F.lit(1)).alias("invoice_count")
         )
         spent = units("sum_cents") * F.lit(exchange_factor(display, rates))
-    return sums.select(
-        "year",
-        "month",
-        month_name(F.col("month")).alias("month_name"),
-        spent.alias("total_spent"),
-        "invoice_count",
-    ).orderBy("year", "month")
+    return months_of(sums, spent).orderBy("year", "month")
+
+
+def months_of(sums: DataFrame, spent: Column) -> DataFrame:
+    return sums.select("year", "month", month_name(F.col("month")).alias("month_name"), spent.alias("total_spent"), "invoice_count")
 
 
 def category_analysis(
@@ -178,7 +178,10 @@ def monthly_growth(invoices: DataFrame, display: str = BASE_CURRENCY, rates: Map
 
 def spending_trend(invoices: DataFrame, display: str = BASE_CURRENCY, rates: Mapping[str, float] = EXCHANGE_RATES) -> DataFrame:
     """One row: trend label, average growth and average monthly spend."""
-    months = monthly_spending(invoices, display, rates)
+    return trend_of(monthly_spending(invoices, display, rates))
+
+
+def trend_of(months: DataFrame) -> DataFrame:
     by_month = Window.orderBy("year", "month")
     steps = months.withColumn("previous", F.lag("total_spent").over(by_month))
     growth = F.when(F.col("previous") > 0, (F.col("total_spent") - F.col("previous")) / F.col("previous") * 100.0).otherwise(
@@ -209,16 +212,16 @@ def currency_breakdown(invoices: DataFrame) -> DataFrame:
     return (
         invoices.groupBy(F.coalesce("currency", F.lit(BASE_CURRENCY)).alias("currency"))
         .agg(F.coalesce(F.sum("total_cents"), F.lit(0)).alias("sum_cents"), F.count(F.lit(1)).alias("invoice_count"))
-        .select(
-            "currency",
-            units("sum_cents").alias("total_spent"),
-            "invoice_count",
-            (units("sum_cents") / F.col("invoice_count").cast("double")).alias("average_order"),
-        )
+        .transform(currencies_of)
         .orderBy(F.desc("total_spent"), "currency")
     )
 
 
+def currencies_of(sums: DataFrame) -> DataFrame:
+    average = units("sum_cents") / F.col("invoice_count").cast("double")
+    return sums.select("currency", units("sum_cents").alias("total_spent"), "invoice_count", average.alias("average_order"))
+
+
 def financial_overview(invoices: DataFrame) -> DataFrame:
     """Total, average and count over the invoices that have a total."""
     priced = invoices.where(F.col("total_cents").isNotNull()).agg(
@@ -298,50 +301,96 @@ def performance_errors(runs: DataFrame) -> DataFrame:
     )
 
 
-def report_sections(
-    invoices: DataFrame, details: DataFrame, items: DataFrame, display: str = BASE_CURRENCY
-) -> DataFrame:
-    """All report sections as rows of one table, keyed by ``section``.
+# Grouping ids of the sets below: a bit is set for each column that a set leaves out.
+WHOLE, BY_VENDOR, BY_CURRENCY, BY_MONTH = 0b1111, 0b0111, 0b1011, 0b1100
+
 
-    ``details`` are item-grain invoice rows, as built by ``export.first_row_layout``.
+def grouped_figures(invoices: DataFrame, months: bool = True) -> DataFrame:
+    """Count, sum and date range of all invoices, per vendor, per currency and per month, from one scan.
+
+    ``grouping`` says which set a row belongs to. All columns leave through one generator, so that sections built
+    on these rows have the same plan below them and the scan and its shuffle are made once.
     """
-    vendors = (
-        top_vendors(invoices)
-        .agg(F.array_sort(F.collect_list(F.struct((-F.col("invoice_count")).alias("n"), "vendor"))).alias("v"))
-        .select(
-            F.array_join(F.transform("v", lambda x: F.concat(x["vendor"], F.lit(" ("), (-x["n"]).cast("string"), F.lit(")"))), "; ").alias("top_vendors")
-        )
-    )
-    head = summary(invoices, display).crossJoin(vendors).select(
-        F.lit("SUMMARY").alias("section"),
-        F.col("total_invoices").alias("invoice_count"),
-        "total_spent",
-        F.lit(display).alias("currency"),
-        F.col("average_order_value").alias("average"),
-        "date_start",
-        "date_end",
-        "top_vendors",
+    sets = [[], ["vendor"], ["currency"], *([["year", "month"]] if months else [])]
+    keyed = invoices.select(
+        F.coalesce("vendor", F.lit(DEFAULT_VENDOR)).alias("vendor"),
+        F.coalesce("currency", F.lit(BASE_CURRENCY)).alias("currency"),
+        F.year("order_date").alias("year"),
+        F.month("order_date").alias("month"),
+        "order_date",
+        "total_cents",
     )
-    months = monthly_spending(invoices, display).select(
-        F.lit("MONTHLY_SPENDING").alias("section"), "year", "month", "month_name", "total_spent", "invoice_count"
+    figures = keyed.groupingSets(sets, "vendor", "currency", "year", "month").agg(
+        F.grouping_id().cast("int").alias("grouping"),
+        F.count(F.lit(1)).alias("invoice_count"),
+        F.coalesce(F.sum("total_cents"), F.lit(0)).alias("sum_cents"),
+        F.min("order_date").alias("date_start"),
+        F.max("order_date").alias("date_end"),
     )
-    categories = category_analysis(items, display).select(
-        F.lit("CATEGORY_ANALYSIS").alias("section"),
-        "category",
-        "total_spent",
-        "item_count",
-        F.col("average_price").alias("average"),
-        "percentage",
+    return once(figures)
+
+
+def report_sections(
+    invoices: DataFrame,
+    items: DataFrame,
+    order: list[str],
+    display: str = BASE_CURRENCY,
+    rates: Mapping[str, float] = EXCHANGE_RATES,
+    monthly: bool = True,
+    categories: bool = True,
+    trends: bool = True,
+    details: bool = True,
+) -> DataFrame:
+    """The sections of a report as rows of one table, keyed by ``section``; switches leave sections out.
+
+    Invoice figures come from one grouping-sets aggregate. With details, invoices and items are dealt by order once
+    and every section reads that shuffle; without them items are aggregated where they lie. A switched off section
+    takes its grouping set, and items that no section needs are not read. ``order`` are the columns that order the
+    items of one invoice.
+    """
+    if details:
+        invoices, items = once(invoices, "order_id"), once(items, "order_id")
+    figures = grouped_figures(invoices, monthly or trends)
+    factor = F.lit(exchange_factor(display, rates))
+    top = figures.where(F.col("grouping") == BY_VENDOR).orderBy(F.desc("invoice_count"), F.asc("vendor")).limit(5)
+    vendors = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("invoice_count")).alias("n"), "vendor"))).alias("v")).select(
+        F.array_join(F.transform("v", lambda x: F.concat(x["vendor"], F.lit(" ("), (-x["n"]).cast("string"), F.lit(")"))), "; ").alias("top_vendors")
     )
-    currencies = currency_breakdown(invoices).select(
-        F.lit("CURRENCY_BREAKDOWN").alias("section"),
-        "currency",
-        "total_spent",
-        "invoice_count",
-        F.col("average_order").alias("average"),
+    # One row also where there is no invoice.
+    total = figures.where(F.col("grouping") == WHOLE).agg(
+        F.coalesce(F.sum("invoice_count"), F.lit(0)).alias("invoice_count"),
+        F.coalesce(F.sum("sum_cents"), F.lit(0)).alias("sum_cents"),
+        F.min("date_start").alias("date_start"),
+        F.max("date_end").alias("date_end"),
     )
-    rows = details.select(F.lit("INVOICE_DETAILS").alias("section"), "*")
-    merged = head
-    for part in (months, categories, currencies, rows):
+    spent = units("sum_cents") * factor
+    sections = [
+        total.crossJoin(vendors).select(
+            F.lit("SUMMARY").alias("section"),
+            "invoice_count",
+            spent.alias("total_spent"),
+            F.lit(display).alias("currency"),
+            (spent / F.greatest(F.col("invoice_count"), F.lit(1)).cast("double")).alias("average"),
+            "date_start",
+            "date_end",
+            "top_vendors",
+        )
+    ]
+    months = months_of(figures.where((F.col("grouping") == BY_MONTH) & F.col("year").isNotNull()), spent)
+    if monthly:
+        sections.append(months.select(F.lit("MONTHLY_SPENDING").alias("section"), "*"))
+    if categories:
+        shares = category_analysis(items, display, rates)
+        shown = ["category", "total_spent", "item_count", F.col("average_price").alias("average"), "percentage"]
+        sections.append(shares.select(F.lit("CATEGORY_ANALYSIS").alias("section"), *shown))
+    if trends:
+        sections.append(trend_of(months).select(F.lit("TRENDS").alias("section"), "*"))
+    breakdown = currencies_of(figures.where(F.col("grouping") == BY_CURRENCY))
+    sections.append(breakdown.select(F.lit("CURRENCY_BREAKDOWN").alias("section"), "currency", "total_spent", "invoice_count", F.col("average_order").alias("average")))
+    if details:
+        rows = first_row_layout(amounts_as_units(invoices), items, order, dealt=True)
+        sections.append(rows.select(F.lit("INVOICE_DETAILS").alias("section"), "*"))
+    merged = sections[0]
+    for part in sections[1:]:
         merged = merged.unionByName(part, allowMissingColumns=True)
     return merged

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendframe.functions import dates, money
-from spendframe.operators import classify, cleaning, compare, export, extract, items, jobs, quality, reports
+from spendframe.operators import assess, classify, cleaning, compare, export, extract, items, jobs, quality, reports, schema
 from spendframe.plans import pipeline
 from spendframe.rules.fields import RULE_SETS
 from spendframe.sources import corpus, star
@@ -54,9 +54,7 @@ def item_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.report_sections(
-        star.invoices(spark, sf_dir), item_layout(spark, sf_dir), star.items(spark, sf_dir)
-    )
+    return reports.report_sections(star.invoices(spark, sf_dir), star.items(spark, sf_dir), star.ITEM_ORDER)
 
 
 def written_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,12 +248,36 @@ def schema_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.schema_rejects(lines.join(numbers, "order_id"))
 
 
+def staged_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema.staged(corpus.json_texts(spark, sf_dir), schema.INVOICE)
+
+
+def typed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed rows of the JSON texts that fit the schema, with figures of their items."""
+    rows = schema.typed(staged_json(spark, sf_dir), ["order_id"])
+    return rows.select(
+        "order_id",
+        "orderNumber",
+        "subtotal",
+        "vendor",
+        F.size("items").cast("bigint").alias("item_count"),
+        F.aggregate("items", F.lit(0).cast("bigint"), lambda total, i: total + F.coalesce(i["quantity"], F.lit(0))).alias("quantity"),
+        F.aggregate("items", F.lit(0).cast("bigint"), lambda total, i: total + F.round(i["unitPrice"] * 100).cast("bigint")).alias("unit_cents"),
+        F.col("languageDetection.confidence").alias("confidence"),
+    )
+
+
+def json_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema.faults(staged_json(spark, sf_dir), ["order_id"])
+
+
 def quality_queries() -> dict[str, Query]:
     return {
         "dq_math": rule(quality.total_rule),
         "dq_items_sum": rule(quality.item_sum_rule),
         "dq_item_subtotal": rule(quality.item_value_rule),
         "dq_dup_asin": on_items(lambda items: flat(quality.asin_issues(items))),
+        "dq_dup_asin_prices": on_items(quality.repeated_prices),
         "dq_price": on_items(lambda items: flat(quality.price_issues(items))),
         "dq_date": rule(lambda: quality.date_rule(QUALITY_AS_OF)),
         "dq_currency": rule(quality.currency_rule),
@@ -269,6 +291,8 @@ def quality_queries() -> dict[str, Query]:
         "recovery_actions": recovery_actions,
         "extraction_metrics": quality_pair(quality.extraction_metrics),
         "schema_rejects": schema_rows,
+        "schema_typed": typed_json,
+        "schema_faults": json_faults,
         "batch_outcomes": batch_outcomes,
         "perf_report": lambda s, d: reports.performance_report(runs(s, d)),
         "perf_by_language": lambda s, d: reports.performance_by_language(runs(s, d)),
@@ -296,9 +320,42 @@ def compare_queries() -> dict[str, Query]:
         "compare_summary": lambda s, d: compare.summary(first(s, d)),
         "compare_pivot": lambda s, d: compare.pivot(compared(s, d), COMPARED_JOBS, fields),
         "compare_all_jobs": lambda s, d: compare.compare_groups(twice(s, d), fields),
+        "compare_nested": lambda s, d: compare.compare_groups(nested_twice(s, d), NESTED_PATHS),
+        "compare_search": lambda s, d: compare.search(first(s, d), compare.issues(first(s, d)), "total").select("field", "has_differences", "value_count"),
+        "compare_missing_jobs": lambda s, d: compare.missing_jobs(compared(s, d), s, [*COMPARED_JOBS, "job_1890_0", "job_1891_1"]),
     }
 
 
+# Dotted paths over structs, an array and a map, one of which leads nowhere.
+NESTED_PATHS = {
+    path: path for path in ("seller.name", "totals.total", "items.0.price", "items.0.description", "items.2.price", "tags.channel", "tags.absent", "totals.absent")
+}
+
+
+def nested_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over the same orders with nested fields; the second reads prices, totals and tags differently."""
+    order, line = F.col("order_id"), F.struct(*star.ITEM_ORDER)
+    listed = star.items(spark, sf_dir).groupBy("order_id").agg(F.sort_array(F.collect_list(F.struct(line.alias("key"), "description", "unit_cents"))).alias("lines"))
+    rows = star.invoices(spark, sf_dir).join(listed, "order_id", "left")
+
+    def run(name: str, second: bool) -> DataFrame:
+        extra = F.when(order % 7 == 0, 100).otherwise(0) if second else F.lit(0)
+        prices = F.transform("lines", lambda x, i: F.struct(x["description"].alias("description"), ((x["unit_cents"] + F.when(i == 0, extra).otherwise(0)).cast("double") / 100.0).alias("price")))
+        seller = F.when(order % 3 == 0, F.upper("customer_name")).when(order % 11 != 0, F.col("customer_name")) if second else F.col("customer_name")
+        total = F.col("total_cents") + (F.when(order % 5 == 0, 100).otherwise(0) if second else F.lit(0))
+        channel = F.when(order % 13 == 0, "phone").otherwise("web") if second else F.lit("web")
+        return rows.select(
+            "order_number",
+            F.lit(name).alias("run_id"),
+            F.struct(seller.alias("name")).alias("seller"),
+            F.struct((total.cast("double") / 100.0).alias("total")).alias("totals"),
+            prices.alias("items"),
+            F.create_map(F.lit("channel"), channel).alias("tags"),
+        )
+
+    return run("run_1", False).unionByName(run("run_2", True))
+
+
 def twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs over the same orders; the second reads some totals and names differently."""
     rows = compared(spark, sf_dir)
@@ -430,12 +487,10 @@ def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed.select("order_id", "format", "subtype", "rule_set")
 
 
-def read_corpus(spark: SparkSession, sf_dir: str, regions: list[str] | None = None) -> DataFrame:
-    """Rendered documents read by the rule set of their layout; known formats go through routing."""
-    layouts = [corpus.REGION_RULE_SET[r] for r in regions or corpus.REGION_RULE_SET]
-    prepared = pipeline.prepared(corpus.rendered(spark, sf_dir)).where(F.col("layout").isin(layouts))
-    fixed = F.when(F.col("layout") == "uk", "uk").otherwise(F.col("rule_set"))
-    return extract.extracted(prepared.withColumn("rule_set", fixed), layouts)
+def read_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered documents read by the rule set that routing gives them."""
+    prepared = pipeline.prepared(corpus.rendered(spark, sf_dir))
+    return extract.extracted(prepared, list(corpus.REGION_RULE_SET.values()))
 
 
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -464,9 +519,47 @@ def repeated_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extracted_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First-row layout of the extracted invoices of one market."""
-    read = read_corpus(spark, sf_dir, ["AMERICA"])
-    return export.nested_first_row_layout(read)
+    """First-row layout of the extracted invoices of all markets."""
+    return export.nested_first_row_layout(read_corpus(spark, sf_dir))
+
+
+def assessable_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.assessable(corpus.rendered(spark, sf_dir), names=list(corpus.REGION_RULE_SET.values()))
+
+
+def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assess.assessed(assessable_corpus(spark, sf_dir), QUALITY_AS_OF, ["order_id"])
+
+
+def document_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat(assess.issues(assessable_corpus(spark, sf_dir), QUALITY_AS_OF, ["order_id"]))
+
+
+def document_checklists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assess.checklists(assessable_corpus(spark, sf_dir), QUALITY_AS_OF, ["order_id"])
+
+
+def repaired_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of scanned documents after the repair, with the amounts as printed."""
+    read = extract.extracted(pipeline.prepared(corpus.scanned_texts(spark, sf_dir)), ["eu_consumer"])
+    fixed = items.repaired(read, ["order_id"])
+    printed = F.array_join(F.transform("amounts", lambda cents: cents.cast("string")), ",").alias("printed")
+    return fixed.select("order_id", "position", "asin", "description", "quantity", "unit_cents", "total_cents", "balance", "repair", printed)
+
+
+def read_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of no known layout, through routing and the fallback."""
+    return pipeline.extracted(corpus.plain_texts(spark, sf_dir))
+
+
+def generic_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    money_columns = [f"{n}_cents" for n in ("subtotal", "shipping", "tax", "total")]
+    return read_plain(spark, sf_dir).select("order_id", "reader", *money_columns, "currency", F.size("items").cast("bigint").alias("item_count"))
+
+
+def generic_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = items.exploded(read_plain(spark, sf_dir), ["order_id"])
+    return found.select("order_id", "position", "description", "quantity", "unit_cents", "total_cents", "price")
 
 
 def clean_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -479,6 +572,20 @@ def bakeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.bakeoff_summary(pipeline.bakeoff(documents, list(RULE_SETS)))
 
 
+def best_rule_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule set that reads most of each rendered document, over all thirteen."""
+    documents = pipeline.prepared(corpus.rendered(spark, sf_dir)).select("doc_id", "clean_text")
+    best = pipeline.best_rule_set(documents, list(RULE_SETS))
+    return best.select(F.col("doc_id").cast("bigint").alias("order_id"), "rule_set", "points", "order_number", "total_cents", "item_count")
+
+
+def windowed_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress per job and day of event time, the batch form of the stream whose state expires."""
+    events = star.progress_events(spark, sf_dir).where(F.col("state").isin("completed", "failed"))
+    results = events.withColumn("success", F.col("state") == "completed")
+    return stream_jobs.windowed(results)
+
+
 def progress_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finished and failed progress events counted per job, the batch form of the live progress."""
     events = star.progress_events(spark, sf_dir).where(F.col("state").isin("completed", "failed"))
@@ -488,6 +595,8 @@ def progress_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_queries() -> dict[str, Query]:
     return {
         "stream_progress": progress_batch,
+        "stream_windowed": windowed_progress,
+        "ruleset_best": best_rule_sets,
         "clean_mojibake": over_texts(cleaning.repair_encoding),
         "clean_light": over_texts(lambda text: cleaning.light_clean(spaced(text))),
         "clean_final": over_texts(lambda text: cleaning.final_clean(spaced(cleaning.repair_encoding(text)))),
@@ -506,6 +615,12 @@ def text_queries() -> dict[str, Query]:
         "extract_items": extracted_items,
         "item_fingerprints": repeated_items,
         "extract_csv": extracted_csv,
+        "assess_documents": document_scores,
+        "document_issues": document_issues,
+        "document_checklists": document_checklists,
+        "repair_prices": repaired_prices,
+        "extract_generic": generic_headers,
+        "extract_generic_items": generic_items,
         "ruleset_bakeoff": bakeoff,
     }
 

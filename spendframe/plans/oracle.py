@@ -85,6 +85,14 @@ MONTHS = """months AS (
  FROM invoices GROUP BY ALL)"""
 MONTH_COLUMNS = "CAST(y AS INTEGER) AS year, CAST(m AS INTEGER) AS month, monthname(make_date(y, m, 1)) AS month_name"
 
+TREND = f"""steps AS (SELECT {dollars("c")} AS v, lag({dollars("c")}) OVER (ORDER BY y, m) AS p FROM months),
+trend_facts AS (SELECT count(*) AS total_months,
+  floor(avg(CASE WHEN p > 0 THEN (v - p) / p * 100 WHEN p IS NOT NULL THEN 0 END) * 10000 + 0.5) / 10000 AS g,
+  floor(avg(v) * 100 + 0.5) / 100 AS a FROM steps)"""
+TREND_COLUMNS = """CASE WHEN total_months < 2 THEN 'insufficient_data' WHEN g > 5 THEN 'increasing'
+ WHEN g < -5 THEN 'decreasing' ELSE 'stable' END AS trend, CASE WHEN total_months >= 2 THEN g END AS average_growth,
+ CASE WHEN total_months >= 2 THEN a ELSE 0 END AS average_monthly_spend, total_months"""
+
 CATEGORIES = f"""categories AS (
  SELECT {category_case()} AS category, CAST(sum(total_cents) AS BIGINT) AS c, count(*) AS n FROM items GROUP BY 1),
 category_report AS (
@@ -157,13 +165,8 @@ def report_sql() -> dict[str, str]:
         "rep_trend": with_(
             INVOICES,
             MONTHS,
-            f"""steps AS (SELECT {dollars("c")} AS v, lag({dollars("c")}) OVER (ORDER BY y, m) AS p FROM months),
- facts AS (SELECT count(*) AS total_months,
-  floor(avg(CASE WHEN p > 0 THEN (v - p) / p * 100 WHEN p IS NOT NULL THEN 0 END) * 10000 + 0.5) / 10000 AS g,
-  floor(avg(v) * 100 + 0.5) / 100 AS a FROM steps)""",
-            body="""SELECT CASE WHEN total_months < 2 THEN 'insufficient_data' WHEN g > 5 THEN 'increasing'
- WHEN g < -5 THEN 'decreasing' ELSE 'stable' END AS trend, CASE WHEN total_months >= 2 THEN g END AS average_growth,
- CASE WHEN total_months >= 2 THEN a ELSE 0 END AS average_monthly_spend, total_months FROM facts""",
+            TREND,
+            body=f"SELECT {TREND_COLUMNS} FROM trend_facts",
         ),
         "rep_currency": with_(INVOICES, CURRENCIES, body="SELECT * FROM currencies"),
         "fin_overview": with_(
@@ -181,6 +184,7 @@ def report_sql() -> dict[str, str]:
             INVOICES,
             ITEMS,
             MONTHS,
+            TREND,
             CATEGORIES,
             CURRENCIES,
             VENDORS,
@@ -193,6 +197,7 @@ def report_sql() -> dict[str, str]:
  UNION ALL BY NAME SELECT 'MONTHLY_SPENDING' AS section, {MONTH_COLUMNS}, {dollars("c")} AS total_spent, n AS invoice_count FROM months
  UNION ALL BY NAME SELECT 'CATEGORY_ANALYSIS' AS section, category, total_spent, item_count, average_price AS average, percentage
  FROM category_report
+ UNION ALL BY NAME SELECT 'TRENDS' AS section, {TREND_COLUMNS} FROM trend_facts
  UNION ALL BY NAME SELECT 'CURRENCY_BREAKDOWN' AS section, currency, total_spent, invoice_count, average_order AS average FROM currencies
  UNION ALL BY NAME SELECT 'INVOICE_DETAILS' AS section, layout.* FROM layout""",
         ),
@@ -409,7 +414,7 @@ facts AS (SELECT order_id, count(*) AS n, CAST(sum(total_cents) AS BIGINT) AS ps
   CAST(count_if(description IS NOT NULL) AS BIGINT) AS described, count(DISTINCT symbol) AS symbols, max(symbol) AS one
   FROM priced GROUP BY order_id),
 base AS (SELECT flawed.*, coalesce(n, 0) AS n, coalesce(ps, 0) AS ps, coalesce(vs, 0) AS vs, coalesce(vh, 0) AS vh, coalesce(hp, 0) AS hp,
-  coalesce(described, 0) AS described, coalesce(symbols, 0) AS symbols, one FROM flawed LEFT JOIN facts USING (order_id))"""
+  coalesce(described, 0) AS described, coalesce(symbols, 0) AS symbols, one, false AS several FROM flawed LEFT JOIN facts USING (order_id))"""
 
 MATH = f"""math AS (
  SELECT order_id, 'warning' AS level, 'mathematical_inconsistency' AS type, CASE WHEN big THEN 'low' ELSE 'medium' END AS severity,
@@ -418,7 +423,7 @@ MATH = f"""math AS (
   CASE WHEN big THEN ' (multi-shipment order may have complex pricing)' ELSE '' END AS message, 'subtotal,shipping,tax,total' AS fields
  FROM (SELECT *, CAST(floor(CAST(gap AS DOUBLE) / t * 1000 + 0.5) AS BIGINT) AS tenths,
    greatest(t * CAST(0.01 AS DOUBLE), CAST(10 AS DOUBLE)) AS tolerance
-  FROM (SELECT *, sub + ship + tax AS calc, abs(sub + ship + tax - tot) AS gap, sub > tot * 2 AS big, CAST(tot AS DOUBLE) AS t
+  FROM (SELECT *, sub + ship + tax AS calc, abs(sub + ship + tax - tot) AS gap, several OR sub > tot * 2 AS big, CAST(tot AS DOUBLE) AS t
    FROM base WHERE tot > 0))
  WHERE gap > CASE WHEN big THEN greatest(tolerance * 3, t * CAST(0.05 AS DOUBLE)) ELSE tolerance END)"""
 
@@ -470,6 +475,19 @@ REPEATED = """repeated AS (
  FROM items GROUP BY order_id, asin HAVING count(DISTINCT unit_cents) > 1)"""
 
 
+JSON_FAULTS = """json_lines AS (SELECT order_id, part_key AS p, 'items.' || CAST(row_number() OVER (PARTITION BY order_id
+  ORDER BY line_number, part_key, supplier_key, total_cents, ship_date) - 1 AS VARCHAR) AS place FROM items WHERE order_id % 23 <> 0),
+json_faults AS (
+ SELECT order_id, '' AS path, 'json' AS rule FROM invoices WHERE order_id % 23 = 0
+ UNION ALL SELECT order_id, 'orderNumber', 'pattern' FROM invoices WHERE order_id % 23 <> 0 AND order_id % 11 = 0
+ UNION ALL SELECT order_id, 'subtotal', 'type' FROM invoices WHERE order_id % 23 <> 0 AND order_id % 13 = 0
+ UNION ALL SELECT order_id, 'languageDetection.language', 'required' FROM invoices WHERE order_id % 23 <> 0 AND order_id % 19 = 0
+ UNION ALL SELECT order_id, 'languageDetection.confidence', 'max' FROM invoices WHERE order_id % 23 <> 0 AND order_id % 17 = 0
+ UNION ALL SELECT order_id, place || '.description', 'null' FROM json_lines WHERE p % 101 = 0
+ UNION ALL SELECT order_id, place || '.quantity', CASE WHEN p % 29 = 0 THEN 'integer' WHEN p % 2 = 0 THEN 'min' ELSE 'type' END FROM json_lines WHERE p % 29 = 0 OR p % 5 = 0
+ UNION ALL SELECT order_id, place || '.unitPrice', 'min' FROM json_lines WHERE p % 7 = 0)"""
+
+
 def money_grade(present: str) -> str:
     return f"CASE WHEN {present} THEN 95 ELSE 0 END"
 
@@ -537,6 +555,12 @@ def quality_sql() -> dict[str, str]:
             body=f"""SELECT order_id, 'error' AS level, 'duplicate_item_different_prices' AS type, 'critical' AS severity,
  'Multiple items with same ASIN ' || asin || ' have ' || CAST(k AS VARCHAR) || ' different prices: €' || {fixed("lo")} || ' to €' || {fixed("hi")}
  AS message, 'items' AS fields FROM repeated""",
+        ),
+        "dq_dup_asin_prices": with_(
+            ITEMS,
+            REPEATED,
+            body="""SELECT order_id, asin, unit_cents AS price_cents, line_number AS position, description, k AS distinct_prices,
+ count(*) OVER (PARTITION BY order_id, asin, unit_cents) AS copies FROM items JOIN repeated USING (order_id, asin)""",
         ),
         "dq_price": with_(
             ITEMS,
@@ -655,6 +679,17 @@ def quality_sql() -> dict[str, str]:
  CASE WHEN description IS NULL THEN 'description required' END, CASE WHEN vat_rate = '120' THEN 'vatRate 0..100' END,
  CASE WHEN severity = 'severe' THEN 'severity enum' END), '') AS reason FROM texts""",
         ),
+        "schema_typed": with_(
+            INVOICES,
+            ITEMS,
+            JSON_FAULTS,
+            body=f"""SELECT order_id, CASE WHEN order_id % 37 <> 0 THEN order_number END AS "orderNumber", '$' || {fixed("subtotal_cents")} AS subtotal,
+ CASE WHEN order_id % 7 = 3 THEN 'Amazon' ELSE vendor END AS vendor, item_count, CAST(coalesce(q, 0) AS BIGINT) AS quantity,
+ CAST(coalesce(u, 0) AS BIGINT) AS unit_cents, CAST(0.9 AS DOUBLE) AS confidence
+ FROM invoices LEFT JOIN (SELECT order_id, sum(quantity) AS q, sum(unit_cents) AS u FROM items GROUP BY order_id) USING (order_id)
+ WHERE order_id NOT IN (SELECT order_id FROM json_faults)""",
+        ),
+        "schema_faults": with_(INVOICES, ITEMS, JSON_FAULTS, body="SELECT order_id, path, rule FROM json_faults"),
         "batch_outcomes": with_(
             *base,
             found,
@@ -731,6 +766,31 @@ def compare_sql() -> dict[str, str]:
             COMPARED,
             body=f"SELECT field, any_value(has_differences) AS has_differences, {wide} FROM cells JOIN (SELECT field, has_differences FROM judged) USING (field) GROUP BY field",
         ),
+        "compare_search": with_(
+            INVOICES,
+            COMPARED,
+            body="SELECT field, has_differences, value_count FROM judged WHERE contains(lower(field), 'total')",
+        ),
+        "compare_missing_jobs": with_(
+            OWNERS,
+            body=f"""SELECT job_id FROM (VALUES {", ".join(f"('{j}')" for j in [*COMPARED_JOBS, "job_1890_0", "job_1891_1"])}) AS asked(job_id)
+ WHERE job_id NOT IN (SELECT job_id FROM owners)""",
+        ),
+        "compare_nested": with_(
+            INVOICES,
+            ITEMS,
+            "sizes AS (SELECT order_id, coalesce(n, 0) AS n FROM invoices LEFT JOIN (SELECT order_id, count(*) AS n FROM items GROUP BY order_id) USING (order_id))",
+            """cells AS (
+ SELECT 'seller.name' AS field, false AS differs FROM sizes
+ UNION ALL SELECT 'totals.total', order_id % 5 = 0 FROM sizes
+ UNION ALL SELECT 'items.0.price', n > 0 AND order_id % 7 = 0 FROM sizes
+ UNION ALL SELECT 'items.0.description', false FROM sizes
+ UNION ALL SELECT 'items.2.price', false FROM sizes
+ UNION ALL SELECT 'tags.channel', order_id % 13 = 0 FROM sizes
+ UNION ALL SELECT unnest(['tags.absent', 'totals.absent']), false FROM sizes)""",
+            body="""SELECT field, count(*) AS orders, CAST(count_if(differs) AS BIGINT) AS orders_with_differences,
+ CAST(0 AS BIGINT) AS orders_in_one_run FROM cells GROUP BY field""",
+        ),
         "compare_all_jobs": with_(
             INVOICES,
             COMPARED,
@@ -791,15 +851,112 @@ def language_sum(language: languages.Language) -> str:
 
 
 DATE_FORMS = """(o_orderkey % 8)"""
-EXPECTED_RULE_SET = """CASE r WHEN 'AMERICA' THEN 'us' WHEN 'AFRICA' THEN 'us' WHEN 'EUROPE' THEN 'eu_consumer' WHEN 'ASIA' THEN 'japanese' ELSE 'swiss' END"""
+EXPECTED_RULE_SET = """CASE r WHEN 'AMERICA' THEN 'us' WHEN 'AFRICA' THEN 'uk' WHEN 'EUROPE' THEN 'eu_consumer' WHEN 'ASIA' THEN 'japanese' ELSE 'swiss' END"""
 EXPECTED_ITEMS = f"""expected_items AS (
- SELECT order_id, region, CASE WHEN region = 'EUROPE' THEN asin END AS asin, description,
-  CASE WHEN region = 'EUROPE' THEN 1 ELSE quantity END AS quantity,
+ SELECT order_id, region, CASE WHEN region = 'EUROPE' THEN asin END AS asin, description, quantity,
   CAST(CASE region WHEN 'ASIA' THEN unit_cents * 100 ELSE unit_cents END AS BIGINT) AS unit_cents,
-  CAST(CASE region WHEN 'EUROPE' THEN unit_cents WHEN 'ASIA' THEN unit_cents * 100 * quantity ELSE unit_cents * quantity END AS BIGINT) AS total_cents
+  CAST(CASE region WHEN 'ASIA' THEN unit_cents * 100 * quantity ELSE unit_cents * quantity END AS BIGINT) AS total_cents
  FROM items JOIN owners USING (order_id))"""
 
 
+def printed(cents: str) -> str:
+    """An amount as the page of its region shows it."""
+    pounds = f"'£' || format('{{:,}}', {cents} // 100) || '.' || lpad(CAST({cents} % 100 AS VARCHAR), 2, '0')"
+    return f"""CASE region WHEN 'AMERICA' THEN '$' || {fixed(cents)} WHEN 'EUROPE' THEN replace({fixed(cents)}, '.', ',') || ' €'
+  WHEN 'AFRICA' THEN {pounds} WHEN 'ASIA' THEN '¥' || format('{{:,}}', {cents}) ELSE 'CHF ' || {fixed(cents)} END"""
+
+
+# What the page of an order must give, by its region: amounts in cents, items as printed, and whether the page
+# repeats the label of the subtotal. Yen are read as whole yen.
+PAGES = f"""page_facts AS (SELECT order_id, count(*) AS n, CAST(sum(total_cents) AS BIGINT) AS ps, CAST(sum(unit_cents * quantity) AS BIGINT) AS vs,
+  count_if(unit_cents > 500000) AS vh, count_if(unit_cents > 100000 AND unit_cents <= 500000) AS hp, CAST(count_if(unit_cents > 0) AS BIGINT) AS priced
+  FROM expected_items GROUP BY order_id),
+base AS (SELECT order_id, order_number, strftime(order_date, '%Y-%m-%d') AS order_date, region, order_id % 6 = 1 AND region = 'AMERICA' AS several,
+  CAST(CASE region WHEN 'EUROPE' THEN coalesce(ps, 0) WHEN 'ASIA' THEN subtotal_cents * 100 ELSE subtotal_cents END AS BIGINT) AS sub,
+  CAST(CASE region WHEN 'ASIA' THEN shipping_cents * 100 ELSE shipping_cents END AS BIGINT) AS ship,
+  CAST(CASE region WHEN 'EUROPE' THEN 0 WHEN 'ASIA' THEN tax_cents * 100 ELSE tax_cents END AS BIGINT) AS tax,
+  CAST(CASE region WHEN 'EUROPE' THEN coalesce(ps, 0) + shipping_cents WHEN 'ASIA' THEN total_cents * 100 ELSE total_cents END AS BIGINT) AS tot,
+  true AS has_total, region <> 'EUROPE' OR n IS NOT NULL AS has_sub, region <> 'EUROPE' AS has_tax,
+  coalesce(n, 0) AS n, coalesce(ps, 0) AS ps, coalesce(vs, 0) AS vs, coalesce(vh, 0) AS vh, coalesce(hp, 0) AS hp, coalesce(priced, 0) AS priced
+  FROM invoices LEFT JOIN page_facts USING (order_id))"""
+
+PAGE_REPEATED = """repeated AS (SELECT order_id, asin, count(DISTINCT unit_cents) AS k, min(unit_cents) AS lo, max(unit_cents) AS hi
+ FROM expected_items WHERE asin IS NOT NULL GROUP BY order_id, asin HAVING count(DISTINCT unit_cents) > 1)"""
+
+
+def assess_sql() -> dict[str, str]:
+    parts = [INVOICES, ITEMS, EXPECTED_ITEMS, PAGES, MATH, ITEM_SUM, ITEM_VALUE, DATES, COMPLETE, PAGE_REPEATED]
+    rules_ = ("math", "item_sum", "item_value", "dates", "complete")
+    shown = " UNION ALL ".join(f"SELECT order_id, level, type, severity, message, fields FROM {name}" for name in rules_)
+    listed = f"""listed AS ({shown}
+ UNION ALL SELECT order_id, 'error', 'duplicate_item_different_prices', 'critical',
+  'Multiple items with same ASIN ' || asin || ' have ' || CAST(k AS VARCHAR) || ' different prices: €' || {fixed("lo")} || ' to €' || {fixed("hi")}, 'items' FROM repeated
+ UNION ALL SELECT order_id, CASE WHEN unit_cents > 500000 THEN 'error' ELSE 'warning' END,
+  CASE WHEN unit_cents > 500000 THEN 'price_sanity_check_failed' ELSE 'high_price_warning' END, CASE WHEN unit_cents > 500000 THEN 'critical' ELSE 'medium' END,
+  'Item price €' || {fixed("unit_cents")} || ' is ' || CASE WHEN unit_cents > 500000 THEN 'unrealistically' ELSE 'unusually' END ||
+  ' high for a consumer product', 'items' FROM expected_items WHERE unit_cents > 100000)"""
+    counts = """counts AS (SELECT base.*, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'warning') AS warnings,
+  count(*) FILTER (level = 'error' AND contains(fields, 'items')) AS item_errors, count(*) FILTER (level = 'error' AND contains(fields, 'subtotal')) AS sub_errors
+  FROM base LEFT JOIN listed USING (order_id) GROUP BY ALL)"""
+    plural = lambda number, noun: f"CAST({number} AS VARCHAR) || ' {noun}' || CASE WHEN {number} > 1 THEN 's' ELSE '' END"
+    # Strict reading takes one comma group of whole yen as decimals, and of more groups the first one only.
+    strict = lambda cents: f"""CASE WHEN region <> 'ASIA' THEN CAST({cents} AS DOUBLE) / 100 WHEN {cents} < 100000 THEN CAST({cents} // 100 AS DOUBLE)
+   WHEN {cents} < 100000000 THEN CAST({cents} // 100 AS DOUBLE) / 1000 WHEN {cents} < 100000000000 THEN CAST({cents} // 100000000 AS DOUBLE)
+   ELSE CAST({cents} // 100000000000 AS DOUBLE) END"""
+    found = "2 + CAST(has_sub AS INTEGER) + CAST(has_tax AS INTEGER) + 2 + CAST(n > 0 AS INTEGER)"
+    money = {"subtotal": ("has_sub", "sub"), "shipping": ("true", "ship"), "tax": ("has_tax", "tax"), "total": ("true", "tot")}
+    grade = {
+        "orderNumber": "100",
+        "orderDate": f"CASE WHEN year(CAST(order_date AS DATE)) >= 2020 AND CAST(order_date AS DATE) <= DATE '{QUALITY_AS_OF}' + 1 THEN 95 ELSE 60 END",
+        "items": "CASE WHEN n = 0 THEN 0 ELSE 100 END",
+        "discount": "0",
+        "currency": "100",
+        **{name: f"CASE WHEN NOT {there} THEN 0 WHEN {strict(cents)} > 1000000 THEN 60 ELSE 95 END" for name, (there, cents) in money.items()},
+    }
+    weights = {"orderNumber": 1, "orderDate": 1, "items": 1, "subtotal": 1, "shipping": 0, "tax": 1, "discount": 0, "total": 1, "currency": 0}
+    cost = " ".join(f"- (1 - CAST(g_{n} AS DOUBLE) / 100 * CAST({1.0 if c else 0.5} AS DOUBLE)) * {10 if c else 5}" for n, c in weights.items())
+    return {
+        "assess_documents": with_(
+            *parts,
+            listed,
+            counts,
+            f"""judged AS (SELECT *, CAST(n = 0 AS INTEGER) AS no_items,
+  CAST(has_sub AND {strict("tot")} < {strict("sub")} * CAST(0.8 AS DOUBLE) AS INTEGER) AS low FROM counts)""",
+            body=f"""SELECT order_id, order_number, errors, warnings, CAST(greatest(0, 100 - errors * 20 - warnings * 5) AS BIGINT) AS score,
+ errors = 0 AS is_valid, CASE WHEN errors + warnings = 0 THEN 'All validations passed' ELSE {plural("(errors + warnings)", "validation issue")} ||
+ ' found: ' || concat_ws(', ', CASE WHEN errors > 0 THEN {plural("errors", "error")} END,
+  CASE WHEN warnings > 0 THEN {plural("warnings", "warning")} END) END AS summary,
+ CAST(100 - no_items * 15 - low * 5 AS BIGINT) AS parser_score, CAST(0 AS BIGINT) AS parser_errors, CAST(no_items + low AS BIGINT) AS parser_warnings,
+ CASE WHEN no_items + low > 0 THEN (no_items + low) || ' warning(s)' ELSE 'Valid invoice data' END AS parser_summary,
+ true AS has_order_number, true AS has_order_date, has_sub AS has_subtotal, has_tax, true AS has_shipping, true AS has_total, n > 0 AS has_items,
+ CAST({found} AS DOUBLE) / 7 AS overall, n AS total_items, priced AS items_with_prices, n AS items_with_descriptions FROM judged""",
+        ),
+        "document_issues": with_(*parts, listed, body="SELECT * FROM listed"),
+        "document_checklists": with_(
+            *parts,
+            listed,
+            counts,
+            f"""marked AS (SELECT *, CAST(CASE WHEN n > 0 THEN greatest(0, 100 - item_errors * 20) ELSE 0 END + CASE WHEN has_sub THEN greatest(0, 100 - sub_errors * 20) ELSE 0 END
+  + CASE WHEN has_tax THEN 100 ELSE 0 END + 600 AS DOUBLE) AS points, {", ".join(f"{g} AS g_{n}" for n, g in grade.items())} FROM counts),
+ scored AS (SELECT *, CAST(floor(points / 9 + 0.5) AS BIGINT) AS a, CAST(n = 0 AS BIGINT) AS a_missing,
+  CAST(greatest(0, least(100, floor(100 {cost} + 0.5))) AS BIGINT) AS b,
+  CAST(CAST(n = 0 AS INTEGER) + CAST(NOT has_sub AS INTEGER) + CAST(NOT has_tax AS INTEGER) AS BIGINT) AS b_missing,
+  concat_ws(', ', CASE WHEN n = 0 THEN 'items' END, CASE WHEN NOT has_sub THEN 'subtotal' END, CASE WHEN NOT has_tax THEN 'tax' END) AS manual,
+  concat_ws(', ', CASE WHEN g_subtotal = 60 THEN 'subtotal' END, CASE WHEN g_shipping = 60 THEN 'shipping' END, CASE WHEN g_tax = 60 THEN 'tax' END,
+   CASE WHEN g_total = 60 THEN 'total' END) AS unsure FROM marked),
+ named AS (SELECT *, CASE WHEN b >= 90 THEN 'excellent' WHEN b >= 75 THEN 'good' WHEN b >= 60 THEN 'fair' WHEN b >= 40 THEN 'poor' ELSE 'critical' END AS b_named FROM scored)""",
+            body="""SELECT order_id, a AS a_score, CASE WHEN a >= 80 THEN 'excellent' WHEN a >= 60 THEN 'good' WHEN a >= 40 THEN 'fair' ELSE 'poor' END AS a_status,
+ a_missing AS a_critical_missing, concat_ws(', ', CASE WHEN a_missing > 0 THEN 'manual_entry' END, CASE WHEN a < 60 THEN 'reupload' END,
+  CASE WHEN item_errors + sub_errors > 0 THEN 'review_data' END) AS a_actions,
+ b AS b_score, b_named AS b_status, b_missing AS b_critical_missing, CAST(8 - b_missing AS BIGINT) AS b_extracted_fields,
+ concat_ws(' | ', CASE WHEN manual <> '' THEN 'Manual data entry required for critical fields: ' || manual END,
+  CASE WHEN unsure <> '' THEN 'Verify financial calculations for: ' || unsure END,
+  CASE b_named WHEN 'critical' THEN 'This invoice has significant parsing issues. Consider manual processing.'
+   WHEN 'poor' THEN 'This invoice has parsing quality issues. Review extracted data carefully.' END) AS b_recommendations FROM named""",
+        ),
+    }
+
+
 def text_sql() -> dict[str, str]:
     ranked = ", ".join(f"({i}, '{language.code}', p_{language.code})" for i, language in enumerate(languages.LANGUAGES))
     votes = {code: " + ".join(matches("text", f"(?i){s}") for s in signs) for code, signs in formats.EU_LANGUAGE_SIGNS.items()}
@@ -810,6 +967,19 @@ def text_sql() -> dict[str, str]:
         "stream_progress": f"""SELECT job_id, processed, successful, failed, {rate("successful", "processed")} AS success_rate FROM (
  SELECT user_id AS job_id, count(*) AS processed, CAST(count_if(event_type = 'purchase') AS BIGINT) AS successful,
   CAST(count_if(event_type = 'error') AS BIGINT) AS failed FROM events WHERE event_type IN ('purchase', 'error') GROUP BY user_id)""",
+        "stream_windowed": f"""SELECT period_start, job_id, processed, successful, failed, {rate("successful", "processed")} AS success_rate FROM (
+ SELECT date_trunc('day', ts) AS period_start, user_id AS job_id, count(*) AS processed, CAST(count_if(event_type = 'purchase') AS BIGINT) AS successful,
+  CAST(count_if(event_type = 'error') AS BIGINT) AS failed FROM events WHERE event_type IN ('purchase', 'error') GROUP BY ALL)""",
+        "ruleset_best": with_(
+            INVOICES,
+            ITEMS,
+            EXPECTED_ITEMS,
+            PAGES,
+            body="""SELECT order_id, CASE region WHEN 'AMERICA' THEN 'us' WHEN 'AFRICA' THEN 'uk' WHEN 'ASIA' THEN 'japanese' WHEN 'MIDDLE EAST' THEN 'swiss'
+  ELSE CASE WHEN n > 0 THEN 'eu_consumer' ELSE 'eu_business' END END AS rule_set,
+ CASE WHEN region <> 'EUROPE' THEN 6 + CAST(n > 0 AS BIGINT) WHEN n > 0 THEN 6 ELSE 4 END AS points, order_number, tot AS total_cents, n AS item_count
+ FROM base JOIN invoices USING (order_id, order_number, region)""",
+        ),
         "clean_mojibake": "SELECT doc_id, text FROM documents",
         "clean_light": with_(
             SPACED,
@@ -864,7 +1034,7 @@ def text_sql() -> dict[str, str]:
         ),
         "route_documents": with_(
             OWNERS,
-            body=f"""SELECT order_id, CASE WHEN r IN ('AMERICA', 'AFRICA') THEN 'amazon.com' WHEN r = 'EUROPE' THEN 'amazon.eu' END AS format,
+            body=f"""SELECT order_id, CASE WHEN r = 'AMERICA' THEN 'amazon.com' WHEN r = 'EUROPE' THEN 'amazon.eu' END AS format,
  CASE WHEN r = 'EUROPE' THEN 'consumer' END AS subtype, {EXPECTED_RULE_SET} AS rule_set FROM (SELECT order_id, region AS r FROM owners)""",
         ),
         "extract_headers": with_(
@@ -906,15 +1076,47 @@ def text_sql() -> dict[str, str]:
         "extract_csv": with_(
             INVOICES,
             ITEMS,
-            f"""placed AS (SELECT *, row_number() OVER (PARTITION BY order_id
-  ORDER BY line_number, part_key, supplier_key, total_cents, ship_date) AS position FROM items)""",
-            body=f"""SELECT CASE WHEN first THEN order_number END AS order_number,
- CASE WHEN first THEN CAST(order_date AS DATE) END AS order_date,
- CASE WHEN first THEN '$' || {fixed("subtotal_cents")} END AS subtotal, CASE WHEN first THEN '$' || {fixed("shipping_cents")} END AS shipping,
- CASE WHEN first THEN '$' || {fixed("tax_cents")} END AS tax, CASE WHEN first THEN '$' || {fixed("tot")} END AS total,
- CASE WHEN first THEN 'Amazon' END AS vendor, description AS item_description, '$' || {fixed("unit_cents")} AS item_price
- FROM (SELECT invoices.*, invoices.total_cents AS tot, description, unit_cents, coalesce(position, 1) = 1 AS first
-  FROM invoices LEFT JOIN placed USING (order_id) WHERE region = 'AMERICA')""",
+            f"""placed AS (SELECT order_id, description, unit_cents, quantity, row_number() OVER (PARTITION BY order_id
+  ORDER BY line_number, part_key, supplier_key, total_cents, ship_date) AS position FROM items),
+ gross AS (SELECT order_id, CAST(sum(unit_cents * quantity) AS BIGINT) AS g FROM items GROUP BY order_id),
+ pages AS (SELECT invoices.* REPLACE (CAST(CASE WHEN region = 'EUROPE' THEN g ELSE subtotal_cents END AS BIGINT) AS subtotal_cents,
+   CAST(CASE WHEN region = 'EUROPE' THEN coalesce(g, 0) + shipping_cents ELSE total_cents END AS BIGINT) AS total_cents,
+   CASE WHEN region <> 'EUROPE' THEN tax_cents END AS tax_cents) FROM invoices LEFT JOIN gross USING (order_id))""",
+            body=f"""SELECT CASE WHEN first THEN order_number END AS order_number, CASE WHEN first THEN CAST(order_date AS DATE) END AS order_date,
+ CASE WHEN first THEN {printed("subtotal_cents")} END AS subtotal, CASE WHEN first THEN {printed("shipping_cents")} END AS shipping,
+ CASE WHEN first THEN {printed("tax_cents")} END AS tax, CASE WHEN first THEN {printed("total_cents")} END AS total,
+ CASE WHEN first THEN 'Amazon' END AS vendor, description AS item_description,
+ CASE WHEN region <> 'EUROPE' THEN {printed("unit_cents")} END AS item_price
+ FROM (SELECT pages.*, description, unit_cents, coalesce(position, 1) = 1 AS first FROM pages LEFT JOIN placed USING (order_id))""",
+        ),
+        **assess_sql(),
+        "extract_generic": with_(
+            INVOICES,
+            body="""SELECT order_id, 'generic' AS reader, subtotal_cents, shipping_cents, tax_cents, total_cents,
+ ['GBP', 'GBP', 'EUR', 'USD'][order_id % 4 + 1] AS currency, item_count FROM invoices""",
+        ),
+        "extract_generic_items": with_(
+            ITEMS,
+            f"""placed AS (SELECT *, order_id % 4 AS turn, CAST(row_number() OVER (PARTITION BY order_id
+  ORDER BY line_number, part_key, supplier_key, total_cents, ship_date) - 1 AS INTEGER) AS position FROM items)""",
+            body=f"""SELECT order_id, position, CASE WHEN turn = 2 THEN description ELSE CAST(quantity AS VARCHAR) || ' x ' || description END AS description,
+ CASE WHEN turn <> 2 THEN quantity END AS quantity, unit_cents,
+ CAST(CASE WHEN turn IN (0, 3) THEN unit_cents * quantity ELSE unit_cents END AS BIGINT) AS total_cents,
+ CASE turn WHEN 1 THEN '£' || {fixed("unit_cents")} WHEN 2 THEN replace({fixed("unit_cents")}, '.', ',') || ' €' ELSE '$' || {fixed("unit_cents")} END AS price FROM placed""",
+        ),
+        "repair_prices": with_(
+            INVOICES,
+            ITEMS,
+            """placed AS (SELECT order_id, asin, description, quantity, unit_cents, CAST(unit_cents * quantity AS BIGINT) AS total_cents,
+  CAST(row_number() OVER (PARTITION BY order_id ORDER BY line_number, part_key, supplier_key, items.total_cents, ship_date) - 1 AS INTEGER) AS position,
+  CAST(floor(CAST(unit_cents AS DOUBLE) * 100 / 119 + 0.5) AS BIGINT) AS net, order_id % 3 = 0 AS merged FROM items),
+ shown AS (SELECT *, CASE WHEN merged THEN CAST(CAST(quantity AS VARCHAR) || lpad(CAST(net AS VARCHAR), CAST(greatest(length(CAST(net AS VARCHAR)), 3) AS INTEGER), '0') AS BIGINT) ELSE net END AS front
+  FROM placed),
+ judged AS (SELECT *, bool_or(merged AND quantity > 1) OVER (PARTITION BY order_id) AS broken,
+  greatest(front, unit_cents, total_cents) > 200000 OR front > unit_cents * 3 AS suspicious FROM shown)""",
+            body="""SELECT order_id, position, asin, description, quantity, unit_cents, total_cents, CASE WHEN broken THEN 'repaired' ELSE 'read' END AS balance,
+ CASE WHEN merged AND broken AND (quantity > 1 OR suspicious) THEN 'quantity split' WHEN merged AND NOT broken AND suspicious THEN 'merged' END AS repair,
+ CAST(front AS VARCHAR) || ',' || CAST(unit_cents AS VARCHAR) || ',' || CAST(total_cents AS VARCHAR) AS printed FROM judged""",
         ),
     }
 

@@ -46,6 +46,9 @@ EURO_LOOSE_PLAIN = Shape([r"€?(\d+,\d{2})"], suffix=" €")
 EURO_GROUPED = Shape([r"([\d.]+,\d{2})\s*€"], suffix=" €")
 EURO_SIGNED = Shape([r"(-?\d+,\d{2})\s*€"], suffix=" €")
 
+# An amount with a mark or code on either side, for texts of no known market.
+MARKED = Shape([r"((?:USD|EUR|GBP|JPY|CHF|Fr\.?|[$€£¥])\s*\d+(?:[.,]\d+)*)", r"(\d+(?:[.,]\d+)*\s*(?:CHF|Fr\b|[$€£¥]))"])
+
 # Written dates with one group.
 NAMED_MONTH_FIRST = r"([A-Za-z]+\s+\d{1,2},?\s+\d{4})"
 NAMED_DAY_FIRST = r"(\d{1,2}(?:er|\.)?\s*[\p{L}]+\s+\d{4})"
@@ -270,6 +273,7 @@ AUSTRALIAN = RuleSet(
 UK = replace(
     AUSTRALIAN,
     name="uk",
+    language="en-gb",
     currency="GBP",
     order_labels=[r"Order\s+Number[:\s]*", r"Order\s+No[:\s]*", "Order\\s*"],
     labels={**AUSTRALIAN.labels, "tax": ["VAT", "Tax", r"VAT\s+Included"]},
@@ -370,6 +374,26 @@ RULE_SETS = {
     )
 }
 
+# Signs of a currency in an amount.
+CURRENCY_SIGNS = {"EUR": "€|EUR", "USD": r"\$|USD", "GBP": "£|GBP", "JPY": "¥|JPY", "CHF": "CHF|Fr"}
+
+# Labels of all markets, for texts from which the rule set of their market reads nothing. The
+# currency is that of the amounts (empty here).
+GENERIC = RuleSet(
+    "generic", "en", "",
+    order_labels=[],
+    date_labels=["Order\\s+Placed", "Bestelldatum", "Rechnungsdatum", "Date\\s+de\\s+commande", "Commande\\s+du", "Fecha\\s+del?\\s+pedido", "Order\\s+Date"],
+    date_shapes=[NAMED_MONTH_FIRST, NAMED_DAY_FIRST, DOTTED],
+    labels={
+        "subtotal": ["Subtotale?", "Base imponible", "Zwischensumme", "Teilsumme", "Sous-total", "Total HT"],
+        "shipping": ["Gastos de envío", "Envío", "Shipping", "Delivery", "Versandkosten", "Versand", "Livraison", "Frais de port", "Port"],
+        "tax": ["Impuestos", "IVA", "Tax", "VAT", "GST", "MwSt", "Mehrwertsteuer", "TVA", r"T\.V\.A\."],
+        "total": ["Grand Total", "Total pendiente", "Gesamtpreis", "Gesamtbetrag", "Gesamt", "Totale fattura", "Totale", "Total TTC", "Total"],
+    },
+    shapes=same_shape(MARKED),
+    item_reader="section",
+)
+
 # Labels that must start a word because they also end longer labels.
 GUARDED_LABELS = {"Total", "Totale", "Summe", "Gesamt", "Betrag", "Le", "Port", "Tax", "Data", "Date"}
 

@@ -23,7 +23,7 @@ REGION_RULE_SET = {
     "MIDDLE EAST": "swiss",
 }
 
-NET_SHARE, TAX_PERCENT = 84, 19
+TAX_PERCENT = 19
 
 
 def dotted_amount(cents: Column) -> Column:
@@ -55,18 +55,26 @@ def per_region(options: dict[str, Column]) -> Column:
     return chain
 
 
+def net_of(unit: Column) -> Column:
+    """Price without tax of a price with tax."""
+    return F.floor(unit.cast("double") * 100.0 / F.lit(100.0 + TAX_PERCENT) + 0.5).cast("bigint")
+
+
 def item_text() -> Column:
     """Lines of one item in the layout of its region."""
     unit, count, words = F.col("unit_cents"), F.col("quantity").cast("string"), F.col("description")
-    net = european_amount((unit * NET_SHARE / 100).cast("bigint"))
-    # Every other order has dots between thousands.
-    gross = F.when(F.col("order_id") % 2 == 0, dotted_amount(unit)).otherwise(european_amount(unit))
+    net = european_amount(net_of(unit))
+
+    def gross(cents: Column) -> Column:
+        """Every other order has dots between thousands."""
+        return F.when(F.col("order_id") % 2 == 0, dotted_amount(cents)).otherwise(european_amount(cents))
+
     return per_region(
         {
             "AMERICA": F.concat(count, F.lit(" of: "), words, F.lit("\n"), dollars(unit)),
             "EUROPE": F.concat(
                 words, F.lit("\nASIN: "), F.col("asin"), F.lit("\n"), net, F.lit(f"\n{TAX_PERCENT}%\n"),
-                gross, gross,
+                gross(unit), gross(unit * F.col("quantity")),
             ),
             "AFRICA": F.concat(count, F.lit(" x "), words, F.lit(" "), pounds(unit)),
             "ASIA": F.concat(count, F.lit(" × "), words, F.lit(" "), yen(unit)),
@@ -81,7 +89,11 @@ def invoice_text(item_lines: Column) -> Column:
     year, month, date = F.year(day).cast("string"), F.month(day), F.dayofmonth(day).cast("string")
     english = F.concat(month_name(month), F.lit(" "), date, F.lit(", "), year)
     dotted = F.concat(date, F.lit("."), month.cast("string"), F.lit("."), year)
+    slashed = F.concat(date, F.lit("/"), month.cast("string"), F.lit("/"), year)
     subtotal, shipping, tax, total = (F.col(f"{n}_cents") for n in ("subtotal", "shipping", "tax", "total"))
+    # Some orders are sent in two parts, and the page of the second repeats the label.
+    second = F.concat(F.lit("Second shipment\nItem(s) Subtotal: "), dollars(subtotal), F.lit("\n"))
+    second_part = F.when(F.col("order_id") % 6 == 1, second).otherwise("")
 
     def page(*parts: Column | str) -> Column:
         return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
@@ -92,14 +104,14 @@ def invoice_text(item_lines: Column) -> Column:
             "AMERICA": page(
                 "Amazon.com Order Confirmation\nOrder #", number, "\nOrder Placed: ", english, "\nItems Ordered\n", items,
                 "Item(s) Subtotal: ", dollars(subtotal), "\nShipping: ", dollars(shipping), "\nSales Tax: ", dollars(tax),
-                "\nGrand Total: ", dollars(total), "\n",
+                "\nGrand Total: ", dollars(total), "\n", second_part,
             ),
             "EUROPE": page(
                 "amazon.de\nBestellnummer ", number, "\nBestelldatum ", dotted, "\n", items,
                 "Versandkosten ", european_amount(shipping), "\nGesamtpreis ", european_amount(F.col("gross_sum") + shipping), "\n",
             ),
             "AFRICA": page(
-                "Order Number: ", number, "\nOrder Placed: ", english, "\n", items, "Subtotal: ", pounds(subtotal),
+                "Order Number: ", number, "\nOrder Date: ", slashed, "\n", items, "Subtotal: ", pounds(subtotal),
                 "\nPostage: ", pounds(shipping), "\nVAT: ", pounds(tax), "\nGrand Total: ", pounds(total), "\n",
             ),
             "ASIA": page(
@@ -121,7 +133,7 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.struct(*star.ITEM_ORDER)
     documents = lines.groupBy("order_id").agg(
         F.collect_list(F.struct(key.alias("key"), item_text().alias("text"))).alias("lines"),
-        F.sum("unit_cents").alias("gross_sum"),
+        F.sum(F.col("unit_cents") * F.col("quantity")).alias("gross_sum"),
     )
     joined = spread(invoices.join(documents, "order_id", "left").na.fill(0, ["gross_sum"]), "order_id")
     empty = F.array().cast("array<string>")
@@ -135,6 +147,111 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scanned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """European consumer documents of all orders; in every third one the scan has lost the space behind the quantity.
+
+    Another third shows no tax rate. Columns are price without tax, rate, price with tax and total.
+    """
+    invoices, key = star.invoices(spark, sf_dir), F.struct(*star.ITEM_ORDER)
+    unit, quantity, turn = F.col("unit_cents"), F.col("quantity"), F.col("order_id") % 3
+    total = unit * quantity
+    merged = F.when(turn == 0, quantity.cast("string")).otherwise("")
+    rate = F.when(turn == 1, "").otherwise(f"{TAX_PERCENT}%\n")
+    lines = F.concat(
+        F.col("description"), F.lit("\nASIN: "), F.col("asin"), F.lit("\n"), merged, european_amount(net_of(unit)), F.lit("\n"),
+        rate, european_amount(unit), european_amount(total),
+    )
+    documents = star.items(spark, sf_dir).groupBy("order_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("key"), lines.alias("text")))), lambda line: line["text"]), "\n").alias("lines"),
+        F.sum(total).alias("goods"),
+    )
+    joined = spread(invoices.join(documents, "order_id"), "order_id")
+    page = F.concat(
+        F.lit("amazon.de\nBestellnummer "), F.col("order_number"), F.lit("\n"), F.col("lines"), F.lit("\nVersandkosten "),
+        european_amount(F.col("shipping_cents")), F.lit("\nGesamtpreis "), european_amount(F.col("goods") + F.col("shipping_cents")), F.lit("\n"),
+    )
+    return joined.select("order_id", F.col("order_id").cast("string").alias("doc_id"), page.alias("text"))
+
+
+def plain_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per order in a form that no market uses: no order number, amounts with codes or strange labels.
+
+    Orders take turns: counted items with the price below and pound codes, counted items with pounds in front, items
+    with a bar and euros under labels of three languages, and counted items with dollar codes.
+    """
+    invoices, key = star.invoices(spark, sf_dir), F.struct(*star.ITEM_ORDER)
+    turn, unit, words = F.col("order_id") % 4, F.col("unit_cents"), F.col("description")
+    count = F.col("quantity").cast("string")
+    line = (
+        F.when(turn == 1, F.concat(count, F.lit(" x "), words, F.lit(" £"), two_decimals(unit)))
+        .when(turn == 2, F.concat(words, F.lit(" | "), european_amount(unit)))
+        .otherwise(F.concat(count, F.lit(" of: "), words, F.lit("\nCondition: New\n"), two_decimals(unit)))
+    )
+    listed = star.items(spark, sf_dir).groupBy("order_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("key"), line.alias("text")))), lambda row: row["text"]), "\n").alias("lines")
+    )
+    joined = spread(invoices.join(listed, "order_id", "left"), "order_id")
+
+    def amount(name: str, style: str) -> Column:
+        cents = F.col(f"{name}_cents")
+        return european_amount(cents) if style == "€" else F.concat(F.lit(style), two_decimals(cents))
+
+    def page(heading: str, labels: list[str], style: str, closing: str = "") -> Column:
+        parts = [F.lit(heading + "\n"), F.coalesce("lines", F.lit("")), F.lit("\n" + closing)]
+        for label, name in zip(labels, ("subtotal", "shipping", "tax", "total"), strict=True):
+            parts += [F.lit(label + ": "), amount(name, style), F.lit("\n")]
+        return F.concat(*parts)
+
+    english = ["Subtotal", "Shipping", "Tax", "Grand Total"]
+    text = (
+        F.when(turn == 0, page("Items Ordered", english, "GBP "))
+        .when(turn == 1, page("Items Ordered", english, "£"))
+        .when(turn == 2, page("Order Confirmation", ["Teilsumme", "Frais de port", "Mehrwertsteuer", "Gesamt"], "€", "Zahlung erhalten\n"))
+        .otherwise(page("Items Ordered", english, "USD "))
+    )
+    return joined.select("order_id", F.col("order_id").cast("string").alias("doc_id"), text.alias("text"))
+
+
+def json_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON text per order as a parser would store it, with faults at fixed keys and some texts cut short."""
+    invoices, key, order = star.invoices(spark, sf_dir), F.struct(*star.ITEM_ORDER), F.col("order_id")
+    part, quantity = F.col("part_key"), F.col("quantity").cast("string")
+
+    def member(name: str, value: Column) -> Column:
+        return F.concat(F.lit(f'"{name}":'), value)
+
+    def quoted(text: Column) -> Column:
+        return F.concat(F.lit('"'), text, F.lit('"'))
+
+    count = (
+        F.when(part % 29 == 0, "2.5")
+        .when((part % 5 == 0) & (part % 2 == 0), '"0"')
+        .when(part % 5 == 0, '"many"')
+        .when(part % 3 == 0, quoted(quantity))
+        .otherwise(quantity)
+    )
+    described = F.when(part % 101 == 0, "null").otherwise(quoted(F.col("description")))
+    unit = F.when(part % 7 == 0, "-1").otherwise(two_decimals(F.col("unit_cents")))
+    line = F.concat(
+        F.lit("{"), member("description", described), F.lit(","), member("quantity", count), F.lit(","), member("unitPrice", unit), F.lit(","),
+        member("asin", quoted(F.col("asin"))), F.lit(',"note":"left out"}'),
+    )
+    listed = star.items(spark, sf_dir).groupBy("order_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("key"), line.alias("text")))), lambda row: row["text"]), ",").alias("lines")
+    )
+    number = F.when(order % 11 == 0, '"bad"').when(order % 37 == 0, "null").otherwise(quoted(F.col("order_number")))
+    subtotal = F.when(order % 13 == 0, two_decimals(F.col("subtotal_cents"))).otherwise(quoted(dollars(F.col("subtotal_cents"))))
+    vendor = F.when(order % 7 == 3, "").otherwise(F.concat(F.lit(","), member("vendor", quoted(F.col("vendor")))))
+    items = F.when(F.col("lines").isNull(), "").otherwise(F.concat(F.lit(',"items":['), F.col("lines"), F.lit("]")))
+    language = F.when(order % 19 == 0, "").otherwise('"language":"EN",')
+    confidence = F.when(order % 17 == 0, "1.5").otherwise("0.9")
+    detected = F.concat(F.lit(',"languageDetection":{'), language, member("confidence", confidence), F.lit(',"evidence":"words","supported":true}'))
+    text = F.concat(F.lit("{"), member("orderNumber", number), F.lit(","), member("subtotal", subtotal), vendor, items, detected, F.lit(',"_rawText":"x"}'))
+    cut = F.when(order % 23 == 0, F.substring(text, 1, 30)).otherwise(text)
+    joined = spread(invoices.join(listed, "order_id", "left"), "order_id")
+    return joined.select("order_id", cut.alias("json"))
+
+
 # Header layout of each language rule set: labels of number, date,
 # subtotal, shipping, tax, discount (empty where the market has none) and total,
 # how dates and amounts are written.
