@@ -343,10 +343,10 @@ def report_sections(
 ) -> DataFrame:
     """The sections of a report as rows of one table, keyed by ``section``; switches leave sections out.
 
-    Invoice figures come from one grouping-sets aggregate. With details, invoices and items are dealt by order once
-    and every section reads that shuffle; without them items are aggregated where they lie. A switched off section
-    takes its grouping set, and items that no section needs are not read. ``order`` are the columns that order the
-    items of one invoice.
+    Invoice figures come from one grouping-sets aggregate over one scan, category figures from one scan of the items.
+    With details, invoices and items are dealt by order for their join, and branches whose shuffles are equal share
+    them. A section that is switched off takes its grouping set and its scan with it. ``order`` are the columns that
+    order the items of one invoice.
     """
     if details:
         invoices, items = once(invoices, "order_id"), once(items, "order_id")
