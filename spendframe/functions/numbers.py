@@ -30,8 +30,3 @@ def rounded(value: Column, places: int = 0) -> Column:
 
 def percent(part: Column, whole: Column, places: int = 0) -> Column:
     return rounded(ratio(part, whole, 100.0), places)
-
-
-def total_when(condition: Column) -> Column:
-    """Number of rows meeting a condition."""
-    return F.count_if(condition)

@@ -118,34 +118,55 @@ def literal_of(phrase: str) -> str:
     return max((piece.replace("\\", "") for piece in pieces), key=len)
 
 
-def phrase_term(column: str, phrase: str, pattern: str, points: int) -> str:
-    found = f"contains({column}, {quoted(literal_of(phrase))}) and {column} rlike {quoted(pattern)}"
-    return f"cast(({found}) as int) * {points}"
+def phrase_sign(column: str, phrase: str, pattern: str) -> str:
+    """SQL flag of a phrase, guarded by a plain substring test that most texts fail."""
+    return f"cast(contains({column}, {quoted(literal_of(phrase))}) and {column} rlike {quoted(pattern)} as int)"
 
 
-def language_points(column: str, language: languages.Language) -> Column:
-    """Points of one language in hundredths, capped. The column holds the upper-cased text."""
-    terms = [phrase_term(column, p, phrase_pattern(p), languages.STRONG_POINTS) for p in language.strong]
-    terms += [phrase_term(column, p, r"(?U)\b" + p, languages.STRONG_POINTS) for p in language.open_ended]
-    terms += [phrase_term(column, p, phrase_pattern(p), languages.MEDIUM_POINTS) for p in language.medium]
+def money_guard(column: str, pattern: str) -> str:
+    """Plain test for the marks without which an amount pattern has no match."""
+    marks = [mark for mark in ("€", "$", "£", "¥", "CHF") if mark in pattern.replace(r"\$", "$")]
+    return "(" + " or ".join(f"contains({column}, {quoted(mark)})" for mark in marks) + ")"
+
+
+def language_signs(column: str, language: languages.Language) -> list[tuple[str, int | None]]:
+    """SQL of each sign of a language with its points; no points where the sign counts hits that are limited together."""
+    signs = [(phrase_sign(column, p, phrase_pattern(p)), languages.STRONG_POINTS) for p in language.strong]
+    signs += [(phrase_sign(column, p, r"(?U)\b" + p), languages.STRONG_POINTS) for p in language.open_ended]
+    signs += [(phrase_sign(column, p, phrase_pattern(p)), languages.MEDIUM_POINTS) for p in language.medium]
     if language.money_limit is None:
-        terms.append(hit(column, "|".join(language.money), languages.STRONG_POINTS))
+        either = "|".join(language.money)
+        signs.append((f"cast({money_guard(column, either)} and {column} rlike {quoted(either)} as int)", languages.STRONG_POINTS))
     else:
-        counts = " + ".join(f"regexp_count({column}, {quoted(p)})" for p in language.money)
-        terms.append(f"least(({counts}) * {languages.MONEY_POINTS}, {language.money_limit})")
-    terms.append(hit(column, language.dates, languages.DATE_POINTS))
+        signs += [(f"if({money_guard(column, p)}, regexp_count({column}, {quoted(p)}), 0)", None) for p in language.money]
+    signs.append((f"cast({column} rlike {quoted(language.dates)} as int)", languages.DATE_POINTS))
+    return signs
+
+
+def language_points(signs: list[tuple[str, int | None]], names: dict[str, str], limit: int | None) -> Column:
+    """Points of one language in hundredths, capped, from the columns of its signs."""
+    terms = [f"{names[sign]} * {points}" for sign, points in signs if points is not None]
+    counts = [names[sign] for sign, points in signs if points is None]
+    if counts:
+        terms.append(f"least(({' + '.join(counts)}) * {languages.MONEY_POINTS}, {limit})")
     return F.least(added(terms), F.lit(languages.CAP_POINTS))
 
 
 def detected_language(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``language`` and ``language_confidence``; the earlier language wins a tie."""
+    """Add ``language`` and ``language_confidence``; the earlier language wins a tie.
+
+    Languages share many of their signs. Every different sign is looked for once in a text, and the languages add up
+    points from the answers.
+    """
     upper = held(documents, {"upper_text": F.upper(F.coalesce(F.col(text), F.lit("")))})
-    names = [f"points_{language.code}" for language in languages.LANGUAGES]
-    points = {n: language_points("upper_text", language) for n, language in zip(names, languages.LANGUAGES)}
-    pointed = held(upper, points, documents.columns)
+    signs = {language.code: language_signs("upper_text", language) for language in languages.LANGUAGES}
+    names = {sign: f"sign_{i}" for i, sign in enumerate(dict.fromkeys(sign for found in signs.values() for sign, _ in found))}
+    seen = held(upper, {name: F.expr(sign) for sign, name in names.items()}, documents.columns)
+    points = {f"points_{language.code}": language_points(signs[language.code], names, language.money_limit) for language in languages.LANGUAGES}
+    pointed = held(seen, points, documents.columns)
     entries = [
         F.struct(F.col(name).alias("points"), F.lit(-rank).alias("rank"), F.lit(language.code).alias("code"))
-        for rank, (name, language) in enumerate(zip(names, languages.LANGUAGES))
+        for rank, (name, language) in enumerate(zip(points, languages.LANGUAGES))
     ]
     best = held(pointed, {"best": F.array_max(F.array(*entries))}, documents.columns)
     known = F.col("best.points") >= languages.LEAST_POINTS
@@ -188,8 +209,3 @@ def route_of() -> Column:
         .when(F.col("format") == formats.EU, eu)
         .otherwise(by_language)
     )
-
-
-def routed(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Classify, detect the language and choose the rule set of every document."""
-    return detected_language(classified(documents, text), "light_text").withColumn("rule_set", route_of())

@@ -547,6 +547,18 @@ def repaired_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed.select("order_id", "position", "asin", "description", "quantity", "unit_cents", "total_cents", "balance", "repair", printed)
 
 
+def business_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of business documents in all layouts, through cleaning and routing."""
+    read = extract.extracted(pipeline.prepared(corpus.business_texts(spark, sf_dir)), ["eu_business"])
+    return items.exploded(read, ["order_id", "rule_set"]).select("order_id", "rule_set", "position", "asin", "description", "quantity", "unit_cents", "total_cents")
+
+
+def language_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of German and English texts in the forms their rule sets know."""
+    read = items.exploded(extract.extracted(corpus.language_item_texts(spark, sf_dir), ["german", "english"]), ["order_id", "rule_set"])
+    return read.select("order_id", "rule_set", "position", "asin", "description", "quantity", "unit_cents", "total_cents", "price")
+
+
 def read_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of no known layout, through routing and the fallback."""
     return pipeline.extracted(corpus.plain_texts(spark, sf_dir))
@@ -619,6 +631,8 @@ def text_queries() -> dict[str, Query]:
         "document_issues": document_issues,
         "document_checklists": document_checklists,
         "repair_prices": repaired_prices,
+        "extract_business_items": business_items,
+        "extract_language_items": language_items,
         "extract_generic": generic_headers,
         "extract_generic_items": generic_items,
         "ruleset_bakeoff": bakeoff,

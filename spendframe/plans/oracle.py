@@ -859,6 +859,10 @@ EXPECTED_ITEMS = f"""expected_items AS (
  FROM items JOIN owners USING (order_id))"""
 
 
+PLACED = """placed AS (SELECT * REPLACE (CAST(unit_cents AS BIGINT) AS unit_cents), CAST(row_number() OVER (PARTITION BY order_id
+  ORDER BY line_number, part_key, supplier_key, items.total_cents, ship_date) - 1 AS INTEGER) AS position FROM items)"""
+
+
 def printed(cents: str) -> str:
     """An amount as the page of its region shows it."""
     pounds = f"'£' || format('{{:,}}', {cents} // 100) || '.' || lpad(CAST({cents} % 100 AS VARCHAR), 2, '0')"
@@ -1090,6 +1094,23 @@ def text_sql() -> dict[str, str]:
  FROM (SELECT pages.*, description, unit_cents, coalesce(position, 1) = 1 AS first FROM pages LEFT JOIN placed USING (order_id))""",
         ),
         **assess_sql(),
+        "extract_business_items": with_(
+            ITEMS,
+            PLACED,
+            body="""SELECT order_id, 'eu_business' AS rule_set, position, asin, description || ' mit Zubehoer und Tragetasche' AS description, quantity, unit_cents,
+ CAST(unit_cents * quantity AS BIGINT) AS total_cents FROM placed""",
+        ),
+        "extract_language_items": with_(
+            ITEMS,
+            PLACED,
+            "turned AS (SELECT *, order_id % 6 AS turn, CAST(unit_cents * quantity AS BIGINT) AS whole FROM placed)",
+            body=f"""SELECT order_id, CASE WHEN turn < 3 THEN 'german' ELSE 'english' END AS rule_set, position, CASE WHEN turn IN (0, 3) THEN asin END AS asin,
+ CASE WHEN turn IN (1, 4, 5) THEN CAST(quantity AS VARCHAR) || ' x ' || description ELSE description END AS description,
+ CASE WHEN turn IN (0, 3) THEN 1 WHEN turn = 2 THEN NULL ELSE quantity END AS quantity, CASE WHEN turn = 3 THEN whole ELSE unit_cents END AS unit_cents,
+ CASE WHEN turn IN (3, 4) THEN whole ELSE unit_cents END AS total_cents,
+ CASE WHEN turn < 3 THEN replace({fixed("unit_cents")}, '.', ',') || ' €' WHEN turn = 5 THEN '$' || {fixed("unit_cents")} ELSE '$' || {fixed("whole")} END AS price
+ FROM turned""",
+        ),
         "extract_generic": with_(
             INVOICES,
             body="""SELECT order_id, 'generic' AS reader, subtotal_cents, shipping_cents, tax_cents, total_cents,

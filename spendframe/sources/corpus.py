@@ -252,6 +252,61 @@ def json_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("order_id", cut.alias("json"))
 
 
+def listed_texts(spark: SparkSession, sf_dir: str, line: Column, head: Column) -> DataFrame:
+    """One text per order that has items: a head and the lines of its items in order."""
+    key = F.struct(*star.ITEM_ORDER)
+    lines = star.items(spark, sf_dir).groupBy("order_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("key"), line.alias("text")))), lambda row: row["text"]), "\n").alias("lines")
+    )
+    joined = spread(star.invoices(spark, sf_dir).join(lines, "order_id"), "order_id")
+    return joined.select("order_id", F.col("order_id").cast("string").alias("doc_id"), F.concat(head, F.lit("\n"), "lines").alias("text"))
+
+
+# Put behind descriptions that are told from other lines by their length.
+LONG_TAIL = " mit Zubehoer und Tragetasche"
+
+
+def business_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """European business documents; the orders take turns over the five layouts of their tables."""
+    unit, count, words = F.col("unit_cents"), F.col("quantity").cast("string"), F.concat("description", F.lit(LONG_TAIL))
+    turn, code = F.col("order_id") % 5, F.concat(F.lit("ASIN: "), F.col("asin"))
+
+    def shown(cents: Column) -> Column:
+        """Every other order has dots between thousands."""
+        return F.when(F.col("order_id") % 2 == 0, dotted_amount(cents)).otherwise(european_amount(cents))
+
+    price, total = shown(unit), shown(unit * F.col("quantity"))
+
+    def row(*parts: Column | str) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    line = (
+        F.when(turn == 0, row(words, "\n", code, "\n", count, european_amount(unit), "\n0%\n(1)\n", price, total))
+        .when(turn == 1, row("| ", words, " | ", count, " | ", price, " | 0% | ", price, " | ", total, " |\n", code))
+        .when(turn == 2, row(words, " ", count, " ", price, " 0% (1) ", price, " ", total, "\n", code))
+        .when(turn == 3, row(words, "\n", code, "\n", price, "\n", price, total))
+        .otherwise(row(words, "\n", code, "\nx (", count, ")\n", price, " ", total))
+    )
+    head = F.concat(F.lit("amazon.de\nFirma Muster GmbH\nBestellnummer\n"), "order_number")
+    return listed_texts(spark, sf_dir, line, head)
+
+
+def language_item_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """German and English item lines in the six forms their rule sets know, with the rule set of each text."""
+    unit, count, words = F.col("unit_cents"), F.col("quantity").cast("string"), F.col("description")
+    turn, code, price = F.col("order_id") % 6, F.concat(F.lit("\nASIN: "), F.col("asin"), F.lit("\n")), european_amount(unit)
+    line = (
+        F.when(turn == 0, F.concat(words, code, price, F.lit("0%"), price, price))
+        .when(turn == 1, F.concat(count, F.lit(" x "), words, F.lit(" "), price))
+        .when(turn == 2, F.concat(words, F.lit(" | "), price))
+        .when(turn == 3, F.concat(words, code, count, F.lit(" x "), dollars(unit)))
+        .when(turn == 4, F.concat(count, F.lit(" of: "), words, F.lit("\nSold by: somebody\n"), dollars(unit)))
+        .otherwise(F.concat(count, F.lit(" x "), words, F.lit(" "), dollars(unit)))
+    )
+    texts = listed_texts(spark, sf_dir, line, F.concat(F.lit("No. "), "order_number"))
+    return texts.select("order_id", "doc_id", F.when(turn < 3, "german").otherwise("english").alias("rule_set"), F.col("text").alias("clean_text"))
+
+
 # Header layout of each language rule set: labels of number, date,
 # subtotal, shipping, tax, discount (empty where the market has none) and total,
 # how dates and amounts are written.
