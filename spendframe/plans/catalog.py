@@ -77,6 +77,24 @@ def written_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invoices.select("job_id", "filename", "success", "error", "processed_at", extracted.alias("data"))
 
 
+def item_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The item-grain CSV rows in all their columns, from raw results whose items are texts too."""
+    invoices = star.invoices(spark, sf_dir).select("order_id", "filename", "currency")
+    lines = star.items(spark, sf_dir).join(invoices, "order_id")
+    written = F.struct(
+        "asin",
+        "description",
+        F.col("quantity").cast("string").alias("quantity"),
+        money.money_text(F.col("unit_cents"), F.col("currency")).alias("unit_price"),
+        F.lit(None).cast("string").alias("total_price"),
+        money.money_text(F.col("total_cents"), F.col("currency")).alias("total"),
+    )
+    listed = lines.groupBy("filename").agg(F.collect_list(written).alias("lines"))
+    results = written_results(spark, sf_dir).join(listed, "filename", "left")
+    filled = F.when(F.col("data").isNotNull(), F.col("data").withField("items", F.col("lines")))
+    return export.nested_item_rows(export.typed_results(results.withColumn("data", filled)))
+
+
 def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = export.typed_results(written_results(spark, sf_dir))
     return rows.select(
@@ -146,6 +164,7 @@ def job_queries() -> dict[str, Query]:
     both = lambda build: lambda s, d: build(star.jobs(s, d), star.invoices(s, d))
     return {
         "export_rows": export_rows,
+        "export_item_csv": item_csv,
         "export_typed_items": export_typed_items,
         "export_item_rows": lambda s, d: export.joined_item_rows(star.invoices(s, d), star.items(s, d)),
         "invoice_csv_rows": item_layout,

@@ -241,10 +241,11 @@ PROGRESS = f"""progress AS (
 
 
 def job_sql() -> dict[str, str]:
-    money = ", ".join(
-        f"CASE WHEN has THEN CASE WHEN currency = 'JPY' THEN CAST({n}_cents AS DOUBLE) ELSE {dollars(n + '_cents')} END END AS {n}"
+    amounts = {
+        n: f"CASE WHEN has THEN CASE WHEN currency = 'JPY' THEN CAST({n}_cents AS DOUBLE) ELSE {dollars(n + '_cents')} END END AS {n}"
         for n in ["subtotal", "shipping", "tax", "discount", "total"]
-    )
+    }
+    money, shown_money = ", ".join(amounts.values()), ", ".join(text for n, text in amounts.items() if n != "discount")
     return {
         "export_rows": with_(
             INVOICES,
@@ -256,6 +257,21 @@ def job_sql() -> dict[str, str]:
  CASE WHEN NOT has THEN 'No data extracted from invoice' ELSE concat_ws('; ',
   CASE WHEN order_id % 2 = 1 THEN 'total mismatch' END, CASE WHEN item_count = 0 THEN 'no items' END) END AS validation_errors
  FROM (SELECT *, order_id % 11 <> 0 AS has FROM invoices) WHERE success""",
+        ),
+        "export_item_csv": with_(
+            INVOICES,
+            ITEMS,
+            f"""flat AS (SELECT invoices.*, invoices.order_id % 11 <> 0 AS has, description, quantity, unit_cents, items.total_cents AS line_cents
+  FROM invoices LEFT JOIN items ON items.order_id = invoices.order_id AND invoices.order_id % 11 <> 0 WHERE success)""",
+            body=f"""SELECT filename, CASE WHEN has THEN order_number END AS order_number, CASE WHEN has THEN strftime(order_date, '%Y-%m-%d') END AS order_date,
+ CASE WHEN has THEN customer_name END AS customer_name, CAST(NULL AS VARCHAR) AS customer_email, description AS item_description, quantity AS item_quantity,
+ CASE WHEN currency = 'JPY' THEN CAST(unit_cents AS DOUBLE) ELSE {dollars("unit_cents")} END AS item_unit_price,
+ CASE WHEN currency = 'JPY' THEN CAST(line_cents AS DOUBLE) ELSE {dollars("line_cents")} END AS item_total,
+ {shown_money},
+ CASE WHEN has THEN currency ELSE 'USD' END AS currency, CASE WHEN has AND order_id % 2 = 0 THEN 'valid' ELSE 'warning' END AS validation_status,
+ CASE WHEN NOT has THEN 'No data extracted from invoice' ELSE concat_ws('; ',
+  CASE WHEN order_id % 2 = 1 THEN 'total mismatch' END, CASE WHEN item_count = 0 THEN 'no items' END) END AS validation_errors,
+ CAST(NULL AS TIMESTAMP) AS processed_at FROM flat""",
         ),
         "export_typed_items": with_(
             ITEMS,
