@@ -33,6 +33,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+class Tables:
+    """The intermediate tables that are stored while this is entered, to be removed together once nothing reads them."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Tables:
+        OPEN.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        OPEN.remove(self)
+
+    def remove(self, spark: SparkSession) -> None:
+        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        while self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(conf).delete(path, True)
+
+
+OPEN: list[Tables] = []
+
+
 def stored(frame: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again.
 
@@ -41,6 +64,8 @@ def stored(frame: DataFrame) -> DataFrame:
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    for tables in OPEN:
+        tables.paths.append(path)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 

@@ -18,10 +18,10 @@ MAX_BITS = 4
 NODE_ROWS = 16_384
 STEP = 4
 HASH_SEED = 42
-# The search for looser copies: fingerprints of two-word runs, then runs of five words compared.
+# The search for looser copies: several fingerprints of two-word runs, then runs of five words compared.
 SEARCH_WIDTH = 2
-SEARCH_BITS = 7
-SEARCH_SEEDS = (HASH_SEED, 43, 44)
+SEARCH_BITS = 5
+SEARCH_PRINTS = 8
 RUN_WIDTH = 5
 SHARE = (4, 5)
 RESULTS = ("fingerprint", "component_id")
@@ -63,6 +63,42 @@ def fingerprints(text: Column, width: int, seed: int = HASH_SEED) -> Column:
     return of_batch(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
 
 
+# The constants of the finalizer of the SplitMix64 generator.
+MIX_STEP, MIX_FIRST, MIX_SECOND = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+
+
+def mixed(hashes: np.ndarray, number: int) -> np.ndarray:
+    """Other hashes of the same runs, one set for each number."""
+    x = hashes ^ np.uint64(number * int(MIX_STEP) & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * MIX_FIRST
+    x = (x ^ (x >> np.uint64(27))) * MIX_SECOND
+    return x ^ (x >> np.uint64(31))
+
+
+def majority(blocks: list[np.ndarray], count: int, number: int) -> int:
+    """64 bits, each set where it is set in over half of the mixed hashes."""
+    ones = np.zeros(64, dtype=np.int64)
+    for block in blocks:
+        bits = np.unpackbits(mixed(block, number).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
+
+
+def several_prints(text: Column, width: int, prints: int) -> Column:
+    """Independent fingerprints of each text; its runs are hashed once and the hashes mixed anew for each."""
+
+    @F.arrow_udf("array<long>")
+    def of_batch(texts: pa.Array) -> pa.Array:
+        rows = []
+        for body in texts:
+            hashes = np.array(run_hashes(body.as_py(), width), dtype="<u8")
+            blocks = [hashes[at : at + 65_536] for at in range(0, len(hashes), 65_536)]
+            rows.append(np.array([majority(blocks, len(hashes), k) if blocks else 0 for k in range(prints)], dtype=np.uint64).view(np.int64))
+        return pa.array(rows, pa.list_(pa.int64()))
+
+    return of_batch(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
 def run_sets(text: Column, width: int) -> Column:
     """The distinct hashes of each text's runs of words; null texts are empty."""
 
@@ -185,51 +221,56 @@ def prefix(value: Column, depth: int) -> Column:
 
 
 def trie_join(values: DataFrame, max_bits: int, node_rows: int = NODE_ROWS) -> DataFrame:
-    """Links (a, b) that connect all values (distinct longs in column v) within ``max_bits`` differing bits.
+    """Links (a, b) that connect all values (distinct longs in column v) within ``max_bits`` differing bits."""
+    return tries_join(values.select(F.lit(0).alias("t"), "v"), max_bits, node_rows).select("a", "b")
+
+
+def tries_join(values: DataFrame, max_bits: int, node_rows: int = NODE_ROWS) -> DataFrame:
+    """Links (t, a, b) that connect the values of each trie (t: int, v: long, distinct) within ``max_bits`` bits.
 
     Of the upper and the lower 32 bits, one half has at most half of the differing bits; the caller gives the
     values in both orders of the halves, and this join takes the pairs whose upper half has few.
 
-    The upper part of the trie is traversed as tables: pairs of nodes with too many values are replaced by the
+    The upper part of the tries is traversed as tables: pairs of nodes with too many values are replaced by the
     pairs of their children, four bits at a time, and pruned by their differing bits. Pairs of small nodes are
     then traversed inside tasks. A task so holds two nodes of ``node_rows`` values at most, of any distribution.
     """
     half, depth = max_bits // 2, 0
-    pairs = values.groupBy().agg(F.count(F.lit(1)).alias("na")).select(F.lit(0).cast("long").alias("pa"), F.lit(0).cast("long").alias("pb"), "na", F.col("na").alias("nb"))
+    pairs = values.groupBy("t").agg(F.count(F.lit(1)).alias("na")).select("t", F.lit(0).cast("long").alias("pa"), F.lit(0).cast("long").alias("pb"), "na", F.col("na").alias("nb"))
     ready = []
     while True:
         pairs = common.stored(pairs)
         large = F.greatest("na", "nb") > node_rows
-        ready.append((depth, pairs.filter(~large).select("pa", "pb")))
+        ready.append((depth, pairs.filter(~large).select("t", "pa", "pb")))
         open_pairs = pairs.filter(large)
         if depth == 64 or open_pairs.isEmpty():
             break
-        nodes = common.stored(values.groupBy(prefix(F.col("v"), depth + STEP).alias("p")).agg(F.count(F.lit(1)).alias("n")))
+        nodes = common.stored(values.groupBy("t", prefix(F.col("v"), depth + STEP).alias("p")).agg(F.count(F.lit(1)).alias("n")))
         above = F.shiftrightunsigned("p", STEP) if depth else F.lit(0).cast("long")
-        a = nodes.select(above.alias("pa"), F.col("p").alias("ca"), F.col("n").alias("ca_n"))
-        b = nodes.select(above.alias("pb"), F.col("p").alias("cb"), F.col("n").alias("cb_n"))
+        a = nodes.select("t", above.alias("pa"), F.col("p").alias("ca"), F.col("n").alias("ca_n"))
+        b = nodes.select("t", above.alias("pb"), F.col("p").alias("cb"), F.col("n").alias("cb_n"))
         depth += STEP
         limit = half if depth <= 32 else max_bits
         pairs = (
-            open_pairs.join(a, "pa")
-            .join(b, "pb")
+            open_pairs.join(a, ["t", "pa"])
+            .join(b, ["t", "pb"])
             .filter((F.col("pa") != F.col("pb")) | (F.col("ca") <= F.col("cb")))
             .filter(F.bit_count(F.col("ca").bitwiseXOR(F.col("cb"))) <= limit)
-            .select(F.col("ca").alias("pa"), F.col("cb").alias("pb"), F.col("ca_n").alias("na"), F.col("cb_n").alias("nb"))
+            .select("t", F.col("ca").alias("pa"), F.col("cb").alias("pb"), F.col("ca_n").alias("na"), F.col("cb_n").alias("nb"))
         )
 
     def sides(level: int, done: DataFrame) -> DataFrame:
-        ends = done.select("pa", "pb", F.explode(F.array_distinct(F.array("pa", "pb"))).alias("p"))
-        keyed = values.select("v", prefix(F.col("v"), level).alias("p"))
-        return keyed.join(ends, "p").select(F.lit(level).alias("depth"), "pa", "pb", "v")
+        ends = done.select("t", "pa", "pb", F.explode(F.array_distinct(F.array("pa", "pb"))).alias("p"))
+        keyed = values.select("t", "v", prefix(F.col("v"), level).alias("p"))
+        return keyed.join(ends, ["t", "p"]).select(F.lit(level).alias("depth"), "t", "pa", "pb", "v")
 
     def traverse(group: pa.Table) -> pa.Table:
         own = np.sort(group.column("v").to_numpy().view(np.uint64))
         a, b = linked(own, group.column("depth")[0].as_py(), max_bits, half)
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+        return pa.table({"t": pa.array(np.full(len(a), group.column("t")[0].as_py(), dtype=np.int32)), "a": a.view(np.int64), "b": b.view(np.int64)})
 
     grouped = reduce(DataFrame.unionByName, [sides(level, done) for level, done in ready if not done.isEmpty()] or [sides(0, ready[0][1])])
-    return grouped.groupBy("depth", "pa", "pb").applyInArrow(traverse, "a long, b long")
+    return grouped.groupBy("depth", "t", "pa", "pb").applyInArrow(traverse, "t int, a long, b long")
 
 
 def turned(value: Column) -> Column:
@@ -307,6 +348,27 @@ def several(members: DataFrame) -> DataFrame:
     return members.join(roots, "_root", "left_semi")
 
 
+def suspected(light: DataFrame, max_bits: int, node_rows: int = NODE_ROWS) -> DataFrame:
+    """Rows (_id, _root) that share a class with another, from rows (_id, _prints: fingerprints, one of each kind).
+
+    The tries of all kinds, in both orders of the halves, are joined together; a class is the values of one kind
+    that are linked. A row is in one class of each kind at most.
+    """
+    each = light.select("_id", F.posexplode("_prints").alias("_kind", "_print"))
+    distinct_prints = common.stored(each.select("_kind", "_print").distinct())
+    straight = distinct_prints.select((F.col("_kind") * 2).alias("t"), F.col("_print").alias("v"))
+    crossed = distinct_prints.select((F.col("_kind") * 2 + 1).alias("t"), turned(F.col("_print")).alias("v"))
+    links = common.stored(tries_join(common.stored(straight.unionByName(crossed)), max_bits, node_rows))
+
+    def node(name: str) -> Column:
+        value = F.when(F.col("t") % 2 == 0, F.col(name)).otherwise(turned(F.col(name)))
+        return F.xxhash64((F.col("t") / 2).cast("int"), value)
+
+    roots = components(links.select(node("a").alias("a"), node("b").alias("b")))
+    nodes = each.select("_id", F.xxhash64("_kind", "_print").alias("node"))
+    return several(nodes.join(roots, "node", "left").select("_id", F.coalesce("root", "node").alias("_root")))
+
+
 def distinct_verified(
     docs: DataFrame,
     text: str = "text",
@@ -315,34 +377,30 @@ def distinct_verified(
     max_bits: int = SEARCH_BITS,
     run: int = RUN_WIDTH,
     share: tuple[int, int] = SHARE,
-    seeds: tuple[int, ...] = SEARCH_SEEDS,
+    prints: int = SEARCH_PRINTS,
 ) -> DataFrame:
     """One row of each group of rows of ``docs`` that are linked, over any number of links, by runs that are alike.
 
-    The trie finds classes of fingerprints over ``width`` words. Fewer words make steadier fingerprints: a changed
-    word changes fewer runs, so a small budget finds looser copies. Each of ``seeds`` gives another fingerprint and
-    classes of its own, and rows that meet by any of them are compared. A few rows lead each class, and those of other
-    groups are compared with them: rows are linked where the sets of their runs of ``run`` words have a Jaccard
-    similarity of ``share`` or more, and linked rows are one group. Rounds with twice as many leaders follow, rows
-    that are linked already among them, until a class is one group or all its rows have led. So a class of many
-    copies costs about one comparison for each, and rows of different groups have all been compared. No row goes
-    on the word of fingerprints alone. Of a group the row of the smallest key stays, null keys last.
+    The trie finds classes of fingerprints over ``width`` words: fewer words make steadier fingerprints, as a changed
+    word changes fewer runs. The budget stays small, so that chance neighbours do not join classes, and the search
+    makes up for it by ``prints`` independent fingerprints; rows that meet by any of them are compared. A few rows
+    lead each class, and those of other groups are compared with them: rows are linked where the sets of their runs
+    of ``run`` words have a Jaccard similarity of ``share`` or more, and linked rows are one group. Rounds with
+    twice as many leaders follow, until a class is one group or all its rows have led. So a class of many copies
+    costs about one comparison for each, and rows of different groups have all been compared. Rows lead by their
+    hash in all their classes, so that classes of the same rows have the same leaders and their comparisons are one.
+    No row goes on the word of fingerprints alone. Of a group the row of the smallest key stays, null keys last.
 
     Rows alike in key and text count as one, and any one of them stays. Texts without words are alike; null texts
     are empty. An empty table gives an empty table. Columns stay as they are.
     """
     names, body = list(docs.columns), F.coalesce(docs[text].cast("string"), F.lit(""))
     own_id = F.xxhash64(docs[key], body).alias("_id")
-    columns = [f"_print{k}" for k in range(len(seeds))]
-    prints = docs.select(own_id, docs[key].alias("_key"), *[fingerprints(docs[text], width, seed).alias(name) for name, seed in zip(columns, seeds, strict=True)])
-    light = common.stored(prints.groupBy("_id", *columns).agg(F.min("_key").alias("_key"), F.count(F.lit(1)).alias("_n")))
+    found_prints = docs.select(own_id, docs[key].alias("_key"), several_prints(docs[text], width, prints).alias("_prints"))
+    light = common.stored(found_prints.groupBy("_id").agg(F.any_value("_prints").alias("_prints"), F.min("_key").alias("_key"), F.count(F.lit(1)).alias("_n")))
     ranks = light.select("_id", F.struct(F.col("_key").isNull().alias("n"), F.col("_key").alias("k"), F.col("_id").alias("i")).alias("_rank"))
-    searches = []
-    for k, name in enumerate(columns):
-        found = classes(light.select("_key", F.col(name).alias("_print")), max_bits)
-        searches.append(several(light.select("_id", F.col(name).alias("_print")).join(found, "_print").select("_id", F.xxhash64(F.lit(k), "_root").alias("_root"))))
-    suspects = common.stored(reduce(DataFrame.unionByName, searches))
-    sets = docs.select(own_id, body.alias("_body")).join(suspects.select("_id"), "_id", "left_semi").dropDuplicates(["_id"])
+    suspects = common.stored(suspected(light.select("_id", "_prints"), max_bits))
+    sets = docs.select(own_id, body.alias("_body")).join(suspects.select("_id").distinct(), "_id", "left_semi").dropDuplicates(["_id"])
     sets = common.stored(sets.select("_id", run_sets(F.col("_body"), run).alias("_runs")))
     lead_sets = sets.select(F.col("_id").alias("_with"), F.col("_runs").alias("_lead_runs"))
     shared = F.size(F.array_intersect("_runs", "_lead_runs"))
@@ -353,7 +411,8 @@ def distinct_verified(
     members = suspects.join(sets.select("_id", F.size("_runs").alias("_size")), "_id")
     members = members.join(suspects.groupBy("_root").agg(F.count(F.lit(1)).alias("_n")), "_root").withColumn("_group", F.col("_id"))
     members = common.stored(members)
-    turn = F.pmod(F.xxhash64("_id"), F.col("_n"))
+    place = F.shiftrightunsigned(F.xxhash64(F.lit("turn"), F.col("_id")), 11).cast("double") / F.lit(float(1 << 53))
+    turn = F.floor(place * F.col("_n")).cast("long")
     links, level, roots, tested = None, 0, None, None
     while links is None or not members.isEmpty():
         leads = members.filter((turn >= 2**level - 1) & (turn < 2 ** (level + 1) - 1))
@@ -370,7 +429,8 @@ def distinct_verified(
         level += 1
         members = members.filter(F.col("_n") > 2**level - 1)
         if links is None or not fresh.isEmpty():
-            links = fresh if links is None else links.unionByName(fresh)
+            # What is linked already is one link for each row.
+            links = fresh if links is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(fresh)
             roots = components(links)
             linked_to = roots.select(F.col("node").alias("_id"), F.col("root").alias("_now"))
             members = members.join(linked_to, "_id", "left").withColumn("_group", F.coalesce("_now", "_id")).drop("_now")

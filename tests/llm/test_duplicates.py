@@ -141,6 +141,16 @@ def test_simhash_distinct_verified(docs_of, odd_rows):
     assert len(odd) == 4 and not any(alike(sets[a], sets[b]) for a in odd for b in odd if a != b)
 
 
+def search_prints(text, prints):
+    hashes = np.array(simhash.run_hashes(text.encode(), simhash.SEARCH_WIDTH), dtype="<u8")
+    return [simhash.majority([hashes], len(hashes), k) for k in range(prints)]
+
+
+def close(a, b, prints=simhash.SEARCH_PRINTS):
+    """Whether any of the search's fingerprints of two texts are within its budget."""
+    return any((x ^ y).bit_count() <= simhash.SEARCH_BITS for x, y in zip(search_prints(a, prints), search_prints(b, prints), strict=True))
+
+
 def test_simhash_distinct_verified_keeps_one_row_of_a_chain(docs_of):
     rng = random.Random(5)
     rows, chains = [], 30
@@ -153,12 +163,9 @@ def test_simhash_distinct_verified_keeps_one_row_of_a_chain(docs_of):
     sets = {k: run_set(text) for k, text in rows}
     assert all(alike(sets[10 * i], sets[10 * i + 1]) and alike(sets[10 * i + 1], sets[10 * i + 2]) for i in range(chains))
     assert not any(alike(sets[10 * i], sets[10 * i + 2]) for i in range(chains))
-    found = simhash.classes(docs_of(rows).select(F.col("doc_id").alias("_key"), simhash.fingerprints(F.col("text"), 2).alias("_print")), 7)
-    least = {r["_print"]: r["_least"] for r in found.collect()}
-    prints = {k: int(np.array(simhash.fingerprint(text.encode(), 2), dtype=np.uint64).view(np.int64)) for k, text in rows}
-    together = [i for i in range(chains) if len({least[prints[10 * i + step]] for step in range(3)}) == 1]
+    near = {i for i in range(chains) if all(close(rows[3 * i + step][1], rows[3 * i + step + 1][1]) for step in range(2))}
     kept = {row.doc_id for row in simhash.distinct_verified(docs_of(rows)).collect()}
-    assert together and all(kept & {10 * i, 10 * i + 1, 10 * i + 2} == {10 * i} for i in together)
+    assert len(near) >= 0.9 * chains and all(kept & {10 * i, 10 * i + 1, 10 * i + 2} == {10 * i} for i in near)
 
 
 def test_simhash_distinct_verified_finds_copies_that_one_fingerprint_misses(docs_of):
@@ -172,9 +179,8 @@ def test_simhash_distinct_verified_finds_copies_that_one_fingerprint_misses(docs
         rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(changed))]
     sets = {k: run_set(text) for k, text in rows}
     assert all(alike(sets[2 * i], sets[2 * i + 1]) for i in range(300))
-    bits = [[(simhash.fingerprint(rows[2 * i][1].encode(), 2, s) ^ simhash.fingerprint(rows[2 * i + 1][1].encode(), 2, s)).bit_count() for s in simhash.SEARCH_SEEDS] for i in range(300)]
-    near = {i for i in range(300) if min(bits[i]) <= simhash.SEARCH_BITS}
-    assert any(bits[i][0] > simhash.SEARCH_BITS for i in near)
+    near = {i for i in range(300) if close(rows[2 * i][1], rows[2 * i + 1][1])}
+    assert len(near) >= 0.98 * 300 and sum(close(rows[2 * i][1], rows[2 * i + 1][1], 1) for i in near) < 0.8 * 300
     kept = {row.doc_id for row in simhash.distinct_verified(docs_of(rows)).collect()}
     assert all(2 * i + 1 not in kept for i in near) and all(2 * i in kept for i in range(300))
 
