@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ def key_hash(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit("line"), key).alias("b"))
 
 
+def bound(value: Column, build: Callable[[Column], Column]) -> Column:
+    """What ``build`` makes of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
 def drop_common(
     docs: DataFrame,
     text: str = "text",
@@ -32,9 +39,10 @@ def drop_common(
     """Every row with its text less the lines whose key is found in ``min_documents`` rows or more.
 
     Lines are exploded as hashes of their keys, once per row and key, counted per hash with partial sums,
-    and the hashes over the threshold go back to the rows that hold them. A row then drops those lines and
-    joins the others in their order, so lines of text are never shuffled, only whole rows once. A line in
-    very many rows is a skewed key of a join with one row on the other side, which can be split.
+    and the places of lines whose hash is over the threshold go back to their rows. A row then drops the lines at
+    these places and joins the others in their order, so lines of text are never shuffled, only whole rows once. A
+    line in very many rows is a skewed key of a join with one row on the other side, which can be split. The work on
+    a row grows with its number of lines, times its logarithm where they are sorted.
 
     Each row counts as one document, also where rows repeat. A null or empty text is one empty line; lines
     whose key has fewer than ``min_chars`` code points always stay. Null keys are allowed. An empty table
@@ -47,23 +55,26 @@ def drop_common(
     rows = docs.select(common.packed(docs).alias("_row"), body.alias("_body"), F.xxhash64(docs[key], body).alias("_id"))
     rows = rows.withColumn("_body", F.col("_row").getField(text).cast("string")).withColumn("_body", F.coalesce("_body", F.lit("")))
 
-    def hashes(lines: Column) -> Column:
-        keys = F.transform(lines, line_key)
-        return F.transform(F.filter(keys, lambda k: F.length(k) >= min_chars), key_hash)
+    def hash_of(line: Column) -> Column:
+        return bound(line_key(line), lambda key_: F.when(F.length(key_) >= min_chars, key_hash(key_)))
 
-    held = (
-        docs.select(F.xxhash64(docs[key], body).alias("_id"), F.explode(F.array_distinct(hashes(F.split(body, "\n", -1)))).alias("_h"))
-        .select("_id", "_h.a", "_h.b")
-    )
-    frequent = held.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_documents).select("a", "b")
+    body_lines = F.split(body, "\n", -1)
+    own_id = F.xxhash64(docs[key], body).alias("_id")
+    # Once per row and key: sorted, so that equal ones lie side by side.
+    sorted_hashes = F.sort_array(F.array_compact(F.transform(body_lines, hash_of)))
+    distinct = bound(sorted_hashes, lambda found: F.filter(found, lambda h, i: (i == 0) | (h != F.get(found, i - 1))))
+    counted = docs.select(F.explode(distinct).alias("_h")).select("_h.a", "_h.b")
+    frequent = counted.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_documents).select("a", "b")
+    placed = docs.select(own_id, F.posexplode(F.transform(body_lines, hash_of)).alias("_at", "_h")).filter(F.col("_h").isNotNull())
     drops = (
-        held.join(frequent, ["a", "b"], "left_semi")
+        placed.select("_id", "_at", "_h.a", "_h.b")
+        .join(common.stored(frequent), ["a", "b"], "left_semi")
         .groupBy("_id")
-        .agg(F.collect_set(F.struct("a", "b")).alias("_drops"))
+        .agg(F.collect_set("_at").alias("_drops"))
     )
     lines = F.split("_body", "\n", -1)
-    dropped = lambda line: (F.length(line_key(line)) >= min_chars) & F.array_contains(F.col("_drops"), key_hash(line_key(line)))
-    kept = F.when(F.col("_drops").isNull(), lines).otherwise(F.filter(lines, lambda line: ~dropped(line)))
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce("_drops", F.array().cast("array<int>")))
+    kept = bound(lines, lambda found: bound(places, lambda stay: F.transform(stay, lambda at: F.get(found, at))))
     return (
         rows.join(drops, "_id", "left")
         .select("_row", F.size(lines).cast("long").alias("n_lines"), kept.alias("_kept"))
