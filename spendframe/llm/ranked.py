@@ -252,7 +252,8 @@ def rank(
     columns are ignored.
     """
     words = common.stored(item_terms(items, item_text, item_key))
-    vocabulary = words.select("_term").unionByName(words.sparkSession.createDataFrame([(WHOLE,)], "_term string")).distinct()
+    # Stored first, so that the planner knows its size and sends it to the terms of the documents where it is small.
+    vocabulary = common.stored(words.select("_term").unionByName(words.sparkSession.createDataFrame([(WHOLE,)], "_term string")).distinct())
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), docs[key].cast("long").alias("_key"), F.coalesce(docs[text].cast("string"), F.lit("")).cast("binary").alias("_body"))
     held = common.stored(counted(rows).join(vocabulary, "_term"))
     postings = held.filter(F.col("_term") != WHOLE)
