@@ -14,8 +14,8 @@ SEPARATORS = r"[^\p{L}\p{N}]+"
 
 
 def words(text: Column) -> Column:
-    """Runs of letters and digits, in lower case."""
-    return F.split(F.regexp_replace(F.lower(text), f"^{SEPARATORS}|{SEPARATORS}$", ""), SEPARATORS, -1)
+    """Runs of letters and digits, in lower case. Separators at either end leave an empty piece, which is no word."""
+    return F.filter(F.split(F.lower(text), SEPARATORS, -1), lambda word: word != "")
 
 
 def shingle_rows(frame: DataFrame, columns: list[str], text: Column, width: int = WIDTH) -> DataFrame:
@@ -58,7 +58,9 @@ def contained(
     verified by counting their common shingles as text, over whole documents. Sketches are stored first, so
     the planner sends them to all executors only where their measured size allows, and shuffles otherwise.
 
-    Null and empty texts, and texts or items of fewer than ``width`` words, have no shingles and no pairs.
+    An item of fewer than ``width`` words is one run, and a row holds it where it holds that run of words; lengths
+    that occur are looked for one by one (shared and n_shingles are 1). Null and empty texts, rows of fewer words than
+    an item and items without words have no pairs.
     Rows alike in key and text count as one document, items of the same key as one item. Null keys are
     allowed in ``docs``. Returns _id (of row key and text), the key, item_key, shared, n_shingles, sorted by none.
     """
@@ -84,7 +86,16 @@ def contained(
         .agg(F.count_distinct("_s").alias("shared"))
         .filter(F.col("shared") >= needed(F.col("_n"), share))
     )
-    return pairs.select("_id", F.col("_key").alias(key), F.col("_item").alias(item_key), "shared", F.col("_n").alias("n_shingles"))
+    found_pairs = pairs.select("_id", F.col("_key").alias(key), F.col("_item").alias(item_key), "shared", F.col("_n").alias("n_shingles"))
+    short = listed.select("_item", words(F.col("_body")).alias("_words")).filter(F.size("_words").between(1, width - 1))
+    short = common.stored(short.select("_item", F.size("_words").alias("_size"), F.array_join("_words", " ").alias("_s")).distinct())
+    # At most width - 1 lengths.
+    for row in short.select("_size").distinct().collect():
+        runs_of = shingle_rows(rows, ["_id", "_key"], F.col("_body"), row["_size"]).select("_id", "_key", run_text(row["_size"]).alias("_s"))
+        held = runs_of.join(short.filter(F.col("_size") == row["_size"]), "_s").select("_id", "_key", "_item").distinct()
+        one = F.lit(1).cast("long")
+        found_pairs = found_pairs.unionByName(held.select("_id", F.col("_key").alias(key), F.col("_item").alias(item_key), one.alias("shared"), one.alias("n_shingles")))
+    return found_pairs
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
