@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from html import unescape
@@ -32,14 +34,10 @@ NAMED_NOISE = frozenset(
 )
 # Parts of names that say something about what is beside an element, as in has-sidebar.
 ABOUT_OTHERS = frozenset("has with no without".split())
-# Comments and declarations, elements whose content is raw, and tags; a quote that never ends is part of no value.
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    rf"|<(?P<raw>{'|'.join(sorted(RAW))})(?![\w:-])[^>]*>.*?(?:</(?P=raw)(?![\w:-])[^>]*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(?P<close2>/?)(?P<name2>[a-z][^\s/>]*)(?P<rest2>[^>]*)>",
-    re.S | re.I,
-)
+TAG_NAME = re.compile(r"<(/?)([a-z][^\s/>]*)", re.I)
+RAW_NAME = re.compile(rf"<({'|'.join(sorted(RAW))})(?![\w:-])", re.I)
+RAW_END = {name: re.compile(rf"</{name}(?![\w:-])", re.I) for name in RAW}
+ENDS_VALUE_OR_TAG = re.compile("[>\"']")
 TELLING = re.compile(r"class|id|role|hidden", re.I)
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 NAME_PARTS = re.compile(r"[a-z]+|[0-9]+")
@@ -51,7 +49,9 @@ RESULTS = ("text", "n_chars")
 
 @dataclass
 class Node:
-    path: str
+    """A container; its path is a number, as the texts of deep paths would grow with the square of the depth."""
+
+    path: int
     parent: int
     good: int = 0
     bad: int = 0
@@ -59,10 +59,33 @@ class Node:
 
 @dataclass
 class Page:
-    """Containers in page order, and the blocks of text that lie in them."""
+    """Containers in page order, their distinct paths, and the blocks of text that lie in them.
+
+    A path is the path above it and one step, with its depth and the length of its text.
+    """
 
-    nodes: list[Node] = field(default_factory=lambda: [Node("", -1)])
+    nodes: list[Node] = field(default_factory=lambda: [Node(0, -1)])
     blocks: list[tuple[int, str]] = field(default_factory=list)
+    paths: list[tuple[int, str, int, int]] = field(default_factory=lambda: [(-1, "", 0, 0)])
+    numbers: dict[tuple[int, str], int] = field(default_factory=dict)
+
+    def below(self, path: int, step: str) -> int:
+        found = self.numbers.setdefault((path, step), len(self.paths))
+        if found == len(self.paths):
+            _, _, depth, size = self.paths[path]
+            self.paths.append((path, step, depth + 1, size + 1 + len(step)))
+        return found
+
+    def text_of_path(self, path: int) -> str:
+        steps = []
+        while path > 0:
+            path, step, *_ = self.paths[path]
+            steps.append("/" + step)
+        return "".join(reversed(steps))
+
+    def number_of_path(self, text: str) -> int | None:
+        same = (number for number, (*_, size) in enumerate(self.paths) if size == len(text))
+        return next((number for number in same if self.text_of_path(number) == text), None)
 
 
 @lru_cache(maxsize=20_000)
@@ -87,6 +110,70 @@ def step_of(name: str, attributes: str) -> str:
     return name + "".join("." + DIGITS.sub("0", c) for c in sorted(classes.lower().split()))
 
 
+class Scanner:
+    """The tags of a page, each found in one pass over it however its quotes and angles are broken.
+
+    Comments, declarations and elements whose content is raw are passed over whole. A quote that never ends is part of
+    no value: the tag then ends at the next angle. What lies behind the last angle of the page is no tag.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.last_quote = {quote: html.rfind(quote) for quote in "\"'"}
+        # Where a tag ends that is outside of quotes at a place; -1 where it does not.
+        self.ends: dict[int, int] = {}
+
+    def end_of(self, place: int) -> int:
+        passed, end = [], None
+        while end is None:
+            if place in self.ends:
+                end = self.ends[place]
+                break
+            passed.append(place)
+            found = ENDS_VALUE_OR_TAG.search(self.html, place)
+            if found is None:
+                end = -1
+            elif found[0] == ">":
+                end = found.end()
+            elif found.start() >= self.last_quote[found[0]]:
+                end = -1
+            else:
+                place = self.html.find(found[0], found.end()) + 1
+        for place in passed:
+            self.ends[place] = end
+        return end
+
+    def until(self, mark: str, place: int) -> int:
+        """Behind the next mark, or the end of the page."""
+        found = self.html.find(mark, place)
+        return len(self.html) if found < 0 else found + len(mark)
+
+    def tags(self) -> Iterator[tuple[int, int, str, str, str]]:
+        """Start, end, slash of an end tag, name (empty for what is no tag) and attributes."""
+        html, at = self.html, 0
+        while True:
+            start = html.find("<", at)
+            if start < 0:
+                return
+            at, sign = start + 1, html[start + 1 : start + 2]
+            if sign in ("!", "?"):
+                at = self.until("-->", start + 4) if html.startswith("<!--", start) else self.until(">", start)
+                yield start, at, "", "", ""
+                continue
+            named = TAG_NAME.match(html, start) if start < self.last else None
+            if named is None:
+                continue
+            raw = RAW_NAME.match(html, start)
+            if raw is not None:
+                closing = RAW_END[raw[1].lower()].search(html, self.until(">", raw.end()))
+                at = len(html) if closing is None else self.until(">", closing.end())
+                yield start, at, "", "", ""
+                continue
+            end = self.end_of(named.end())
+            at = end if end > 0 else html.find(">", named.end()) + 1
+            yield start, at, named[1], named[2], html[named.end() : at - 1]
+
+
 def read(html: str) -> Page:
     """Containers and text blocks of a page, however broken its markup is.
 
@@ -95,6 +182,7 @@ def read(html: str) -> Page:
     """
     page = Page()
     stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # name, container, hidden, link
+    open_names: Counter[str] = Counter()
     parts: list[str] = []
     at = linked = 0
 
@@ -116,25 +204,24 @@ def read(html: str) -> Page:
         parts.clear()
         linked = 0
 
-    for found in TAG.finditer(html):
-        start, end = found.span()
+    for start, end, close, name, rest in Scanner(html).tags():
         if start > at:
             parts.append(html[at:start])
             if stack[-1][3]:
                 linked += start - at
         at = end
-        _, close, name, rest, close2, name2, rest2 = found.groups()
-        if name is None:
-            if name2 is None:
-                continue
-            close, name, rest = close2, name2, rest2
+        if not name:
+            continue
         name = name.lower()
         if close:
-            if stack[-1][0] == name or any(entry[0] == name for entry in stack):
+            if open_names[name]:
                 if name in BLOCKS or name in SKIPPED:
                     flush()
-                while stack.pop()[0] != name:
-                    pass
+                while True:
+                    ended = stack.pop()[0]
+                    open_names[ended] -= 1
+                    if ended == name:
+                        break
             continue
         if name == "br":
             parts.append(" ")
@@ -145,9 +232,11 @@ def read(html: str) -> Page:
             flush()
         if block:
             implied = IMPLIED.get(name, IMPLIED_BY_ALL)
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if any(open_names[ends] for ends in implied) else ():
                 above = stack[depth][0]
                 if above in implied:
+                    for entry in stack[depth:]:
+                        open_names[entry[0]] -= 1
                     del stack[depth:]
                     break
                 if above in CONTAINERS or above in LISTS:
@@ -157,37 +246,45 @@ def read(html: str) -> Page:
         _, container, hidden, link = stack[-1]
         hidden = hidden or noise
         if not hidden and name in CONTAINERS:
-            page.nodes.append(Node(f"{page.nodes[container].path}/{step_of(name, rest)}", container))
+            page.nodes.append(Node(page.below(page.nodes[container].path, step_of(name, rest)), container))
             container = len(page.nodes) - 1
         stack.append((name, container, hidden, link or name == "a"))
+        open_names[name] += 1
     parts.append(html[at:])
     flush()
     return page
 
 
-def best(page: Page) -> tuple[str, float]:
+def best(page: Page) -> tuple[int, float]:
     """The path whose containers hold the most text, less what in them is links or no content."""
     good, bad = [n.good for n in page.nodes], [n.bad for n in page.nodes]
     for i in range(len(page.nodes) - 1, 0, -1):
         good[page.nodes[i].parent] += good[i]
         bad[page.nodes[i].parent] += bad[i]
-    scores: dict[str, list[float]] = {}
+    scores: dict[int, list[float]] = {}
     for i, node in enumerate(page.nodes):
         held = scores.setdefault(node.path, [0.0, 0.0])
         held[0] += good[i] - bad[i]
         held[1] += good[i]
     if not page.blocks:
-        return "", 0.0
-    # Of equal scores the deepest path wins, as its containers hold nothing else.
-    path = max(scores, key=lambda p: (scores[p][0], p.count("/"), p))
+        return 0, 0.0
+    # Of equal scores the deepest path wins, as its containers hold nothing else, then the last by name.
+    most = max((scores[path][0], page.paths[path][2]) for path in scores)
+    path = max((path for path in scores if (scores[path][0], page.paths[path][2]) == most), key=page.text_of_path)
     return path, max(scores[path][1], 0.0)
 
 
+def vote_of(page: Page) -> tuple[str, float]:
+    path, weight = best(page)
+    return page.text_of_path(path), weight
+
+
 def text_of(page: Page, path: str | None) -> str:
     """All blocks in containers of the path, or in those of the page's own best path where it has none."""
-    for chosen in (path, None):
+    for wanted in (path, None):
+        chosen = best(page)[0] if wanted is None else page.number_of_path(wanted)
         if chosen is None:
-            chosen = best(page)[0]
+            continue
         inside = [False] * len(page.nodes)
         for i, node in enumerate(page.nodes):
             inside[i] = node.path == chosen or (node.parent >= 0 and inside[node.parent])
@@ -204,7 +301,7 @@ def host_of(url: Column) -> Column:
 def votes(html: Column) -> Column:
     @F.arrow_udf(VOTE)
     def of_batch(pages: pa.Array) -> pa.Array:
-        found = [best(read(page)) for page in pages.to_pylist()]
+        found = [vote_of(read(page)) for page in pages.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([w for _, w in found], pa.float64())], ["path", "weight"])
 
     return of_batch(F.coalesce(html.cast("string"), F.lit("")))
