@@ -118,6 +118,10 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.weights @ np.array([1.0, *self.scorer.evidence(found)]), -30, 30))))
 
 
+# Without any labelled row no text is toxic.
+UNTAUGHT = np.array([-30.0, 0.0, 0.0])
+
+
 def logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:
     weights = np.zeros(features.shape[1])
     for _ in range(rounds):
@@ -199,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     features = [
         [1.0, *halves[1 - row["half"]].evidence([(0, 0, s, halves[1 - row["half"]].scale * row["length"] * float(np.exp(-halves[1 - row["half"]].decay * s))) for s in row["sums"]])] for row in seen
     ]
-    weights = logistic(np.array(features), np.array([float(bool(row["label"])) for row in seen])) if seen else np.zeros(3)
+    weights = logistic(np.array(features), np.array([float(bool(row["label"])) for row in seen])) if seen else UNTAUGHT
     return Model(scorer, weights)
 
 
